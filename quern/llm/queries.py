@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import pii, quality_rules, simhash
+from quern.llm import mixing, pii, quality_rules, simhash
 from quern.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op1(documents(spark, sf_dir))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4(documents(spark, sf_dir))
+
+
 def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(documents(spark, sf_dir))
 
@@ -20,5 +24,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_pii_deobfuscation, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pii_deobfuscation, op10_simhash_near_dedup)}
 ORACLE = {"op1_quality_rules": quality_rules.ORACLE}
