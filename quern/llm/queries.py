@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, pii, quality_rules, simhash
+from quern.llm import mixing, pii, quality_rules, simhash, token_store
 from quern.llm.common import documents
 
 
@@ -20,9 +20,13 @@ def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(documents(spark, sf_dir))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.op9(documents(spark, sf_dir))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pii_deobfuscation, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pii_deobfuscation, op9_token_store, op10_simhash_near_dedup)}
 ORACLE = {"op1_quality_rules": quality_rules.ORACLE}
