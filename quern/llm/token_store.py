@@ -18,8 +18,11 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,9 @@ DICT_IDS = 4_096
 SEGMENT_DOCS = 256
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-_CACHE_WORDS = 400_000
-_CACHED_LENGTH = 64
+_CACHE_WORDS = 1_000_000
+_CACHED_LENGTH = 40
+_LEARN = 4_096
 
 #: Where the vocabulary's own pre-tokenizer always cuts: white space before a run, but for the one space that joins it.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -56,31 +60,53 @@ class Encoder:
     def __init__(self, path: str, dtype: str = "<u4"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def _learn(self, units: set[str], known: dict[str, bytes]) -> None:
+        """Add the ids of units to `known`. Many are encoded at once, with line ends between, whose id occurs nowhere else."""
+        plain = [u for u in units if u.strip() and len(self.line_end) == 1]
+        known.update((u, self._ids(u).tobytes()) for u in units.difference(plain))
+        stems = {u[:-1] for u in plain if u[-1] in ".," and u[-2:-1].isalpha()}.difference(known)
+        ends = {c: self._ids(c).tobytes() for c in ".,"}
+        todo, width = [*stems.union(u for u in plain if not (u[-1] in ends and u[-2:-1].isalpha()))], self.dtype.itemsize
+        for at in range(0, len(todo), _LEARN):
+            part = todo[at : at + _LEARN]
+            ids = self._ids("\n".join(part))
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.line_end[0]) * width).tolist()
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the vocabulary joins line ends with other characters")
+            known.update(zip(part, (raw[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(raw)], strict=True)), strict=True))
+        known.update((u, known[u[:-1]] + ends[u[-1]]) for u in plain if u[-1] in ends and u[-2:-1].isalpha())
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, serialized."""
+        split = [_UNIT.findall(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) + 2 * len(new) > _CACHE_WORDS:
+            self.known = {}
+            new = set(chain.from_iterable(split))
+        long = {u for u in new if len(u) > _CACHED_LENGTH}
+        known = self.known
+        self._learn(new - long, known)
+        if long or len(known) > _CACHE_WORDS:
+            known = dict(known) if len(known) < _LEARN else ChainMap({}, known)
+            self._learn(long, known)
+        return [b"".join(map(known.__getitem__, units)) for units in split]
 
-    def _one(self, unit: str) -> bytes:
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
-    def _learn(self, units: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        self.known.update((u, np.array(e.ids, dtype=self.dtype).tobytes()) for u, e in zip(units, found, strict=True))
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, serialized."""
-        units = _UNIT.findall(text)
-        distinct = set(units)
-        new = [u for u in distinct if u not in self.known and len(u) <= _CACHED_LENGTH]
-        if new:
-            if len(self.known) + len(new) > _CACHE_WORDS:
-                self.known.clear()
-                new = [u for u in distinct if len(u) <= _CACHED_LENGTH]
-            self._learn(new)
-        long = {u: self._one(u) for u in distinct if len(u) > _CACHED_LENGTH}
-        if long:
-            return b"".join(long[u] if u in long else self.known[u] for u in units)
-        return b"".join(map(self.known.__getitem__, units))
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, dtype: str) -> Encoder:
+    """One encoder for each Python worker, so that its cache outlives a task."""
+    return Encoder(path, dtype)
 
 
 def serializer(path: str, end_id: int):
@@ -111,9 +137,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = END_ID) ->
     dtype, _ = serializer(vocabulary, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary, dtype), np.array([end_id], dtype).tobytes()
+        encoder, end = shared_encoder(vocabulary, dtype), np.array([end_id], dtype).tobytes()
         for batch in batches:
-            ids = [(encoder.encode(t) + end)[: DICT_IDS * len(end)] for t in texts_of(batch)]
+            ids = [(raw + end)[: DICT_IDS * len(end)] for raw in encoder.encode_many(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(DICT_DOCS).select("text")
@@ -138,7 +164,7 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
     names = [x.split()[0] for x in schema.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary, dtype), np.array([end_id], dtype).tobytes()
+        encoder, end = shared_encoder(vocabulary, dtype), np.array([end_id], dtype).tobytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content) if content else None)
         seq, start, ids, counts, ends, frames, size = 0, 0, [], [], [], [], 0
 
@@ -148,8 +174,8 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                raw = encoder.encode(text) + end
+            for doc_id, body in zip(batch.column("doc_id").to_pylist(), encoder.encode_many(texts_of(batch)), strict=True):
+                raw = body + end
                 frames.append(packer.compress(raw))
                 size += len(frames[-1])
                 ids.append(doc_id)

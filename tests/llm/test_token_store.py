@@ -43,6 +43,7 @@ def test_odd_and_empty(spark):
 def test_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(ts, "_CACHE_WORDS", 5)
     monkeypatch.setattr(ts, "_CACHED_LENGTH", 6)
+    monkeypatch.setattr(ts, "_LEARN", 2)
     small = ts.Encoder(ts.default_vocabulary())
     for text in ("one two three four", "four five six seven eight nine", "a considerably longer word and one"):
         assert np.frombuffer(small.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
