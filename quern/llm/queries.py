@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import media, mixing, pieces, pii, quality_rules, simhash, token_store
-from quern.llm.common import documents
+from quern.llm import media, mixing, pieces, pii, quality_model, quality_rules, simhash, token_store
+from quern.llm.common import documents, labels
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op6(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op7(documents(spark, sf_dir))
 
@@ -36,5 +40,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pii_deobfuscation, op7_pieces, op8_media_avi, op9_token_store, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pii_deobfuscation, op6_quality_classifier, op7_pieces, op8_media_avi, op9_token_store, op10_simhash_near_dedup)}
 ORACLE = {"op1_quality_rules": quality_rules.ORACLE}
