@@ -156,8 +156,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     takes = joined.groupBy("sid", "start", "pass").agg(F.collect_list(span).alias("spans"), F.sum(F.least("hi", "cut") - F.col("lo")).alias("n"))
     out = where.where("size > 0").join(takes, ["sid", "start"])
     text = F.col(f"doc__{columns.index('text')}")
-    some = F.filter(words_of(text), lambda w, i: F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"])))
-    text = F.when(F.col("n") == F.col("size"), text).otherwise(F.array_join(some, " "))
+    in_order = F.sort_array("spans")
+    cut = F.transform(F.array(words_of(text)), lambda ws: F.flatten(F.transform(in_order, lambda s: F.slice(ws, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))))
+    text = F.when(F.col("n") == F.col("size"), text).otherwise(F.array_join(F.get(cut, F.lit(0)), " "))
     out = out.withColumn("mixed_text", text)
     new = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("long")}
     return out.select(*[new.get(c, F.col(f"doc__{i}")).alias(c) for i, c in enumerate(columns)])

@@ -157,6 +157,21 @@ def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return map_batches(coded.select("doc_id", "ids"), text, "doc_id long, text string")
 
 
+def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, source, `ids` of the whole text, n_ids, and `same`: whether decoding the ids gives the text back. Null for null."""
+    path = vocabulary or default_vocabulary()
+    schema = "doc_id long, source string, n_ids long, ids array<int>, same boolean"
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vocab, texts = shared(path), batch.column("text").to_pylist()
+            raw = vocab.encode_many(texts)
+            cols = [pa.array([None if r is None else len(r) // 4 for r in raw], pa.int64()), pa.array([None if r is None else np.frombuffer(r, "<u4").astype(np.int32) for r in raw], pa.list_(pa.int32())), pa.array([vocab.decode(r) == t for r, t in zip(raw, texts, strict=True)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), *cols], [x.split()[0] for x in schema.split(", ")])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), code, schema)
+
+
 _SCHEMA = "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, same boolean"
 
 

@@ -49,8 +49,8 @@ BASE = Policy("base-1", ("too_short", "repeated_words"))
 PRODUCTION = Policy("production-1", ("too_short", "repeated_words", "symbol_heavy", "duplicate_lines", "word_length", "shouting"))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of every text. All work is within a row, so nothing is shuffled.
+def measure(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep and the measurements of every text. All work is within a row, so nothing is shuffled.
 
     Windows of three words are compared by a 64-bit hash; only texts that repeat one sort their windows.
     """
@@ -58,6 +58,7 @@ def measure(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(" \t\n\x0b\f\r"))) > 0)
     parts = docs.select(
         "doc_id",
+        *keep,
         words_of("text").alias("words"),
         lines.alias("lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -66,6 +67,7 @@ def measure(docs: DataFrame) -> DataFrame:
     words = F.col("words")
     counted = parts.select(
         "doc_id",
+        *keep,
         "n_symbols",
         "n_upper",
         F.size("words").cast("long").alias("n_words"),
@@ -89,16 +91,16 @@ def measure(docs: DataFrame) -> DataFrame:
         lambda acc, at: F.struct(at.alias("last"), (acc["n"] + F.least(F.lit(3), at - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return ranked.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).select("doc_id", *MEASURES)
+    return ranked.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).select("doc_id", *keep, *MEASURES)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and `fail_bits`: bit i is set if the i-th rule fails."""
+def ledger(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, the measurements, and `fail_bits`: bit i is set if the i-th rule fails."""
     bits = [F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, fails in enumerate(rules().values())]
     fail_bits = bits[0]
     for bit in bits[1:]:
         fail_bits = fail_bits.bitwiseOR(bit)
-    return measure(docs).withColumn("fail_bits", fail_bits)
+    return measure(docs, *keep).withColumn("fail_bits", fail_bits)
 
 
 def rejected_by(policy: Policy, bits: str = "fail_bits") -> Column:
@@ -135,6 +137,12 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
+    """The documents that the policy keeps, with their own columns; texts are measured where they lie, and nothing moves."""
+    named = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return ledger(named, "doc").where(~rejected_by(policy)).select("doc.*")
+
+
 def op1(docs: DataFrame) -> DataFrame:
     """The ledger under the production policy, with the verdict of the two base rules beside it."""
     book = apply_policy(ledger(docs), PRODUCTION)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_model, media, mixing, pieces, pii, quality_model, quality_rules, simhash, token_store
+from quern.llm import language_model, media, mixing, pieces, pii, quality_model, quality_rules, simhash, token_store, toxicity
 from quern.llm.common import documents, labels
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op1(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.op3(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_model, op4_mix_sources, op5_pii_deobfuscation, op6_quality_classifier, op7_pieces, op8_media_avi, op9_token_store, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_model, op4_mix_sources, op5_pii_deobfuscation, op6_quality_classifier, op7_pieces, op8_media_avi, op9_token_store, op10_simhash_near_dedup)}
 ORACLE = {"op1_quality_rules": quality_rules.ORACLE}

@@ -50,12 +50,17 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t) for t in texts_of(batch)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and `fp`, the fingerprint as a signed long."""
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprints, "doc_id long, fp long")
+    """doc_id, `row`, a hash of the whole row, and `fp`, the fingerprint as a signed long."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), "text")
+    return map_batches(keyed, _fingerprints, "doc_id long, row long, fp long")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _variants(at: Column, value: Column, bits: int) -> Column:
@@ -107,15 +112,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id reachable over links, the document itself included."""
+    """doc_id, row, fp, component_id (the smallest doc_id reachable over links, the document itself included) and
+    `group`, the component's smallest fingerprint, which tells components apart even where no row has a doc_id.
+    """
     each = materialise(fingerprints(docs), "simhash")
     reps = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     found = components(links(reps.select("fp"))).withColumnRenamed("node", "fp")
     joined = found.join(reps, "fp")
     least = joined.groupBy("label").agg(F.min("rep").alias("least"))
-    linked = joined.join(least, "label").select("fp", "least")
-    by_fp = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    linked = joined.join(least, "label").select("fp", "label", "least")
+    by_fp = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("label", "fp").alias("group"))
+    return each.join(by_fp, "fp").select("doc_id", "row", "fp", "component_id", "group")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each group, that of the smallest doc_id (a null one last; ties go to the smaller row hash), with all its columns.
+
+    The choice is made on ids and hashes alone; texts move once, to meet it. Of rows that are alike in every column one stays.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    chosen = cluster(docs).groupBy("group", "doc_id", "row").agg(F.count("*").alias("n"))
+    chosen = chosen.groupBy("group").agg(F.min_by(F.struct("doc_id", "row", "n"), place).alias("c"))
+    chosen = materialise(chosen.select(F.col("c.doc_id").alias("keep_id"), F.col("c.row").alias("keep_row"), F.col("c.n").alias("keep_n")), "simhash-kept")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"))
+
+    def kept(some: DataFrame) -> DataFrame:
+        return named.join(some, (F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+
+    once = kept(chosen.where("keep_n = 1"))
+    again = kept(chosen.where("keep_n > 1")).dropDuplicates(["doc_id", "row"])
+    return once.unionByName(again).select("doc.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:
