@@ -1,8 +1,48 @@
-"""Stages that prepare a corpus, each over all rows its predecessor kept."""
+"""Stages that prepare a corpus, each over all rows its predecessor kept.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder and
+rereads it, so a lost executor costs at most the stage at hand. All stages but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import mixing, pieces, pii, quality_rules, simhash
+from quern.llm.common import documents, materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy of the quality rules keeps."""
+    return quality_rules.accepted(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, repeats included."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text's ids, checked by decoding them."""
+    return pieces.encoded(docs)
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("pii", personal_data), ("mix_sources", mix), ("pieces", encode)]
+ORACLE_SQL = None  # fingerprints, deobfuscation and Viterbi encoding are beyond SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
