@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from quern.llm import mixing, pieces, pii, quality_rules
+from quern.llm.common import materialise
 from tests.llm import cases
 from tests.llm.test_simhash import brute, reach
 
@@ -15,23 +16,23 @@ def key(rows):
 
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = corpus_pipeline.quality(spark, docs, SF)
+    kept = materialise(corpus_pipeline.quality(spark, docs, SF), "kept")
     book = {r.doc_id: r.kept for r in quality_rules.op1(docs).collect()}
     assert kept.columns == COLUMNS and key(kept.collect()) == key(r for r in docs.collect() if book[r.doc_id])
 
-    one = corpus_pipeline.near_dedup(spark, kept, SF)
+    one = materialise(corpus_pipeline.near_dedup(spark, kept, SF), "one")
     rows = kept.collect()
     groups = defaultdict(list)
     for r, c in zip(rows, reach([r.doc_id for r in rows], brute([(r.doc_id, r.text) for r in rows])), strict=True):
         groups[c].append(r)
     assert one.columns == COLUMNS and key(one.collect()) == key(min(g, key=lambda r: r.doc_id) for g in groups.values())
 
-    clean = corpus_pipeline.personal_data(spark, one, SF)
+    clean = materialise(corpus_pipeline.personal_data(spark, one, SF), "clean")
     want = {r.doc_id: pii.redact(r.text) for r in one.collect()}
     assert clean.columns == COLUMNS and {r.doc_id: r.text for r in clean.collect()} == want
     assert all(r.n_chars == len(r.text) for r in clean.collect())
 
-    mixed = corpus_pipeline.mix(spark, clean, SF)
+    mixed = materialise(corpus_pipeline.mix(spark, clean, SF), "mixed")
     taken = {r.doc_id: r.taken for r in mixing.op4(clean).collect()}
     words = defaultdict(int)
     for r in mixed.collect():
@@ -53,13 +54,13 @@ def test_run(spark):
 
 def test_odd_and_empty(spark):
     odd = cases.odd(spark)
-    one = corpus_pipeline.near_dedup(spark, odd, SF)
+    one = materialise(corpus_pipeline.near_dedup(spark, odd, SF), "one")
     assert one.columns == odd.columns
     assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "10", "11", "3", "6", "7", "8", "9", "None"]
     assert corpus_pipeline.quality(spark, odd, SF).columns == odd.columns
     docs, empty = odd, cases.empty(spark)
     for _, stage in corpus_pipeline.STAGES:
-        docs, empty = stage(spark, docs, SF), stage(spark, empty, SF)
+        docs, empty = materialise(stage(spark, docs, SF), "odd"), materialise(stage(spark, empty, SF), "odd")
         assert docs.count() >= 0 and empty.count() == 0
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, odd, SF).count() > 0
