@@ -2,8 +2,8 @@
 
 A word's input holds a learnt vector of the word (if training saw it often enough), the mean of learnt vectors of its character
 trigrams, and two log-odds that say how much more often toxic training documents hold the word and its trigrams. The network
-reads every window of WINDOW words, each overlapping the one before, over the whole text; a document's score is that of its
-most toxic window. Training picks each document's most toxic window anew every few epochs and learns from it.
+reads every window of WINDOW words, one from each word on, over the whole text; a document's score is that of its most toxic
+window. Training picks each document's most toxic window, of all of them, anew every few epochs and learns from it.
 
 The model is fitted on a bounded sample of labelled rows outside the held-out fold: at most SAMPLE of label 1 and 2 * SAMPLE of
 label 0, those of the least hash of doc_id. Neither labels, lang, source nor doc_id enter a score.
@@ -30,7 +30,7 @@ from quern.llm.common import fold_of, map_batches, texts_of
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 1000
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 6, 6
 TRIGRAMS = 4096
@@ -39,7 +39,7 @@ EPOCHS, RESELECT = 16, (0, 2, 5, 9)
 BATCH = 96
 RATE = 0.02
 SEED = 7
-_CHUNK = 4096
+_CHUNK = 1024
 _CACHE = 250_000
 _WORD = re.compile(r"\w+")
 
@@ -64,7 +64,7 @@ def trigrams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def windows_of(n: int) -> list[int]:
     """First words of the windows over n words."""
-    return list(range(0, max(1, n - (WINDOW - STRIDE)), STRIDE))
+    return list(range(max(1, n - WINDOW + 1)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -137,6 +137,55 @@ class Net:
             keep |= {"h": h, "s": s, "alpha": alpha, "pooled": pooled}
         return pooled @ self.p["wo"] + self.p["bo"]
 
+    def slide(self, x: np.ndarray) -> np.ndarray:
+        """The logits of all len(x) - WINDOW + 1 windows of a run of input vectors: what `logits` gives, without padding."""
+        b, both = len(x) - WINDOW + 1, 2 * HIDDEN
+        halves = np.repeat(np.float32([0.5, 1]), [both, HIDDEN])[:, None]  # the gates' sigmoid is taken from tanh of one half
+        hidden, hu = np.empty((WINDOW, both, b), np.float32), np.empty((3 * HIDDEN, b), np.float32)
+        for i, side in enumerate(("f", "b")):
+            px = halves * (self.p[f"w{side}"].T @ x.T + self.p[f"c{side}"][:, None])
+            u, h = np.ascontiguousarray(halves * self.p[f"u{side}"].T), np.zeros((HIDDEN, b), np.float32)
+            for k in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
+                np.matmul(u, h, out=hu)
+                g = hu[:both]
+                g += px[:both, k : k + b]
+                np.tanh(g, out=g)
+                g *= 0.5
+                g += 0.5
+                n = hu[both:]
+                n *= g[HIDDEN:]
+                n += px[both:, k : k + b]
+                np.tanh(n, out=n)
+                h -= n
+                h *= g[:HIDDEN]
+                h += n
+                hidden[k, i * HIDDEN : (i + 1) * HIDDEN] = h
+        e = np.matmul(self.p["va"], np.tanh(np.matmul(np.ascontiguousarray(self.p["wa"].T), hidden)))
+        e = np.exp(e - e.max(0))
+        return (e * np.matmul(self.p["wo"], hidden)).sum(0) / e.sum(0) + self.p["bo"]
+
+    def window_logits(self, table: np.ndarray, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """The logits of all windows of each text, given as rows of a table of input vectors, whose row 0 is padding."""
+        out: list[np.ndarray] = [np.zeros(0)] * len(rows)
+        short = [i for i, r in enumerate(rows) if len(r) < WINDOW]
+        for a in range(0, len(short), _CHUNK):
+            at = np.zeros((len(short[a : a + _CHUNK]), WINDOW), np.int32)
+            for line, i in zip(at, short[a : a + _CHUNK], strict=True):
+                line[: len(rows[i])] = rows[i]
+            ids, where = np.unique(at, return_inverse=True)
+            found = self.logits(table[ids], where.reshape(-1, WINDOW), (at > 0).astype(np.float32))
+            for k, i in enumerate(short[a : a + _CHUNK]):
+                out[i] = found[k : k + 1]
+        long = [i for i, r in enumerate(rows) if len(r) >= WINDOW]
+        if long:  # all in one run; windows over the end of a text are left out afterwards
+            run = np.concatenate([rows[i] for i in long])
+            found = np.concatenate([self.slide(table[run[a : a + _CHUNK + WINDOW - 1]]) for a in range(0, len(run) - WINDOW + 1, _CHUNK)])
+            first = 0
+            for i in long:
+                out[i] = found[first : first + len(rows[i]) - WINDOW + 1]
+                first += len(rows[i])
+        return out
+
     def gradients(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the weighted cross-entropy by parameter, and by input vector."""
         keep: dict = {}
@@ -191,26 +240,13 @@ class Reader:
 
     def scores(self, texts: list[str]) -> list[float]:
         """The score of each whole text: its most toxic window's."""
-        rows = self._rows([words_in(t) for t in texts])
-        at, owner = windows(rows)
-        best = np.full(len(texts), -np.inf)
-        for a in range(0, len(at), _CHUNK):
-            ids, where = np.unique(at[a : a + _CHUNK], return_inverse=True)
-            logits = self.net.logits(self.table[ids], where.reshape(-1, WINDOW), (at[a : a + _CHUNK] > 0).astype(np.float32))
-            np.maximum.at(best, owner[a : a + _CHUNK], logits)
-        return _sigmoid(best).tolist()
-
-
-def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all windows of all texts, 0 as padding, and the text of each window."""
-    parts, owner = [], []
-    for i, r in enumerate(rows):
-        starts = windows_of(len(r))
-        padded = np.zeros(starts[-1] + WINDOW, np.int32)
-        padded[: len(r)] = r[: len(padded)]
-        parts.append(padded[np.array(starts)[:, None] + np.arange(WINDOW)])
-        owner += [i] * len(starts)
-    return (np.concatenate(parts) if parts else np.zeros((0, WINDOW), np.int32)), np.array(owner, np.int64)
+        found = self.net.window_logits(self.table, self._rows([words_in(t) for t in texts]))
+        return _sigmoid(np.array([x.max() for x in found])).tolist()
+
+
+def _of_highest(scores: np.ndarray) -> int:
+    """The first word of the window that holds the highest score of a word, that word as near its middle as can be."""
+    return min(max(0, int(scores.argmax()) - WINDOW // 2), max(0, len(scores) - WINDOW))
 
 
 def _log_odds(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -246,26 +282,27 @@ def fit(texts: list[str], y: list[int]) -> Net:
         flat = grams[np.repeat(starts[at] - first, n) + np.arange(n.sum())]
         return np.vstack([np.zeros((len(ids) - len(at), 2 + WORD_DIM + CHAR_DIM), np.float32), net.mix(rows[at], flat, first)]), rows[at], flat, n
 
-    at, owner = windows([np.array([index[w] for w in ws], np.int32) for ws in words])
+    texts_rows = [np.array([index[w] for w in ws], np.int32) for ws in words]
+    padded = [np.append(r, np.zeros(max(0, WINDOW - len(r)), np.int32)) for r in texts_rows]
     labels, rng = np.array(y, np.float32), np.random.default_rng(SEED)
     balance = np.where(labels > 0, min(4.0, n0 / n1) ** 0.5, 1.0).astype(np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    chosen, turn = np.zeros(len(y), np.int64), 0
+    turn = 0
     for epoch in range(EPOCHS):
         if epoch in RESELECT:
             x = inputs(np.arange(len(distinct) + 1))[0]
             if epoch == 0:  # nothing is learnt yet: start from the windows of the highest log-odds
-                scores = x[:, :2].sum(1)[at].max(1)
+                odds = x[:, :2].sum(1)
+                chosen = [_of_highest(odds[r]) for r in padded]
             else:
-                scores = np.concatenate([net.logits(x, at[a : a + _CHUNK], (at[a : a + _CHUNK] > 0).astype(np.float32)) for a in range(0, len(at), _CHUNK)])
-            order = np.lexsort((scores, owner))
-            chosen = order[np.append(np.flatnonzero(np.diff(owner[order])), len(order) - 1)]
+                chosen = [int(v.argmax()) for i in range(0, len(y), BATCH) for v in net.window_logits(x, texts_rows[i : i + BATCH])]
+            at = np.stack([r[k : k + WINDOW] for r, k in zip(padded, chosen, strict=True)])
         order = rng.permutation(len(y))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
-            ids, where = np.unique(at[chosen[pick]], return_inverse=True)
+            ids, where = np.unique(at[pick], return_inverse=True)
             x, of, flat, n = inputs(ids)
-            g, dx = net.gradients(x, where.reshape(-1, WINDOW), (at[chosen[pick]] > 0).astype(np.float32), labels[pick], balance[pick])
+            g, dx = net.gradients(x, where.reshape(-1, WINDOW), (at[pick] > 0).astype(np.float32), labels[pick], balance[pick])
             dx = dx[len(ids) - len(of) :]
             g["word"] = _scatter(of, dx[:, 2 : 2 + WORD_DIM], len(net.p["word"]))
             g["char"] = _scatter(flat, np.repeat(dx[:, 2 + WORD_DIM :] / n[:, None], n, axis=0), TRIGRAMS)

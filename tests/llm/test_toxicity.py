@@ -45,6 +45,18 @@ def test_every_window_of_a_text_counts():
     assert whole > reader.scores(["good calm words here " * 40])[0]
 
 
+def test_windows_start_at_every_word():
+    """Each run of WINDOW words counts, whatever its place: a text scores as the highest of all of them."""
+    net = tx.Net({"a": 1}, np.zeros(2, np.float32), np.zeros(tx.TRIGRAMS, np.float32))
+    net.start()
+    rng = np.random.default_rng(3)
+    for n in (5, 32, 33, 56, 150):
+        words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(n)]
+        alone = [tx.Reader(net).scores([" ".join(words[a : a + 32])])[0] for a in range(max(1, n - 31))]
+        assert tx.Reader(net).scores(["x", " ".join(words), "y " * 40])[1] == pytest.approx(max(alone), abs=1e-6)
+    assert tx.windows_of(150) == list(range(119))
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     net = tx.Net({"a": 1}, np.zeros(2, np.float32), np.zeros(tx.TRIGRAMS, np.float32))
