@@ -108,10 +108,13 @@ _POINT_WORD = re.compile(r"(?i)(?<=[0-9])[ ]{1,2}(?:dot|point)[ ]{1,2}(?=[0-9])"
 _PLUS_WORD = re.compile(r"(?i)(?<![^\W_])plus[ ]{1,2}(?=[0-9])")
 _AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(?: {0,2}(?:\([ ]?(?:at|@)[ ]?\)|\[[ ]?(?:at|@)[ ]?\]|\{[ ]?(?:at|@)[ ]?\}|<[ ]?at[ ]?>) {0,2}| {1,2}(?:at|@) {1,2}| @|@ |_at_|-at-)(?=[A-Za-z0-9])")
 _DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-])(?: {0,2}(?:\([ ]?(?:dot|\.)[ ]?\)|\[[ ]?(?:dot|\.)[ ]?\]|\{[ ]?(?:dot|\.)[ ]?\}|<[ ]?dot[ ]?>) {0,2}| {1,2}(?:dot|\.) {1,2}|_dot_|-dot-)(?=[A-Za-z0-9])")
-#: A bare " at " is read as @ only if the rest of the match holds a disguised or real dot and ends like a domain.
-_AFTER_AT = re.compile(r"(?i)[A-Za-z0-9-]{1,63}(?: {0,2}[\(\[{<]? ?(?:dot|\.) ?[\)\]}>]? {0,2}[A-Za-z0-9-]{1,63}){0,4} {0,2}[\(\[{<]? ?(?:dot|\.) ?[\)\]}>]? {0,2}(?:[a-z]{2,3}|info|example|name|mail|test|local|invalid)(?![^\W_])")
+#: An at is read as @ only if labels with real or disguised dots between follow it. Labels and dots give nothing back, so a match stays linear.
+_HOST = r"(?i)(?:(?>(?:(?!-dot-)[A-Za-z0-9-]){1,63})(?>_dot_|-dot-| {0,2}[\(\[{<]? ?(?:dot|\.) ?[\)\]}>]? {0,2})){1,126}"
+_AFTER_AT = re.compile(_HOST + r"[a-z]{2,63}(?![^\W_])")
+#: After a bare " at " the last label must look like a top-level domain, too.
+_AFTER_BARE_AT = re.compile(_HOST + r"(?:[a-z]{2,3}|info|example|name|mail|test|local|invalid)(?![^\W_])")
 _NO_DOMAIN = re.compile(r"(?i)(?:the|a|an|this|that|these|those|our|my|your|his|her|its|their|any|each|some|no|one)(?![A-Za-z0-9-])")
-_TRIGGER = re.compile(r"(?i)(?<![^\W_])(?:at|dot|@)(?![^\W_])")
+_TRIGGER = re.compile(r"(?i)(?<![^\W_])(?:at|dot|@)(?![^\W_])| @|@ ")
 
 
 class Transduced:
@@ -154,17 +157,20 @@ def _spelled_digits(state: Transduced) -> None:
 
 
 def _at_dot(state: Transduced) -> None:
-    ats = []
+    ats, bare_ats, shorter = [], set(), 0
     for m in _AT.finditer(state.text):
         bare = m.group().strip(" ").lower() == "at"
-        if _AFTER_AT.match(state.text, m.end()) and not (bare and _NO_DOMAIN.match(state.text, m.end())):
+        if (_AFTER_BARE_AT if bare else _AFTER_AT).match(state.text, m.end()) and not (bare and _NO_DOMAIN.match(state.text, m.end())):
             ats.append((*m.span(), "@"))
+            if bare:
+                bare_ats.add(m.start() - shorter)  # where its @ will stand
+            shorter += len(m.group()) - 1
     state.rewrite(ats)
     if "@" not in state.text:
         return
     dots, at, free = [], state.text.find("@"), 0
     while at >= 0:
-        tail = _AFTER_AT.match(state.text, at + 1)
+        tail = (_AFTER_BARE_AT if at in bare_ats else _AFTER_AT).match(state.text, at + 1)
         if tail:
             dots += [(*m.span(), ".") for m in _DOT.finditer(state.text, max(at, free), tail.end()) if m.end() < tail.end()]
             free = tail.end()
@@ -174,7 +180,7 @@ def _at_dot(state: Transduced) -> None:
 
 def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans found only after the transducers, as source spans that hold a disguise and overlap no base span of their kind."""
-    wanted = (bool(_GLYPH.search(text)), bool(_HAS_DIGIT_WORD.search(text)), bool(_TRIGGER.search(text)) or "_at_" in text.lower())
+    wanted = (bool(_GLYPH.search(text)), bool(_HAS_DIGIT_WORD.search(text)), bool(_TRIGGER.search(text)) or ("@" in text and bool(_DOT.search(text))))
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     if not any(wanted):
         return found

@@ -54,6 +54,21 @@ def test_disguises():
     assert spans(f"pay {card} please") == {"card": [card]}
 
 
+def test_any_domain_after_a_marked_at():
+    """Only a bare " at " needs a well-known ending; every form of at and dot opens the search."""
+    for email in (
+        *("jane (at) corp [dot] online", "jane [at] example.tech", "jane {at} my.shop", "jane <at> corp.email", "jane_at_corp_dot_online", "jane-at-corp-dot-photography"),
+        *("jane @example.com", "jane@ example.com", "jane @ corp.museum", "jane@corp[.]com", "jane@corp . online", "jane@corp(dot)online", "jane (@) corp.online"),
+        *("jane (at) a [dot] b [dot] c [dot] d [dot] e [dot] f [dot] g [dot] online", "jane at corp dot info"),
+    ):
+        assert spans(f"mail: {email}, soon") == {"email": [email]}, email
+    for text in ("jane at work dot matrix", "lunch @ Joes. Then home", "jane at corp.online", "apples @ 2 dollars"):
+        assert spans(text) == {}
+    assert pii.redact("to jane [at] example.tech now") == "to <email> now"
+    for text in ("x at y dot at dot " * 20000, "a @ b . " * 30000, "x (at) " + "a . " * 60000, "x@" + "a-dot-" * 40000, "a@ " * 50000):
+        pii.find(text)
+
+
 def test_clean_text_has_none():
     for text in ("we met at noon. then we left", "look at the dot com boom", "one two three four", "he was at home dot", "le café · naïve – fin"):
         assert spans(text) == {}
