@@ -61,13 +61,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("an added token of the vocabulary takes in or minds its neighbours")
+        #: The tokenizer takes these out of a text first, and what stands between them is cut on its own.
+        self.added = [t.content for t in added]
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.known: dict[str, bytes] = {}
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
+    def _units(self, text: str) -> list[str]:
+        if not any(x in text for x in self.added):
+            return _UNIT.findall(text)
+        return [u for i, part in enumerate(self.cut_added.split(text)) for u in ([part] if i % 2 else _UNIT.findall(part))]
+
     def _learn(self, units: set[str], known: dict[str, bytes]) -> None:
         """Add the ids of units to `known`. Many are encoded at once, with line ends between, whose id occurs nowhere else."""
         plain = [u for u in units if u.strip() and len(self.line_end) == 1]
@@ -86,7 +96,7 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, serialized."""
-        split = [_UNIT.findall(t) for t in texts]
+        split = [self._units(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + 2 * len(new) > _CACHE_WORDS:
             self.known = {}

@@ -17,6 +17,26 @@ def test_units_encode_as_whole_texts(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+UNMODIFIED = Tokenizer.from_file(ts.default_vocabulary())
+PIECES = st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "\n", "a", "B1", ".", ", ", "é日", "word "])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(PIECES, max_size=12).map("".join))
+def test_added_tokens_encode_as_by_an_unmodified_tokenizer(text):
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == UNMODIFIED.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_documents(spark):
+    texts = ["one <|endoftext|> two", "plain", "<|endoftext|>", "x<|endoftext|><|endoftext|>. y"]
+    out = sorted(map(tuple, ts.op9(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    start = 0
+    for row, text in zip(out, texts, strict=True):
+        ids = [*UNMODIFIED.encode(text, add_special_tokens=False).ids, ts.END_ID]
+        assert row[1:] == (start, len(ids), ts.crc_of(ids)) and (50256 in ids) == ("<|" in text)
+        start += len(ids)
+
+
 def expected(rows):
     start, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
