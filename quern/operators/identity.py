@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder of spark.checkpoint.dir and read back, so that a loop's lineage stays short."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/quern/identity-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quern.storage import new_path, remove, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node it is linked with, for all nodes of the edges (a, b). Large-star and small-star rounds."""
-    now, state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    spark = edges.sparkSession
+    paths = [new_path(spark, "components")]
+    now, state = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), paths[0]), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(rest.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        paths.append(new_path(spark, "components"))
+        now = stored(rest.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), paths[-1])
+        remove(spark, paths.pop(0))
         was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if was == state:
             tops = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import dense, lexical
-from quern.operators.identity import written
 from quern.plans.registry import query
+from quern.storage import materialise
 
 _FIELDS = {"text": 1.2, "source": 1.5, "lang": 1.0}
 
@@ -34,7 +34,7 @@ sc AS (SELECT qid, id, bm25, least(1.0::DOUBLE, CASE WHEN total > 0 THEN seen /
 
 def _search(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), *_FIELDS)
-    index = written(lexical.postings(docs, _FIELDS))  # read three times: for frequencies, scores and coverage
+    index = materialise(lexical.postings(docs, _FIELDS), "postings")  # read three times: for frequencies, scores and coverage
     asked = t("benchmark").select(F.col("item_id").alias("qid"), F.explode(tx.words("text")).alias("term")).distinct()
     return lexical.bm25f(lexical.weighted(asked, index, docs.count()), index)
 
