@@ -1,19 +1,24 @@
-"""What the operators share: the shared folder, materialised tables, Arrow batches and word splitting."""
+"""What the operators share: the input tables, bounded Arrow batches, folds and word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.storage import materialise, new_path, remove, shared_folder, stored
+
+__all__ = ["documents", "fold_of", "labels", "map_batches", "materialise", "new_path", "remove", "shared_folder", "slices", "stored", "texts_of", "words_of"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 SPACE_RUN = r"[ \t-\r]+"
-#: Rows in an Arrow batch: documents can be long, so a batch must stay small.
+#: Most rows and bytes that a function is given at a time; a row of more bytes comes alone. Spark bounds what arrives (64 MB).
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,24 +29,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, and prunes columns on reading."""
-    path = f"{shared_folder(df.sparkSession)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column | str) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE_RUN, -1), "")
@@ -52,11 +39,41 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches, so that a batch of very long texts fits in a worker."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a column, roughly."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(kind):
+        return 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.full(len(column), 8)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of at most `rows` rows and `size` bytes."""
+    for batch in batches:
+        ends = np.cumsum(sum(_row_bytes(c) for c in batch.columns)) if batch.num_columns else np.zeros(len(batch))
+        at = 0
+        while at < len(batch):
+            done = ends[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def map_batches(
+    df: DataFrame,
+    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+    rows: int = BATCH_ROWS,
+    size: int = BATCH_BYTES,
+) -> DataFrame:
+    """mapInArrow with bounded batches, so that very long texts fit in a worker; no setting of the session is touched."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(slices(batches, rows, size))
+
+    return df.mapInArrow(bounded, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

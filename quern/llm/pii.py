@@ -250,6 +250,5 @@ def op5(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in `text` and `n_chars` counted anew; null texts stay null."""
     clean = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else redact(t)), "string")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, materialise, texts_of
+from quern.llm.common import map_batches, materialise, new_path, remove, stored, texts_of
 
 SHINGLE = 3
 SEED = 42
@@ -96,8 +96,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star until the edges no longer change. Each round is written to the shared folder.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "components")
-    state = None
+    spark = edges.sparkSession
+    path, state = new_path(spark, "components"), None
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), path)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -105,7 +106,9 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, "components")
+        before, path = path, new_path(spark, "components")
+        now = stored(small, path)
+        remove(spark, before)
         was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if was == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
