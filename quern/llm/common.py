@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.storage import materialise, new_path, remove, shared_folder, stored
 
-__all__ = ["documents", "fold_of", "labels", "map_batches", "materialise", "new_path", "remove", "shared_folder", "slices", "stored", "texts_of", "words_of"]
+__all__ = ["column", "documents", "fold_of", "labels", "map_batches", "materialise", "new_path", "remove", "row_hash", "shared_folder", "slices", "stored", "texts_of", "words_of"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 SPACE_RUN = r"[ \t-\r]+"
@@ -29,6 +30,24 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its own name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, T.MapType | T.VariantType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but those whose type Spark does not hash (maps and variants)."""
+    return F.xxhash64(*[column(f.name) for f in df.schema if _hashable(f.dataType)])
+
+
 def words_of(text: Column | str) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE_RUN, -1), "")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, materialise, new_path, remove, stored, texts_of
+from quern.llm.common import column, map_batches, materialise, new_path, remove, row_hash, stored, texts_of
 
 SHINGLE = 3
 SEED = 42
@@ -54,15 +54,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, `row`, a hash of the whole row, and `fp`, the fingerprint as a signed long."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), "text")
+    """doc_id, `row`, a hash of the whole row (columns of map type left out), and `fp`, the fingerprint as a signed long."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), "text")
     return map_batches(keyed, _fingerprints, "doc_id long, row long, fp long")
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def _variants(at: Column, value: Column, bits: int) -> Column:
     """Key of one-wildcard variant `at` (0 to 2 * bits - 1) of the two `bits`-wide segments of `value`."""
     segment = F.expr(f"shiftrightunsigned({value}, cast({at} div {bits} * {bits} as int))").bitwiseAND(F.lit((1 << bits) - 1))
@@ -137,7 +133,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     chosen = cluster(docs).groupBy("group", "doc_id", "row").agg(F.count("*").alias("n"))
     chosen = chosen.groupBy("group").agg(F.min_by(F.struct("doc_id", "row", "n"), place).alias("c"))
     chosen = materialise(chosen.select(F.col("c.doc_id").alias("keep_id"), F.col("c.row").alias("keep_row"), F.col("c.n").alias("keep_n")), "simhash-kept")
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"))
+    named = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"))
 
     def kept(some: DataFrame) -> DataFrame:
         return named.join(some, (F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
@@ -148,4 +144,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    return cluster(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return cluster(docs.select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
