@@ -5,12 +5,13 @@ score(w | v1, v2) = (r[v1] M1 + r[v2] M2) . q[w] + b[w]. Classes are the end, th
 buckets of all other words by their last two bytes; within a bucket a word has its smoothed share of the bucket's counts. So
 all words seen in training, and one more per bucket, share a probability of one.
 
-Every partition of the training documents runs NCE over all its tokens from common parameters, and Spark averages the
-parameters by tokens; ROUNDS such rounds. As the score is a sum over the two contexts, the normaliser of every pair of contexts
+Training documents are dealt by a hash to shards of about SHARD_TOKENS tokens, in order of that hash within a shard. Every shard
+runs NCE over all its tokens from common parameters, and the parameters are averaged by tokens, in fixed point, so that the result
+does not depend on how the rows lay; ROUNDS such rounds. As the score is a sum over the two contexts, the normaliser of every pair of contexts
 is one product of two matrices, exp(A1) diag(exp b) exp(A2)^T, and a token's log-probability is four table look-ups.
 
-Counts cover all training documents. The DICTIONARY most frequent words (of at most LONGEST bytes) are broadcast, which bounds
-them; all rarer words meet their counts in a shuffled join.
+Counts cover all training documents. The most frequent words (of at most LONGEST bytes; as many counts as fit into DICTIONARY
+words) are broadcast, which bounds them; all rarer words meet their counts in a shuffled join.
 
 Defined results: a null or empty text is its end alone. Repeated rows are counted and scored each. Without training
 documents every count is 0 and the classes are alike. Extra columns are ignored; an empty table gives an empty result.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold_of, map_batches, materialise, texts_of
+from quern.llm.common import fold_of, map_batches, materialise, new_path, remove, stored, texts_of
 
 FOLDS, HELD_OUT = 7, 2
 CLASS_WORDS = 1024
@@ -45,7 +46,10 @@ NOISE = 48
 RATE = 0.1
 SEED = 3
 END = "\n"  # no word holds it
+SHARD_TOKENS = 1 << 21
 _FLUSH = 400_000
+_FINE = 10  # counts are told apart by their leading bits when the dictionary's least count is sought
+_POINT = float(1 << 44)
 
 
 def words_in(text: str) -> list[bytes]:
@@ -148,7 +152,7 @@ def contexts(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Trainer:
     """NCE with noise shared by a mini-batch, and Adagrad."""
 
-    def __init__(self, model: Model, seed: int):
+    def __init__(self, model: Model, seed: list[int]):
         self.model, self.rng, self.tokens = model, np.random.default_rng(seed), 0
         self.p = [x.astype(np.float32).copy() for x in model.parameters()]
         self.g = [np.full_like(x, 1e-3) for x in self.p]
@@ -190,9 +194,28 @@ def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
 
 
+def frequent(counts: DataFrame) -> list:
+    """The most frequent words, most frequent first: all whose count is above the least one at which they are DICTIONARY at most.
+
+    The least count is found from a histogram of counts, of some thousand rows at any size, so nothing else is collected.
+    """
+    short = counts.where((F.octet_length("word") <= LONGEST) & (F.col("word") != END))
+    shift = F.greatest(F.lit(0), F.length(F.conv(F.col("c"), 10, 2)) - _FINE).cast("int")
+    keyed = short.withColumn("key", (F.lit(1 << _FINE) * shift).cast("long") + F.call_function("shiftright", F.col("c"), shift))
+    least, room = None, DICTIONARY
+    for r in sorted(keyed.groupBy("key").agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.key
+    if least is None:
+        return []
+    return sorted(keyed.where(F.col("key") >= least).select("word", "bucket", "c").collect(), key=lambda r: (-r.c, r.word.encode()))
+
+
 def prepare(counts: DataFrame) -> Model:
     """The model's tables from the counts; the dictionary and the bucket totals are all that reaches the driver."""
-    top = counts.where((F.octet_length("word") <= LONGEST) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(DICTIONARY).collect()
+    top = frequent(counts)
     classed = [r.word for r in top[:CLASS_WORDS]]
     rest = counts.where((F.col("word") != END) & ~F.col("word").isin(classed)) if classed else counts.where("false")
     buckets = {r.bucket: (r.n, r.v) for r in rest.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
@@ -212,38 +235,92 @@ def prepare(counts: DataFrame) -> Model:
     return model
 
 
-def train(model: Model, docs: DataFrame) -> Model:
-    """Rounds of NCE in every partition over all its tokens, averaged by tokens."""
-    sizes = [x.size for x in model.parameters()]
+def shards(model: Model, docs: DataFrame) -> DataFrame:
+    """shard, part and `tokens` (the classes of a shard's texts one after another, each closed by the end) of the training documents.
+
+    A text's classes are found once for all rounds. A shard is one row, or more if a very long text makes it too large.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.words, model.classes))
+    n_shards = max(1, -(-model.tokens // SHARD_TOKENS))
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes = shared.value
+        local = Model(words, classes, *[np.zeros(0)] * 4, 0, 0)
+        for batch in batches:
+            _, cls, starts, _, _ = sequences(local, texts_of(batch))
+            out = [x.astype("<u2").tobytes() for x in np.split(cls, starts[1:])] if len(starts) else []
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("h"), pa.array(out, pa.binary())], ["shard", "h", "tokens"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, held, size = None, 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["shard", "part", "tokens"])
+
+        for batch in batches:
+            for shard, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if held and (shard != at or size > 4 * SHARD_TOKENS):
+                    yield row()
+                    part, held, size = (part + 1 if shard == at else 0), [], 0
+                at, size = shard, size + len(tokens)
+                held.append(tokens)
+        if held:
+            yield row()
+
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").select(F.pmod("h", F.lit(n_shards)).alias("shard"), "h", "text")
+    each = map_batches(hashed, classify, "shard long, h long, tokens binary").repartition("shard").sortWithinPartitions("shard", "h", "tokens")
+    return map_batches(each.select("shard", "tokens"), pack, "shard long, part long, tokens binary", rows=4096)
+
+
+def train(model: Model, docs: DataFrame) -> Model:
+    """Rounds of NCE in every shard over all its tokens, averaged by tokens."""
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "lm-shards")
+    dealt = stored(shards(model, docs), path)
 
     for turn in range(ROUNDS):
-        now = [x.copy() for x in model.parameters()]
-        noise = model.noise
+        shared = spark.sparkContext.broadcast((model.noise, model.tokens, model.parameters()))
 
-        def run(batches: Iterator[pa.RecordBatch], now: list = now, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            words, classes = shared.value
-            local = Model(words, classes, *[np.zeros(0)] * 3, noise, 0, 0, *now)
-            trainer = Trainer(local, 1000 * turn + TaskContext.get().partitionId())
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            noise, all_tokens, now = shared.value
+            local, total = Model({}, *[np.zeros(0)] * 4, noise, 0, 0, *now), None
             for batch in batches:
-                _, cls, starts, _, _ = sequences(local, texts_of(batch))
-                if len(cls):
+                for shard, part, tokens in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "tokens")), strict=True):
+                    cls = np.frombuffer(tokens, "<u2").astype(np.int32)
+                    starts = np.append(0, np.flatnonzero(cls == 0)[:-1] + 1)  # a text begins after the end of another
+                    trainer = Trainer(local, [SEED, turn, shard, part])
                     trainer.learn(*contexts(cls, starts), cls)
-            if trainer.tokens:
-                flat = np.concatenate([x.ravel() for x in trainer.p]).astype(np.float64) * trainer.tokens
-                rows = [*np.array_split(flat, 64), np.array([trainer.tokens], np.float64)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["i", "v"])
-
-        parts = map_batches(docs.select("text"), run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
-        sums = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("v")).orderBy("i").collect()
+                    flat = np.concatenate([x.ravel() for x in trainer.p]).astype(np.float64) * (len(cls) / all_tokens)
+                    fixed = np.rint(flat * _POINT).astype(np.int64)  # sums of integers are the same in any order
+                    total = fixed if total is None else total + fixed
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+        partial = map_batches(dealt, run, "v binary", rows=8)
+        sums = [bytes(r.v) for r in map_batches(partial.repartition(_LEAVES), _added, "v binary").collect()]
         if not sums:
             break
-        flat = np.concatenate([[x.v for x in row.v] for row in sums[:-1]]) / sums[-1].v[0].v
+        flat = np.sum([np.frombuffer(v, np.int64) for v in sums], axis=0) / _POINT
+        sizes = [x.size for x in model.parameters()]
         for name, old, new in zip(("r", "q", "b", "m1", "m2"), model.parameters(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
             setattr(model, name, new.reshape(old.shape).astype(np.float32))
+    remove(spark, path)
     return model
 
 
+#: Partial sums of parameters that reach the driver.
+_LEAVES = 8
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for v in batch.column("v").to_pylist():
+            part = np.frombuffer(v, np.int64)
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+
 def score(model: Model, docs: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession

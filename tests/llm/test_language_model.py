@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import language_model as lm
 from tests.llm import cases
@@ -60,3 +61,55 @@ def test_probabilities_are_normalised(spark):
 def test_contexts_start_anew_with_each_text():
     one, two = lm.contexts(np.array([5, 6, 0, 7, 8, 0]), np.array([0, 3]))
     assert one.tolist() == [0, 5, 6, 0, 7, 8] and two.tolist() == [0, 0, 5, 0, 0, 7]
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = [sorted((r.doc_id, round(r.score, 9), round(r.base_score, 9)) for r in lm.op3(docs.repartition(n)).collect()) for n in (1, 4, 8)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_score_of_a_text_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CLASS_WORDS", 12)
+    monkeypatch.setattr(lm, "DICTIONARY", 60)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    training = docs.where(lm.fold_of("doc_id", lm.FOLDS) != lm.HELD_OUT)
+    counts = lm.materialise(lm.count_words(training), "counts")
+    model = lm.train(lm.prepare(counts), training)
+    c = {r.word.encode(): r.c for r in counts.collect()}
+    top = [r.word.encode() for r in lm.frequent(counts)[:12]]
+    assert top == [w for w in sorted(c, key=lambda w: (-c[w], w)) if w != b"\n"][: len(top)] and len(top) > 5
+    cls = lambda w: 0 if w == b"\n" else 256 + top.index(w) if w in top else 1 + zlib.crc32(w[-2:]) % 255
+    held_in = Counter()
+    for w, n in c.items():
+        held_in[cls(w)] += n + 1  # with one more for the word itself
+    held_in = {k: v + 1 for k, v in held_in.items()}
+    for r in lm.score(model, docs, counts).collect():
+        text = next(x.text for x in docs.where(F.col("doc_id") == r.doc_id).collect()) if r.doc_id < 6 else None
+        if text is None:
+            continue
+        one, two, total = 0, 0, 0.0
+        for w in tokens(text):
+            k = cls(w)
+            logits = ((model.r[one] @ model.m1 + model.r[two] @ model.m2) @ model.q.T + model.b).astype(np.float64)
+            total += (logits[k] - np.log(np.exp(logits).sum())) / math.log(10)
+            if 1 <= k <= 255:
+                total += math.log10((c.get(w, 0) + 1) / held_in.get(k, 1))
+            one, two = k, one
+        assert abs(total - r.score) < 1e-3 * max(1, abs(total))
+
+
+def test_the_dictionary_is_bounded_and_takes_the_most_frequent(spark, monkeypatch):
+    counts = spark.createDataFrame([("w%d" % i, 1, c) for i, c in enumerate([5000, 4999, 70, 70, 9, 1, 1, 1])] + [("\n", 0, 9)], "word string, bucket int, c long")
+    for room, want in ((100, 8), (7, 5), (5, 5), (4, 4), (3, 2), (2, 2), (0, 0)):
+        monkeypatch.setattr(lm, "DICTIONARY", room)
+        assert [r.word for r in lm.frequent(counts)] == ["w%d" % i for i in range(want)]
+
+
+def test_a_long_text_is_cut_into_rows_of_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 50)
+    docs = spark.createDataFrame([(1, "a b " * 300), (3, "c d"), (4, None), (3, "c d")], "doc_id long, text string")
+    counts = lm.materialise(lm.count_words(docs), "counts")
+    rows = lm.shards(lm.prepare(counts), docs).collect()
+    assert sum(len(r.tokens) // 2 for r in rows) == 601 + 3 + 1 + 3
