@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
 KINDS = ("partner", "speaker", "session")
+# Fixed value: how a page pushes a piece of its payload.
 PAYLOAD = r'(?s)self\.__next_f\.push\(\[1,\s*(".*?")\]\)'
 
 
@@ -60,44 +61,34 @@ def choose(lines: DataFrame | None, fallback: DataFrame) -> DataFrame:
     return fallback if records is None or records.isEmpty() else records
 
 
-@pandas_udf(StringType())
-def _joined(parts: pd.Series) -> pd.Series:
-    def decode(literals):
-        out = []
-        for x in literals if literals is not None else []:
-            try:
-                value = json.loads(x)
-            except ValueError:
-                continue
-            out.append(value if isinstance(value, str) else json.dumps(value))
-        return "".join(out) if out else None
+def payload(html: str | Column) -> Column:
+    """The string literals that a page pushes, unescaped and joined in order; null if it has none. Broken literals are left out."""
+    literals = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(PAYLOAD), F.lit(1))
+    texts = F.array_compact(F.transform(literals, lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0))))
+    return F.when(F.size(texts) > 0, F.array_join(texts, ""))
 
-    return parts.map(decode)
 
+def grab(blob: str | Column, key: str) -> Column:
+    """The JSON value after the first `"key":` in a text, as JSON text; null if the key is absent or no value follows.
 
-def payload(html: str | Column) -> Column:
-    """The string literals that a page pushes, unescaped and joined in order; null if it has none."""
-    return _joined(F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(PAYLOAD), F.lit(1)))
+    What follows the value may be anything, which Spark's JSON functions refuse, so a decoder that stops behind it reads the rest.
+    """
+    text = F.col(blob) if isinstance(blob, str) else blob
+    mark = F.instr(text, F.lit(f'"{key}":'))
+    rest = F.when(mark > 0, F.ltrim(F.substring(text, mark + len(key) + 3, F.length(text)), F.lit(" \n")))
+    return _leading_value(rest)
 
 
-def grab(blob: str | Column, key: str) -> Column:
-    """The JSON value after the first `"key":` in a text, as JSON text; null if the key is absent or no value follows."""
-    mark = f'"{key}":'
-
-    @pandas_udf("string")
-    def value(texts: pd.Series) -> pd.Series:
-        def one(text):
-            at = -1 if text is None else text.find(mark)
-            if at < 0:
-                return None
-            at += len(mark)
-            while at < len(text) and text[at] in " \n":
-                at += 1
-            try:
-                return json.dumps(json.JSONDecoder().raw_decode(text, at)[0], ensure_ascii=False, separators=(",", ":"))
-            except ValueError:
-                return None
-
-        return texts.map(one)
-
-    return value(F.col(blob) if isinstance(blob, str) else blob)
+@pandas_udf("string")
+def _leading_value(texts: pd.Series) -> pd.Series:
+    def first(text: str | None) -> str | None:
+        try:
+            found = _DECODER.raw_decode(text) if text else None
+        except ValueError:
+            found = None
+        return None if found is None else json.dumps(found[0], ensure_ascii=False, separators=(",", ":"))
+
+    return texts.map(first)
+
+
+_DECODER = json.JSONDecoder()
