@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return put
 
 
-from quern.plans import catalogue, feeds, lookup, search, text  # noqa: E402, F401  (they register their queries)
+from quern.plans import catalogue, feeds, grading, lookup, search, text  # noqa: E402, F401  (they register their queries)
