@@ -121,7 +121,7 @@ def located(rows: DataFrame, ranges: DataFrame, x: str, total: int) -> DataFrame
     width = max(1, -(-total // _BINS))
     bins = F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})"))
     spread = ranges.where("low < high").withColumn("bin", bins)
-    found = rows.withColumn("bin", F.expr(f"{x} div {width}")).join(spread, "bin")
+    found = rows.withColumn("bin", F.expr(f"{x} div {width}")).join(spread.hint("merge"), "bin")  # a size estimated before an explode would broadcast the rows
     return found.where((F.col(x) >= F.col("low")) & (F.col(x) < F.col("high"))).drop("bin")
 
 
