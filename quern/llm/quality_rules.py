@@ -14,13 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import words_of
+from quern.llm.common import column, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper"]
+#: A rule's bit is its place here: add new ones at the end.
+RULES = ("too_short", "repeated_words", "symbol_heavy", "duplicate_lines", "word_length", "shouting")
 
 
 def rules() -> dict[str, Column]:
-    """Rule name -> failure condition over the measurements. A rule's bit is its place here: add new ones at the end."""
+    """Rule name -> failure condition over the measurements, in the order of RULES."""
     n = {m: F.col(m) for m in MEASURES}
     return {
         "too_short": n["n_words"] < 50,
@@ -41,12 +43,11 @@ class Policy:
 
     @property
     def mask(self) -> int:
-        names = list(rules())
-        return sum(1 << names.index(r) for r in self.rules)
+        return sum(1 << RULES.index(r) for r in self.rules)
 
 
 BASE = Policy("base-1", ("too_short", "repeated_words"))
-PRODUCTION = Policy("production-1", ("too_short", "repeated_words", "symbol_heavy", "duplicate_lines", "word_length", "shouting"))
+PRODUCTION = Policy("production-1", RULES)
 
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
@@ -95,12 +96,16 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def ledger(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the columns to keep, the measurements, and `fail_bits`: bit i is set if the i-th rule fails."""
+    """doc_id, the columns to keep, the measurements, and `fail_bits`: bit i is set if the i-th rule fails.
+
+    The partition's number stands in the bits: across it the optimizer does not move a filter, which would write out every
+    measurement once for each use.
+    """
     bits = [F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, fails in enumerate(rules().values())]
     fail_bits = bits[0]
     for bit in bits[1:]:
         fail_bits = fail_bits.bitwiseOR(bit)
-    return measure(docs, *keep).withColumn("fail_bits", fail_bits)
+    return measure(docs, *keep).withColumn("fail_bits", F.when(F.spark_partition_id() >= 0, fail_bits))
 
 
 def rejected_by(policy: Policy, bits: str = "fail_bits") -> Column:
@@ -118,12 +123,11 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
     The ledger is first folded to one row per combination of bits, at most 2 ** rules rows; no text is read again.
     """
     by_bits = book.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    names = list(rules())
     bit = F.lit(1).cast("long")
     each = by_bits.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in policy.rules])))
     mask = F.lit(0).cast("long")
     for r in policy.rules:
-        mask = F.when(F.col("rule") == r, F.lit(1 << names.index(r)).cast("long")).otherwise(mask)
+        mask = F.when(F.col("rule") == r, F.lit(1 << RULES.index(r)).cast("long")).otherwise(mask)
     hit = F.col("fail_bits").bitwiseAND(F.col("bit"))
     others = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long") - F.col("bit"))
     return (
@@ -138,14 +142,9 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
-    """The documents that the policy keeps, with their own columns; texts are measured where they lie, and nothing moves.
-
-    The partition's number stands between the ledger and the filter: across it the optimizer does not move the filter, which
-    would write out every measurement once for each use.
-    """
-    named = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    book = ledger(named, "doc").withColumn("part", F.spark_partition_id())
-    return book.where((F.col("part") >= 0) & ~rejected_by(policy)).select("doc.*")
+    """The documents that the policy keeps, with their own columns, whatever their names; texts are measured where they lie."""
+    named = docs.select("doc_id", "text", F.struct(*[column(c) for c in docs.columns]).alias("doc"))
+    return ledger(named, "doc").where(~rejected_by(policy)).select("doc.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:
@@ -178,3 +177,7 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+ABLATION_ORACLE = f"""WITH book AS ({ORACLE}), r AS (SELECT unnest({[*PRODUCTION.rules]}) AS rule, unnest({[1 << RULES.index(r) for r in PRODUCTION.rules]}) AS bit)
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS fails, count(*) FILTER (fail_bits & bit <> 0 AND fail_bits & (63 - bit) = 0) AS only_this, count(*) FILTER (fail_bits & (63 - bit) = 0) AS kept_without
+FROM book, r GROUP BY rule"""

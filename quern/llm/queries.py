@@ -12,6 +12,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op1(documents(spark, sf_dir))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each production rule rejects, alone and with the others, from the ledger's bits."""
+    return quality_rules.ablation(quality_rules.ledger(documents(spark, sf_dir)), quality_rules.PRODUCTION)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -48,5 +53,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_model, op4_mix_sources, op5_pii_deobfuscation, op6_quality_classifier, op7_pieces, op8_media_avi, op9_token_store, op10_simhash_near_dedup)}
-ORACLE = {"op1_quality_rules": quality_rules.ORACLE}
+OPERATORS = (
+    op1_quality_rules, op2_toxicity, op3_language_model, op4_mix_sources, op5_pii_deobfuscation, op6_quality_classifier, op7_pieces, op8_media_avi,
+    op9_token_store, op10_simhash_near_dedup, quality_ablation,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLE = {"op1_quality_rules": quality_rules.ORACLE, "quality_ablation": quality_rules.ABLATION_ORACLE}
