@@ -101,18 +101,36 @@ _GLYPH_TABLE = str.maketrans(_GLYPHS)
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + ZERO_WIDTH + "]")
 
 _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:(?:{_DIGIT_WORD}|[0-9])[ ,.\-]{{1,2}}){{2,}}(?:{_DIGIT_WORD}|[0-9])(?![^\W_])")
-_HAS_DIGIT_WORD = re.compile(rf"(?i)(?<![^\W_]){_DIGIT_WORD}[ ,.\-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])(?![^\W_])")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:(?:{_DIGIT_WORD}|[0-9])[ ,.\-\t\r\n]{{1,2}}){{2,}}(?:{_DIGIT_WORD}|[0-9])(?![^\W_])")
+_HAS_DIGIT_WORD = re.compile(rf"(?i)(?<![^\W_]){_DIGIT_WORD}[ ,.\-\t\r\n]{{1,2}}(?:{_DIGIT_WORD}|[0-9])(?![^\W_])")
 _ONE_DIGIT = re.compile(rf"(?i){_DIGIT_WORD}")
-_POINT_WORD = re.compile(r"(?i)(?<=[0-9])[ ]{1,2}(?:dot|point)[ ]{1,2}(?=[0-9])")
-_PLUS_WORD = re.compile(r"(?i)(?<![^\W_])plus[ ]{1,2}(?=[0-9])")
-_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(?: {0,2}(?:\([ ]?(?:at|@)[ ]?\)|\[[ ]?(?:at|@)[ ]?\]|\{[ ]?(?:at|@)[ ]?\}|<[ ]?at[ ]?>) {0,2}| {1,2}(?:at|@) {1,2}| @|@ |_at_|-at-)(?=[A-Za-z0-9])")
-_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-])(?: {0,2}(?:\([ ]?(?:dot|\.)[ ]?\)|\[[ ]?(?:dot|\.)[ ]?\]|\{[ ]?(?:dot|\.)[ ]?\}|<[ ]?dot[ ]?>) {0,2}| {1,2}(?:dot|\.) {1,2}|_dot_|-dot-)(?=[A-Za-z0-9])")
+_POINT_WORD = re.compile(r"(?i)(?<=[0-9])[ \t\r\n]{1,2}(?:dot|point)[ \t\r\n]{1,2}(?=[0-9])")
+_PLUS_WORD = re.compile(r"(?i)(?<![^\W_])plus[ \t\r\n]{1,2}(?=[0-9])")
+#: White space within a disguise: a line may break there.
+_W = r"[ \t\r\n]"
+
+
+def _bracketed(word: str, sign: str) -> str:
+    """A word or sign in brackets of any kind, white space inside and around."""
+    pairs = ((r"\(", r"\)", True), (r"\[", r"\]", True), (r"\{", r"\}", True), ("<", ">", False))
+    return "|".join(f"{left}{_W}?{f'(?:{word}|{sign})' if signed else word}{_W}?{right}" for left, right, signed in pairs)
+
+
+_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9._%+-])(?:{_W}{{0,2}}(?:{_bracketed('at', '@')}){_W}{{0,2}}|{_W}{{1,2}}(?:at|@){_W}{{1,2}}| @|@ |_at_|-at-)(?=[A-Za-z0-9])")
+_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9-])(?:{_W}{{0,2}}(?:{_bracketed('dot', '[.]')}){_W}{{0,2}}|{_W}{{1,2}}(?:dot|\.){_W}{{1,2}}|_dot_|-dot-)(?=[A-Za-z0-9])")
 #: An at is read as @ only if labels with real or disguised dots between follow it. Labels and dots give nothing back, so a match stays linear.
-_HOST = r"(?i)(?:(?>(?:(?!-dot-)[A-Za-z0-9-]){1,63})(?>_dot_|-dot-| {0,2}[\(\[{<]? ?(?:dot|\.) ?[\)\]}>]? {0,2})){1,126}"
+_HOST = rf"(?i)(?:(?>(?:(?!-dot-)[A-Za-z0-9-]){{1,63}})(?>_dot_|-dot-|{_W}{{0,2}}[\(\[{{<]?{_W}?(?:dot|\.){_W}?[\)\]}}>]?{_W}{{0,2}})){{1,126}}"
+_SPELLED_HOST = rf"(?i)(?:(?>[A-Za-z0-9-]{{1,63}}){_W}{{1,2}}dot{_W}{{1,2}}){{1,126}}"
 _AFTER_AT = re.compile(_HOST + r"[a-z]{2,63}(?![^\W_])")
+# Endings of domains of four letters and more, which after a bare at count only if all dots are spelled, too.
+_ENDINGS = (
+    "tech online shop store site cloud email blog world live club group team agency digital media news systems solutions software studio design "
+    "company network services support academy education institute foundation museum travel photography"
+)
 #: After a bare " at " the last label must look like a top-level domain, too.
-_AFTER_BARE_AT = re.compile(_HOST + r"(?:[a-z]{2,3}|info|example|name|mail|test|local|invalid)(?![^\W_])")
+_AFTER_BARE_AT = re.compile(
+    _HOST + r"(?:[a-z]{2,3}|info|example|name|mail|test|local|invalid)(?![^\W_])|" + _SPELLED_HOST.removeprefix("(?i)") + f"(?:{_ENDINGS.replace(' ', '|')})" + r"(?![^\W_])"
+)
 _NO_DOMAIN = re.compile(r"(?i)(?:the|a|an|this|that|these|those|our|my|your|his|her|its|their|any|each|some|no|one)(?![A-Za-z0-9-])")
 _TRIGGER = re.compile(r"(?i)(?<![^\W_])(?:at|dot|@)(?![^\W_])| @|@ ")
 
@@ -179,8 +197,9 @@ def _at_dot(state: Transduced) -> None:
 
 
 def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans found only after the transducers, as source spans that hold a disguise and overlap no base span of their kind."""
-    wanted = (bool(_GLYPH.search(text)), bool(_HAS_DIGIT_WORD.search(text)), bool(_TRIGGER.search(text)) or ("@" in text and bool(_DOT.search(text))))
+    """Spans found only after the transducers, as source spans that hold a disguise. One overlaps a base span of its kind only if it
+    extends it: the base stays, and the whole is added."""
+    wanted = (bool(_GLYPH.search(text)), bool(_HAS_DIGIT_WORD.search(text) or _POINT_WORD.search(text)), bool(_TRIGGER.search(text)) or ("@" in text and bool(_DOT.search(text))))
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     if not any(wanted):
         return found
@@ -200,11 +219,20 @@ def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Sp
             lo, hi = state.starts[a], state.ends[b - 1]
             holds = bisect_right(edit_ends, lo) < bisect_left(edit_starts, hi)
             i = bisect_left(starts, hi)
-            if holds and (i == 0 or taken[i - 1][1] <= lo):
+            apart = i == 0 or taken[i - 1][1] <= lo
+            if holds and (apart or _extends(state, (lo, hi), taken[i - 1])):
                 found[kind].append((lo, hi))
     return found
 
 
+def _extends(state: Transduced, span: Span, base: Span) -> bool:
+    """Whether a span holds a base span and goes on beyond it with disguised letters or digits, so that the base is only a part."""
+    before, after = bisect_left(state.starts, base[0]), bisect_left(state.starts, base[1])
+    left = span[0] == base[0] or state.text[before - 1].isalnum()
+    right = span[1] == base[1] or state.text[after].isalnum()
+    return span[0] <= base[0] and base[1] <= span[1] and span != base and left and right
+
+
 def _joined(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in sorted(spans[k]))
 

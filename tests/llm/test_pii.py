@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -89,3 +90,59 @@ def test_odd_rows(spark):
 
 def test_redact():
     assert pii.redact("mail a.b@c.org or call +1 (784) 555-8120.") == "mail <email> or call <phone>."
+
+
+def luhn_card(rng):
+    digits = [rng.randrange(10) for _ in range(15)]
+    total = sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(reversed(digits)))
+    return "".join(map(str, [*digits, -total % 10]))
+
+
+WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+LOOKS = {"a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "x": "х"}
+
+
+def planted(rng):
+    """A disguised identifier and its kind."""
+    spell = lambda s: rng.choice([" ", "-", ", "]).join(WORDS[int(c)] for c in s)
+    wide = lambda s: "".join(chr(0xFF10 + int(c)) if c.isdigit() else c for c in s)
+    kind = rng.choice(pii.KINDS)
+    if kind == "email":
+        word = lambda: "".join(rng.choice("abcdeghopqrstx") for _ in range(rng.randint(3, 8)))
+        local, labels = f"{word()}.{word()}" if rng.random() < 0.5 else word(), [word() for _ in range(rng.randint(1, 2))]
+        end = rng.choice(["com", "org", "io", "tech", "online", "info", "de", "museum", "cloud"])
+        form = rng.randrange(5)
+        if form == 0:
+            plain = f"{local}@{'.'.join([*labels, end])}"
+            return kind, "".join(LOOKS.get(c, c) if i == plain.find(next((x for x in plain if x in LOOKS), "@")) else c for i, c in enumerate(plain)) if any(c in LOOKS for c in plain) else plain.replace("@", " @ ")
+        at, dot = [(" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("\n(at)\n", " [dot]\n")][form - 1]
+        return kind, local + at + dot.join([*labels, end])
+    if kind == "ip":
+        parts = [str(rng.randrange(256)) for _ in range(4)]
+        return kind, wide(".".join(parts)) if rng.random() < 0.5 else f" {rng.choice(['dot', 'point'])} ".join(parts)
+    if kind == "card":
+        card = luhn_card(rng)
+        return kind, spell(card) if rng.random() < 0.5 else wide(card)
+    number = "".join(str(rng.randrange(10)) for _ in range(11))
+    return kind, "plus " + rng.choice([" ", "\n"]).join(WORDS[int(c)] for c in number) if rng.random() < 0.5 else "+" + wide(number)
+
+
+def test_recall_of_planted_disguises():
+    rng, hit, total = random.Random(5), {k: 0 for k in pii.KINDS}, {k: 0 for k in pii.KINDS}
+    fill = ["we met there", "the report says so", "see below", "und dann weiter", "il y a"]
+    for _ in range(3000):
+        kind, text = planted(rng)
+        head = rng.choice(fill) + ": "
+        whole = head + text + "; " + rng.choice(fill)
+        total[kind] += 1
+        hit[kind] += (len(head), len(head) + len(text)) in pii.find(whole)[1][kind]
+    recall = {k: hit[k] / total[k] for k in pii.KINDS}
+    print("recall of disguised spans", recall)
+    assert all(v >= 0.9 for v in recall.values()), recall
+
+
+def test_endings_after_a_bare_at_and_line_breaks():
+    assert spans("jane at example dot tech") == {"email": ["jane at example dot tech"]}
+    assert spans("jane (at)\nexample (dot) online") == {"email": ["jane (at)\nexample (dot) online"]}
+    for text in ("jane at corp.online", "jane at work dot matrix", "he is at\nwork. then home"):
+        assert spans(text) == {}
