@@ -6,10 +6,12 @@ reads every window of WINDOW words, one from each word on, over the whole text;
 window. Training picks each document's most toxic window, of all of them, anew every few epochs and learns from it.
 
 The model is fitted on a bounded sample of labelled rows outside the held-out fold: at most SAMPLE of label 1 and 2 * SAMPLE of
-label 0, those of the least hash of doc_id. Neither labels, lang, source nor doc_id enter a score.
+label 0, those of the least hash of doc_id; the vocabulary of word vectors is bounded by MOST_WORDS of the words that three of these
+rows hold (other words still have their trigrams). Neither labels, lang, source nor doc_id enter a score.
 
 Defined results: null counts as an empty text, which is one window of padding and is scored like any other. Repeated rows score
-alike. If a doc_id has several labels each row of the sample counts. Without labels of both kinds every score is the share of
+alike. If a doc_id has both labels it counts with both; of
+several rows of one doc_id the sample holds the least text. Without labels of both kinds every score is the share of
 label 1 (0 without any). Very long texts are read a few thousand windows at a time. An empty table gives an empty result.
 """
 
@@ -23,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fold_of, map_batches, texts_of
@@ -320,11 +322,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[li
     """Texts and labels of the bounded training sample."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     known = known.where(fold_of("doc_id", FOLDS) != HELD_OUT)
-    least = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).unionByName(known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(least), "doc_id")  # at most 3 * SAMPLE ids
-    place = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = found.withColumn("k", F.row_number().over(place)).where(F.col("k") <= 2 * SAMPLE).orderBy("y", "k").collect()
-    return [r.text or "" for r in rows], [r.y for r in rows]
+    order = (F.xxhash64("doc_id"), "doc_id")
+    least = known.where("y = 1").orderBy(*order).limit(SAMPLE).unionByName(known.where("y = 0").orderBy(*order).limit(2 * SAMPLE)).distinct()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(least), "doc_id")  # at most 3 * SAMPLE ids
+    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()  # a doc_id on many rows counts with its least text
+    rows.sort(key=lambda r: (r.y, r.doc_id, r.text))
+    return [r.text for r in rows], [r.y for r in rows]
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
 
@@ -81,3 +84,60 @@ def test_gradients_are_right():
         down = loss()
         net.p[k][i] = old
         assert g[k][i] == pytest.approx((up - down) / 2e-3, abs=2e-4)
+
+
+def slow_score(net, text):
+    """A text's score by the definition: loops over windows, words and units, nothing shared between them."""
+    words, sig = tx.words_in(text), lambda v: 1 / (1 + math.exp(-v))
+
+    def vector(word):
+        raw = f"<{word}>".encode()
+        grams = [(raw[i] * 961 + raw[i + 1] * 31 + raw[i + 2]) * 2654435761 >> 8 & (tx.TRIGRAMS - 1) for i in range(len(raw) - 2)]
+        mean = lambda table: [sum(float(table[g][j]) for g in grams) / len(grams) for j in range(tx.CHAR_DIM)]
+        row = net.vocabulary.get(word, 0)
+        return [float(net.word_odds[row]), sum(float(net.trigram_odds[g]) for g in grams) / len(grams), *map(float, net.p["word"][row]), *mean(net.p["char"])]
+
+    def direction(xs, side):
+        w, c, u, h, out = net.p[f"w{side}"], net.p[f"c{side}"], net.p[f"u{side}"], [0.0] * tx.HIDDEN, []
+        n = tx.HIDDEN
+        for x in xs if side == "f" else xs[::-1]:
+            px = [sum(x[i] * float(w[i][j]) for i in range(len(x))) + float(c[j]) for j in range(3 * n)]
+            hu = [sum(h[i] * float(u[i][j]) for i in range(n)) for j in range(3 * n)]
+            z, r = [sig(px[j] + hu[j]) for j in range(n)], [sig(px[n + j] + hu[n + j]) for j in range(n)]
+            new = [math.tanh(px[2 * n + j] + r[j] * hu[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+            out.append(h)
+        return out if side == "f" else out[::-1]
+
+    best = -math.inf
+    for a in range(max(1, len(words) - tx.WINDOW + 1)):
+        xs = [vector(w) for w in words[a : a + tx.WINDOW]]
+        hs = [f + b for f, b in zip(direction(xs, "f"), direction(xs, "b"), strict=True)]
+        e = [sum(math.tanh(sum(h[i] * float(net.p["wa"][i][k]) for i in range(len(h)))) * float(net.p["va"][k]) for k in range(tx.HIDDEN)) for h in hs]
+        alpha = [math.exp(v - max(e)) for v in e]
+        pooled = [sum(w * h[i] for w, h in zip(alpha, hs, strict=True)) / sum(alpha) for i in range(2 * tx.HIDDEN)]
+        best = max(best, sum(p * float(o) for p, o in zip(pooled, net.p["wo"], strict=True)) + float(net.p["bo"][0]))
+    return sig(best)
+
+
+def test_scores_by_brute_force():
+    texts = ["good calm words here again " * 12, "vile awful slur words " * 12] * 6
+    net = tx.fit(texts, [0, 1] * 6)
+    for text in ("good", "vile slur", "calm words été here " * 11, "unknown things with vile awful words in them " * 6):
+        assert tx.Reader(net).scores([text])[0] == pytest.approx(slow_score(net, text), abs=1e-5)
+
+
+def test_held_out_rows_are_recomputed_and_teach_nothing(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    flipped = labels.withColumn("toxic", tx.F.when(tx.fold_of("doc_id", 5) == 0, 1 - tx.F.col("toxic")).otherwise(tx.F.col("toxic")).cast("int"))
+    a, b = (sorted((r.doc_id, r.held_out, round(r.score, 7)) for r in tx.op2(docs, x).collect()) for x in (labels, flipped))
+    assert a == b
+    assert all(held == (zlib.crc32(str(d).encode()) % 5 == 0) for d, held, _ in a)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SAMPLE", 4)
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(60) for k in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, toxic int")
+    texts, y = tx.sample(docs, labels)
+    assert sum(y) <= 4 and len(y) - sum(y) <= 8 and len(set(texts)) == len(texts) and all(t.endswith(" 0") for t in texts)
