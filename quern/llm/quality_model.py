@@ -13,7 +13,6 @@ An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +26,7 @@ from quern.llm.common import fold_of, map_batches, materialise, texts_of
 FOLDS, HELD_OUT = 3, 1
 FEATURES = 192
 WIDTH = 0.25
+PARTS = 5  # a row is calibrated by weights learnt from the other parts
 RIDGE = 1e-3
 BINS = 400
 SEED = 11
@@ -97,7 +97,7 @@ class Model:
     constant: float | None = None
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        """Random Fourier features and the standardised statistics themselves."""
+        """Random Fourier features of the standardised statistics, and a bias."""
         rng = np.random.default_rng(SEED)
         w, b = rng.normal(0, WIDTH, (len(NAMES), FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
         x = np.clip((stats - self.mean) / self.scale, -8, 8)
@@ -117,24 +117,29 @@ def bins_of(raw: np.ndarray) -> np.ndarray:
     return np.clip(((raw + 0.5) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
 
 
-def summed(df: DataFrame, fn, rows: int) -> np.ndarray:
-    """Element-wise sum over all partitions of the (rows, n) matrix that `fn` makes of each; Spark sums it row by row."""
+#: Partial sums that reach the driver.
+_LEAVES = 8
+
+
+def summed(df: DataFrame, fn, shape: tuple[int, int]) -> np.ndarray:
+    """Element-wise sum over all partitions of the matrix that `fn` makes of each batch: one partial sum a partition, added up in a tree."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(shape)
         for batch in batches:
             if len(batch):
-                part = fn(batch)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
+                total += fn(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for v in batch.column("v").to_pylist():
+                total += np.frombuffer(v).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    parts = map_batches(df, partial, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
-    out = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("v")).collect()
-    found = np.zeros((rows, len(out[0].v) if out else 0))
-    for r in out:
-        found[r.i] = [x.v for x in r.v]
-    return found
+    leaves = map_batches(map_batches(df, partial, "v binary").repartition(_LEAVES), added, "v binary").collect()
+    return np.sum([np.frombuffer(r.v).reshape(shape) for r in leaves], axis=0)
 
 
 def isotonic(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -153,14 +158,16 @@ def fit(described: DataFrame, labels: DataFrame, label: str = "quality") -> Mode
     """A model from the labelled rows outside the held-out fold, all of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0))
     known = known.where(fold_of("doc_id", FOLDS) != HELD_OUT)
-    train = materialise(described.join(known, "doc_id").select("stats", "y"), "quality-train")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
+    train = materialise(described.join(known, "doc_id").select(part, "stats", "y"), "quality-train")
+    size = len(NAMES)
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         x, y = _matrix(batch.column("stats")), batch.column("y").to_numpy()
         return np.vstack([np.r_[x.sum(0), len(x)], np.r_[(x * x).sum(0), y.sum()]])
 
-    m = summed(train, moments, 2)
-    n, ones = (m[0, -1], m[1, -1]) if m.size else (0.0, 0.0)
+    m = summed(train, moments, (2, size + 1))
+    n, ones = m[0, -1], m[1, -1]
     if not n or not 0 < ones < n:
         return Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), ones / n if n else 0.5)
     mean = m[0, :-1] / n
@@ -168,21 +175,30 @@ def fit(described: DataFrame, labels: DataFrame, label: str = "quality") -> Mode
     model = Model(mean, scale, np.zeros(0), np.zeros(0))
 
     def normal(batch: pa.RecordBatch) -> np.ndarray:
-        z, y = model.features(_matrix(batch.column("stats"))), batch.column("y").to_numpy()
-        return z.T @ np.hstack([z, y[:, None]])
+        z, y, at = model.features(_matrix(batch.column("stats"))), batch.column("y").to_numpy(), batch.column("part").to_numpy()
+        blocks = [z[at == k].T @ np.hstack([z[at == k], y[at == k, None], np.ones(((at == k).sum(), 1))]) for k in range(PARTS)]
+        return np.vstack(blocks)
 
-    a = summed(train, normal, FEATURES + 1)
-    model.weights = np.linalg.solve(a[:, :-1] + RIDGE * n / FEATURES * np.eye(len(a)), a[:, -1])
+    a = summed(train, normal, (PARTS * (FEATURES + 1), FEATURES + 3)).reshape(PARTS, FEATURES + 1, FEATURES + 3)
+    model.weights = ridge(a.sum(0))
+    without = [ridge(a.sum(0) - a[k]) for k in range(PARTS)]
 
     def counts(batch: pa.RecordBatch) -> np.ndarray:
-        at, y = bins_of(model.raw(_matrix(batch.column("stats")))), batch.column("y").to_numpy()
-        return np.vstack([np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS)])
+        z, y, at = model.features(_matrix(batch.column("stats"))), batch.column("y").to_numpy(), batch.column("part").to_numpy()
+        bins = bins_of((z * np.array(without)[at]).sum(1))
+        return np.vstack([np.bincount(bins, minlength=BINS), np.bincount(bins, weights=y, minlength=BINS)])
 
-    c = summed(train, counts, 2)
+    c = summed(train, counts, (2, BINS))
     model.steps = isotonic(c[1], c[0])
     return model
 
 
+def ridge(sums: np.ndarray) -> np.ndarray:
+    """Weights of the normal equations; sums: z'z, z'y and z'1, whose last cell is the number of rows, as the last feature is 1."""
+    gram, n = sums[:, :-2], sums[-1, -1]
+    return np.linalg.solve(gram + RIDGE * max(n, 1.0) / FEATURES * np.eye(len(gram)), sums[:, -2])
+
+
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model learnt from the labelled ones outside the held-out fold."""
     described = materialise(describe(docs), "quality-stats")
@@ -196,7 +212,3 @@ def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = map_batches(described, score, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
-
-
-def crc_fold(doc_id: int, folds: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % folds
