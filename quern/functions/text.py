@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,8 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
-# Punctuation of scraped text and its plain forms, stopwords, titles and suffixes.
+# Punctuation of scraped text and its plain forms, stopwords, titles and suffixes, words that names of companies share,
+# placeholders, and patterns of places.
 CURLY, STRAIGHT = "‘’‚‛′“”„‟″‐‑‒–—―−    　…", "'''''\"\"\"\"\"-------     ."
 STOPWORDS = (
     "a about after all also am an and any anyone are as at be been being before but by can could did do does doing for from get give going "
@@ -59,16 +60,15 @@ def strip_possessive(c: str | Column) -> Column:
 
 
 def stem_plural(c: str | Column) -> Column:
-    """A cautious plural stem: companies, pitches and payments lose their ending; business, campus and analysis don't."""
+    """A cautious plural stem: berries, lashes and oars lose their ending; glass, cactus and iris don't."""
     t = col(c)
     cut = lambda n: F.substring(t, F.lit(1), F.length(t) - n)
     return (
-        F.when(F.length(t) <= 3, t)
+        F.when((F.length(t) <= 3) | ~F.endswith(t, F.lit("s")), t)  # most words end here, before any pattern
         .when(t.rlike("[^aeiou]ies$"), F.concat(cut(3), F.lit("y")))
         .when(t.rlike("(ch|sh|ss|x|z)es$"), cut(2))
         .when(t.rlike("(ss|us|is|as|os)$"), t)
-        .when(F.endswith(t, F.lit("s")), cut(1))
-        .otherwise(t)
+        .otherwise(cut(1))
     )
 
 
@@ -90,6 +90,22 @@ def tokens(c: str | Column, keep_stopwords: bool = False) -> Column:
     return F.transform(paired, lambda p: p["s"])
 
 
+def term_rows(rows: DataFrame, text: str, *keep: str, keep_stopwords: bool = False) -> DataFrame:
+    """The columns to keep and `term`: what `tokens` gives, one row a term. Chunks are told apart row by row, in generated code."""
+    chunks = rows.select(*keep, F.explode(F.split(fold(text), " ")).alias("chunk")).where("chunk <> ''")
+    terms = F.when(F.col("chunk").rlike("^[a-z0-9]+$"), F.array("chunk")).otherwise(_chunk_terms(F.col("chunk")))
+    found = chunks.select(*keep, F.explode(terms).alias("t")).where("t <> ''").select(*keep, "t", stem_plural("t").alias("term"))
+    if not keep_stopwords:
+        found = found.where(~F.col("t").isin(*STOPWORDS) & ~F.col("term").isin(*STOPWORDS) & ((F.length("term") >= 2) | F.col("term").rlike("^[0-9]$")))
+    return found.drop("t")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as there are cores at least; a table in more of them stays where it lies."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def words(c: str | Column) -> Column:
     """Plain lower-case ASCII terms, for indexes over large texts."""
     return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0))

@@ -11,37 +11,46 @@ K1, B = 1.2, 0.75
 PREFIX_LENGTH, PREFIX_DISCOUNT = 5, 0.45
 
 
-def postings(docs: DataFrame, fields: dict[str, float], terms=tx.words) -> DataFrame:
-    """id, term and tfn: weighted occurrences over the fields, each divided by its field's length norm. docs: id and the fields.
+def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """id, term and its count in each field, `tf_<field>`. docs: id and the fields. Counting combines map-side; texts are cut once."""
+    each = [tx.term_rows(docs.select("id", F.col(f).alias("body")), "body", "id").withColumn("f", F.lit(f)) for f in fields]
+    rows = each[0]
+    for more in each[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("id", "term").agg(*[F.count_if(F.col("f") == f).alias(f"tf_{f}") for f in fields])
 
-    Field averages are over the rows that have the field. Counting combines map-side; one shuffle gathers each (id, term).
-    """
-    sizes = {f: F.size(terms(f)) for f in fields}
-    means = docs.agg(*[F.avg(F.when(n > 0, n)).alias(f) for f, n in sizes.items()])
-    rows = docs.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(float(w)).alias("w"), F.size(terms(f)).alias("n"), terms(f).alias("terms")) for f, w in fields.items()])))
-    occurrences = rows.select("id", "f", "w", "n", F.explode("terms").alias("term"))
-    counted = occurrences.groupBy("id", "term", "f").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.count("*").alias("tf"))
-    mean = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f"mean.`{f}`"))])
-    normed = counted.crossJoin(F.broadcast(means.select(F.struct("*").alias("mean")))).withColumn("norm", 1 - B + B * F.col("n") / F.try_element_at(mean, F.col("f")))
-    return normed.groupBy("id", "term").agg(F.sum(F.col("w") * F.col("tf") / F.col("norm")).alias("tfn"))
 
+def lengths(index: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """id and the number of terms of each field, `n_<field>`."""
+    return index.groupBy("id").agg(*[F.sum(f"tf_{f}").alias(f"n_{f}") for f in fields])
 
-def idf(n: Column, df: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
+def idf(n: Column | int, df: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
-def weighted(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
-    """qid, term and its weight by inverse document frequency. queries: qid, term, distinct. Unseen terms weigh most."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    return queries.join(df, "term", "left").select("qid", "term", idf(F.lit(n_docs), F.coalesce("df", F.lit(0))).alias("idf"))
 
+def bm25f(queries: DataFrame, index: DataFrame, sizes: DataFrame, fields: dict[str, float], n_docs: int) -> DataFrame:
+    """qid, id, bm25 and coverage of all matching pairs. queries: qid, term, weight. index, sizes: as `postings` and `lengths` give them.
 
-def bm25f(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """qid, id, bm25 and coverage of all matching pairs. queries: those of `weighted`."""
-    total = queries.groupBy("qid").agg(F.sum("idf").alias("total"))
-    part = F.col("idf") * F.col("tfn") / (K1 + F.col("tfn"))
-    hits = queries.join(index, "term").groupBy("qid", "id").agg(F.sum(part).alias("bm25"), F.sum("idf").alias("seen"))
-    return hits.join(total, "qid").select("qid", "id", "bm25", F.least(F.lit(1.0), F.when(F.col("total") > 0, F.col("seen") / F.col("total")).otherwise(0.0)).alias("coverage"))
+    A query term finds itself, and longer terms that start with it at a discount; expansions add to the score, but a document is
+    credited with each query term once, at its best. Only the postings of query terms meet the lengths of their documents.
+    """
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    means = sizes.agg(*[F.avg(F.when(F.col(f"n_{f}") > 0, F.col(f"n_{f}"))).alias(f) for f in fields]).first()
+    asked = queries.groupBy("qid", F.col("term").alias("wanted")).agg(F.max("weight").alias("weight"))
+    known = asked.join(df.withColumnRenamed("term", "wanted"), "wanted", "left").withColumn("idf", idf(n_docs, F.coalesce("df", F.lit(0))))
+    known = known.withColumn("worth", F.col("idf") * F.col("weight")).select("qid", "wanted", "worth")
+    total = known.groupBy("qid").agg(F.sum("worth").alias("total"))
+    reach = prefix_terms(asked.select(F.col("wanted").alias("term")).distinct(), df.select("term"))
+    reach = known.join(reach.withColumnRenamed("weight", "discount"), "wanted").select("qid", "wanted", "term", (F.col("worth") * F.col("discount")).alias("worth"))
+    hits = index.join(reach, "term").join(sizes, "id")
+    norm = {f: 1 - B + B * F.col(f"n_{f}") / float(means[f] or 1.0) for f in fields}
+    tfn = sum((F.lit(float(w)) * F.col(f"tf_{f}") / norm[f] for f, w in fields.items()), F.lit(0.0))
+    each = hits.select("qid", "id", "wanted", "worth", (F.col("worth") * tfn / (K1 + tfn)).alias("part"))
+    per_term = each.groupBy("qid", "id", "wanted").agg(F.sum("part").alias("part"), F.max("worth").alias("credit"))
+    scored = per_term.groupBy("qid", "id").agg(F.sum("part").alias("bm25"), F.sum("credit").alias("seen"))
+    share = F.least(F.lit(1.0), F.when(F.col("total") > 0, F.col("seen") / F.col("total")).otherwise(0.0))
+    return scored.join(total, "qid").select("qid", "id", "bm25", share.alias("coverage"))
 
 
 def top(scored: DataFrame, by: str, k: int) -> DataFrame:
@@ -62,13 +71,13 @@ def prefix_terms(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return same.select("wanted", "term", F.lit(1.0).alias("weight")).unionByName(longer.select("wanted", "term", F.lit(PREFIX_DISCOUNT).alias("weight")))
 
 
-def window_span(marks: Column, n: int) -> Column:
-    """Length of the shortest span of positions that holds all n terms, or null. marks: array of (pos, term), sorted."""
+def window_span(marks: Column, n: Column | int) -> Column:
+    """The least distance from the first to the last of positions that hold all n terms, or null. marks: array of (pos, term), sorted."""
     start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("last"), F.lit(None).cast("int").alias("best"))
 
     def step(acc: Column, m: Column) -> Column:
         last = F.map_concat(F.map_filter(acc["last"], lambda k, _: k != m["term"]), F.map_from_arrays(F.array(m["term"]), F.array(m["pos"])))
-        span = m["pos"] - F.array_min(F.map_values(last)) + 1
+        span = m["pos"] - F.array_min(F.map_values(last))
         return F.struct(last.alias("last"), F.when(F.size(last) == n, F.least(acc["best"], span)).otherwise(acc["best"]).alias("best"))
 
     return F.aggregate(marks, start, step, lambda acc: acc["best"])

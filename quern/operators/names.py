@@ -6,7 +6,7 @@ array that the text itself bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
@@ -86,3 +86,9 @@ def scan(texts: DataFrame, lex: DataFrame) -> DataFrame:
     plain = (F.col("n") == 1) & F.col("form").isin(*COMMON_NAMES) & ~F.array_contains("caps", F.col("form"))
     boost = weight * (1 + 0.35 * (F.col("n") - 1)) / F.sqrt("entries") * F.when(plain, COMMON_PENALTY).otherwise(1.0)
     return found.join(caps, "qid").join(entries, "form").select("qid", "form", "id", "kind", boost.alias("boost"))
+
+
+def total(found: DataFrame) -> DataFrame:
+    """qid, id and boost: the hits of an entity with diminishing returns, the i-th strongest over i."""
+    nth = F.row_number().over(Window.partitionBy("qid", "id").orderBy(F.desc("boost"), "form"))
+    return found.withColumn("nth", nth).groupBy("qid", "id").agg(F.sum(F.col("boost") / F.col("nth")).alias("boost"))

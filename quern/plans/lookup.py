@@ -1,15 +1,15 @@
-"""Queries of questions, names and vectors: analysis, days, name scans, random indexing, more-like-this and simple search."""
+"""Queries of questions, names and vectors: analysis, days, name scans, random indexing and simple search."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import analysis
 from quern.functions import text as tx
-from quern.operators import names, random_index
+from quern.operators import dense, names, random_index
 from quern.plans.registry import query
 from quern.plans.text import _STOP, _TERMS, _q
+from quern.storage import materialise
 
 _ASKED = ["day 2", "on the second day of it", "10th September", "Sept 9", "2026-09-08 at noon", "the last day", "day three", "no day at all"]
 _ASK = f"'is it ' || [{', '.join(map(_q, _ASKED))}][(c_custkey % {len(_ASKED)} + 1)::INT] || ', ' || c_name || '?'"
@@ -76,15 +76,13 @@ def name_scan(t):
 
 @query()
 def random_indexing(t):
-    """The nearest page of each page whose id is divisible by 100, by random indexing of titles: (page_id, other, similarity)."""
-    title = F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1)
-    postings = t("pages").select(F.col("page_id").alias("id"), F.explode(tx.tokens(title)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    weighted = random_index.weights(postings)
+    """The three nearest documents of every document whose id is divisible by 100, by random indexing of all terms of whole texts."""
+    rows = tx.term_rows(tx.spread(t("documents").select(F.col("doc_id").alias("id"), "text")), "text", "id")
+    weighted = materialise(random_index.weights(rows.groupBy("id", "term").agg(F.count("*").alias("tf"))), "weights")
     docs = random_index.compose(weighted, random_index.term_vectors(weighted))
-    asked = docs.where("id % 100 = 0").select(F.col("id").alias("page_id"), F.inline("vec")).withColumnRenamed("v", "w")
-    pairs = docs.select("id", F.inline("vec")).join(asked, "dim").where("id <> page_id").groupBy("page_id", "id").agg(F.sum(F.col("v") * F.col("w")).alias("similarity"))
-    best = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return pairs.withColumn("k", best).where("k = 1").select("page_id", F.col("id").alias("other"), "similarity")
+    vectors = materialise(docs.select("id", random_index.dense("vec").alias("v")), "vectors")
+    near = dense.top_k(vectors, vectors.where("id % 100 = 0").withColumnRenamed("id", "qid"), 3)
+    return near.select(F.col("qid").alias("doc_id"), F.col("id").alias("other"), F.col("score").alias("similarity"), "rank")
 
 
 @query("""WITH w AS (SELECT p_partkey, p_name, p_type, unnest(['bolt', 'promo', 'cold']) AS term FROM part),

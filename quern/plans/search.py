@@ -2,66 +2,84 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from quern.functions import analysis
 from quern.functions import text as tx
-from quern.operators import dense, lexical
+from quern.operators import dense, lexical, names, retrieval
+from quern.plans.lookup import _KINDS
 from quern.plans.registry import query
+from quern.plans.text import _STOP, _TERMS, _q
 from quern.storage import materialise
 
 _FIELDS = {"text": 1.2, "source": 1.5, "lang": 1.0}
 
 
-def _cut(f: str, w: float) -> str:
-    return f"SELECT doc_id AS id, regexp_extract_all(lower({f}), '[a-z0-9]+') AS l, {w}::DOUBLE AS w, '{f}' AS f FROM documents"
+def _renamed(prefix: str) -> str:
+    """The tokeniser's SQL with its tables renamed, so that it can stand twice in one query."""
+    out = _TERMS
+    for name in ("src", "chunks", "bare", "parts", "terms", "stems"):
+        out = re.sub(rf"\b{name}\b", prefix + name, out)
+    return out
 
 
+_KEPT = f"t NOT IN {_STOP} AND s NOT IN {_STOP} AND (length(s) >= 2 OR regexp_matches(s, '^[0-9]$'))"
+_CODES = {f: i for i, f in enumerate(_FIELDS)}
+_WEIGHT = "CASE f " + " ".join(f"WHEN {i} THEN {_FIELDS[f]}::DOUBLE" for f, i in _CODES.items()) + " END"
 _INDEX = f"""
-cut AS MATERIALIZED ({' UNION ALL '.join(_cut(f, w) for f, w in _FIELDS.items())}),
-sized AS MATERIALIZED (SELECT *, len(l) AS n FROM cut),
-mean AS (SELECT f, avg(n) FILTER (n > 0) AS m FROM sized GROUP BY f),
-occ AS (SELECT id, f, w, n, unnest(l) AS term FROM sized),
-tf AS (SELECT id, term, f, any_value(w) AS w, any_value(n) AS n, count(*) AS tf FROM occ GROUP BY id, term, f),
-post AS (SELECT id, term, sum(w * tf / (0.25::DOUBLE + 0.75::DOUBLE * n / m)) AS tfn FROM tf JOIN mean USING (f) GROUP BY id, term),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
-qw AS (SELECT qid, term, greatest(0, ln(1 + ((SELECT count(*) FROM documents) - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE))) AS idf FROM q LEFT JOIN df USING (term)),
-tot AS (SELECT qid, sum(idf) AS total FROM qw GROUP BY qid),
-hit AS (SELECT qid, id, sum(idf * tfn / (1.2::DOUBLE + tfn)) AS bm25, sum(idf) AS seen FROM qw JOIN post USING (term) GROUP BY qid, id),
-sc AS (SELECT qid, id, bm25, least(1.0::DOUBLE, CASE WHEN total > 0 THEN seen / total ELSE 0 END) AS coverage FROM hit JOIN tot USING (qid))
+src AS (SELECT doc_id * 4 AS id, text AS body FROM documents UNION ALL SELECT doc_id * 4 + 1, source FROM documents UNION ALL SELECT doc_id * 4 + 2, lang FROM documents), {_TERMS},
+tok AS MATERIALIZED (SELECT id // 4 AS id, id % 4 AS f, s AS term FROM stems WHERE {_KEPT}),
+tf AS MATERIALIZED (SELECT id, f, term, count(*) AS tf FROM tok GROUP BY ALL), size AS (SELECT id, f, count(*) AS n FROM tok GROUP BY ALL), mean AS (SELECT f, avg(n) AS m FROM size GROUP BY f),
+post AS MATERIALIZED (SELECT id, term, sum({_WEIGHT} * tf / (0.25::DOUBLE + 0.75::DOUBLE * n / m)) AS tfn FROM tf JOIN size USING (id, f) JOIN mean USING (f) GROUP BY id, term),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+qsrc AS (SELECT item_id AS id, text AS body FROM benchmark), {_renamed('q')},
+u AS (SELECT id, s, {_KINDS} AS kind, s IN ({', '.join(map(_q, analysis.INTENT_FILLER + analysis.GENERIC_BUSINESS))}) AS filler FROM qstems WHERE {_KEPT}),
+k AS (SELECT id, s, CASE WHEN kind IS NOT NULL THEN s IN ({', '.join(map(_q, analysis.CONTENTFUL))}) ELSE NOT filler END AS kept FROM u),
+q AS (SELECT DISTINCT id AS qid, s AS wanted, 1.0::DOUBLE AS weight FROM k WHERE kept UNION SELECT DISTINCT id, s, 0.3 FROM k WHERE NOT kept AND id NOT IN (SELECT id FROM k WHERE kept)),
+w AS (SELECT qid, wanted, weight * greatest(0, ln(1 + ((SELECT count(*) FROM documents) - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE))) AS worth FROM q LEFT JOIN df ON term = wanted),
+tot AS (SELECT qid, sum(worth) AS total FROM w GROUP BY qid),
+reach AS (SELECT wanted, wanted AS term, 1.0::DOUBLE AS discount FROM (SELECT DISTINCT wanted FROM q) UNION ALL SELECT wanted, term, 0.45 FROM (SELECT DISTINCT wanted FROM q WHERE length(wanted) >= 5) x JOIN df ON df.term[:5] = x.wanted[:5] AND starts_with(df.term, wanted) AND length(df.term) > length(wanted)),
+hit AS (SELECT qid, id, wanted, sum(worth * discount * tfn / (1.2::DOUBLE + tfn)) AS part, max(worth * discount) AS credit FROM w JOIN reach USING (wanted) JOIN post USING (term) GROUP BY ALL),
+sc AS (SELECT qid, id, sum(part) AS bm25, least(1.0::DOUBLE, CASE WHEN any_value(total) > 0 THEN sum(credit) / any_value(total) ELSE 0 END) AS coverage FROM hit JOIN tot USING (qid) GROUP BY qid, id)
 """
 
 
-def _search(t):
-    docs = t("documents").select(F.col("doc_id").alias("id"), *_FIELDS)
-    index = materialise(lexical.postings(docs, _FIELDS), "postings")  # read three times: for frequencies, scores and coverage
-    asked = t("benchmark").select(F.col("item_id").alias("qid"), F.explode(tx.words("text")).alias("term")).distinct()
-    return lexical.bm25f(lexical.weighted(asked, index, docs.count()), index)
+def _docs(t):
+    return tx.spread(t("documents").select(F.col("doc_id").alias("id"), *_FIELDS))
+
+
+def _asked(t):
+    return t("benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 @query(f"""WITH {_INDEX}, r AS (SELECT qid, id, round(bm25, 6) AS bm25, round(coverage, 6) AS coverage, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, id) AS rank FROM sc)
 SELECT * FROM r WHERE rank <= 10""")
 def bm25f_topk(t):
     """The ten best documents for each benchmark passage, all passages in one plan."""
-    scored = _search(t).select("qid", "id", F.round("bm25", 6).alias("bm25"), F.round("coverage", 6).alias("coverage"))
+    index = materialise(lexical.postings(_docs(t), _FIELDS), "postings")  # read for frequencies, lengths and scores
+    sizes = materialise(lexical.lengths(index, _FIELDS), "lengths")
+    found = lexical.bm25f(retrieval.questions(_asked(t)), index, sizes, _FIELDS, t("documents").count())
+    scored = found.select("qid", "id", F.round("bm25", 6).alias("bm25"), F.round("coverage", 6).alias("coverage"))
     return lexical.top(scored, "bm25", 10)
 
 
-@query(f"""WITH {_INDEX}, v AS (SELECT DISTINCT qid, term FROM q WHERE length(term) >= 5),
-m AS (SELECT DISTINCT v.term AS wanted, d.term, CASE WHEN v.term = d.term THEN 1.0::DOUBLE ELSE 0.45::DOUBLE END AS weight FROM (SELECT DISTINCT term[:5] AS term FROM v) v JOIN df d ON starts_with(d.term, v.term))
+@query("""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS wanted FROM benchmark),
+m AS (SELECT wanted, term, 1.0::DOUBLE AS weight FROM w JOIN d ON term = wanted UNION ALL SELECT wanted, term, 0.45 FROM w JOIN d ON term[:5] = wanted[:5] AND length(wanted) >= 5 AND length(term) > length(wanted) AND starts_with(term, wanted))
 SELECT wanted, count(*) AS n, round(sum(weight), 6) AS weight FROM m GROUP BY wanted""")
 def prefix_backoff_terms(t):
-    """How many index terms each five-letter stem of the queries reaches."""
-    vocabulary = t("documents").select(F.explode(F.flatten(F.array(*[tx.words(f) for f in _FIELDS]))).alias("term")).distinct()
-    stems = t("benchmark").select(F.explode(tx.words("text")).alias("term")).where(F.length("term") >= 5).select(F.substring("term", 1, 5).alias("term")).distinct()
-    return lexical.prefix_terms(stems, vocabulary).groupBy("wanted").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    """How many index terms each term of the queries reaches: itself, and longer ones that begin with it."""
+    words = lambda df: df.select(F.explode(tx.words("text")).alias("term")).distinct()
+    found = lexical.prefix_terms(words(t("benchmark")), words(tx.spread(t("documents").select("text"))))
+    return found.groupBy("wanted").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
 a AS (SELECT * FROM w WHERE term = 'the'), b AS (SELECT * FROM w WHERE term = 'was')
-SELECT doc_id, min(abs(a.pos - b.pos) + 1)::INT AS span, round(10.0::DOUBLE / (10 + min(abs(a.pos - b.pos) + 1)), 6) AS proximity FROM a JOIN b USING (doc_id) GROUP BY doc_id""")
+SELECT doc_id, min(abs(a.pos - b.pos))::INT AS span, round(10.0::DOUBLE / (10 + min(abs(a.pos - b.pos))), 6) AS proximity FROM a JOIN b USING (doc_id) GROUP BY doc_id""")
 def proximity_window(t):
-    """The shortest span of each document that holds two given terms, and its proximity score."""
+    """How near two given terms come to each other in each document that has both, and the proximity score."""
     marks = F.filter(F.transform(tx.words("text"), lambda x, i: F.struct((i + 1).alias("pos"), x.alias("term"))), lambda m: m["term"].isin("the", "was"))
     found = t("documents").select("doc_id", marks.alias("marks")).select("doc_id", lexical.window_span(F.col("marks"), 2).alias("span"))
     return found.where("span is not null").withColumn("proximity", F.round(10.0 / (10 + F.col("span")), 6))
@@ -123,20 +141,52 @@ def recall_at_k(t):
     return found.groupBy("qid").agg((F.count("hit") / 10.0).alias("recall"))
 
 
-@query(f"""WITH {_INDEX}, e AS (SELECT vec_id, embedding FROM embeddings),
-d AS (SELECT b.item_id AS qid, r.vec_id AS id, greatest(0, {_dot('s.embedding', 'r.embedding')}) AS cos FROM benchmark b JOIN e s ON s.vec_id = b.item_id JOIN e r ON true),
-j AS (SELECT sc.qid, sc.id, bm25, coverage, coalesce(cos, 0) AS cos FROM sc LEFT JOIN d USING (qid, id)),
-m AS (SELECT *, max(bm25) OVER (PARTITION BY qid) AS mb, max(cos) OVER (PARTITION BY qid) AS mc FROM j),
-f AS (SELECT qid, id, round(0.55::DOUBLE * (CASE WHEN mb > 0 THEN bm25 / mb ELSE 0 END * 0.55::DOUBLE + coverage * 0.3::DOUBLE) + 0.3::DOUBLE * CASE WHEN mc > 0 THEN cos / mc ELSE 0 END, 6) AS score FROM m)
-SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10""")
+def fused(t, k: int = 10):
+    """Every channel over all documents: types by id, the document of an item's id as its vector, first words as names."""
+    kind = F.element_at(F.array(*map(F.lit, ["partner", "session", "speaker"])), (F.col("id") % 3 + 1).cast("int"))
+    docs = _docs(t).withColumn("kind", kind)
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    first = docs.select("id", F.slice(tx.tokens(F.substring("text", 1, 200), keep_stopwords=True), 1, 3).alias("k")).where(F.size("k") == 3)
+    forms = first.select(F.array_join("k", " ").alias("form"), "id", F.lit("primary").alias("kind"))
+    lexicon = names.lexicon(forms, forms.select(F.col("form").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    asked = _asked(t).withColumn("text", F.concat(F.lit("a panel on "), "text"))
+    asked_vectors = vectors.join(asked.select(F.col("qid").alias("id")), "id", "left_semi").withColumnRenamed("id", "qid")
+    return asked, docs, vectors, asked_vectors, lexicon
+
+
+@query()
 def hybrid_fusion(t):
-    """Lexical and vector channels fused, each normalised by its best value for the query; ten best."""
-    sc = _search(t)
-    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    seeds = vectors.select(F.col("id").alias("qid"), F.col("embedding").alias("seed"))
-    cos = F.greatest(F.lit(0.0), F.aggregate(F.zip_with("seed", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x))
-    joined = sc.join(seeds, "qid", "left").join(vectors, "id", "left").select("qid", "id", "bm25", "coverage", F.coalesce(cos, F.lit(0.0)).alias("cos"))
-    most = joined.groupBy("qid").agg(F.max("bm25").alias("mb"), F.max("cos").alias("mc"))
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    score = 0.55 * (share("bm25", "mb") * 0.55 + F.col("coverage") * 0.3) + 0.3 * share("cos", "mc")
-    return lexical.top(joined.join(most, "qid").select("qid", "id", F.round(score, 6).alias("score")), "score", 10)
+    """Lexical, vector and name channels fused for every benchmark passage; the ten best documents of each, with their parts."""
+    asked, docs, vectors, asked_vectors, lexicon = fused(t)
+    return retrieval.retrieve(asked, docs, _FIELDS, vectors, asked_vectors, lexicon)
+
+
+@query()
+def degraded_retrieval(t):
+    """The same without vectors, of open documents only, of a least score, and the second page of five."""
+    asked, docs, _, _, lexicon = fused(t)
+    found = retrieval.retrieve(asked, docs, _FIELDS, lexicon=lexicon, k=20, least=0.05)
+    fine = retrieval.recommendable(found, docs.select("id", (F.col("id") % 7 == 0).alias("closed")))
+    seen = retrieval.next_page(fine, fine.select("qid", "id").where("1 = 0"), 5)
+    return retrieval.next_page(fine, seen.select("qid", "id"), 5).select("qid", "id", "score", "place")
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS qid, r.vec_id AS id, round({_dot('q.embedding', 'r.embedding')}, 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id AND q.label = r.label WHERE q.vec_id % 100 = 0)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1 QUALIFY rank <= 5""")
+def more_like_this(t):
+    """The five nearest vectors of the same label for every hundredth vector, itself left out, of a least score."""
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "qid")
+    near = dense.top_k(rows.withColumn("kind", F.col("label").cast("string")), asked.select("qid", "v"), 5)
+    own = near.join(asked.select("qid", F.col("label").alias("own")), "qid").join(rows.select("id", "label"), "id").where("own = label")
+    scored = own.select("qid", "id", F.round("score", 6).alias("score")).where("score >= 0.1")
+    return lexical.top(scored, "score", 5)
+
+
+@query("""WITH h AS (SELECT l_orderkey AS qid, l_partkey AS id, l_linenumber::VARCHAR || '-' || l_suppkey AS form, l_discount AS boost FROM lineitem WHERE l_discount > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY boost DESC, form) AS i FROM h) SELECT qid, id, round(sum(boost / i), 9) AS boost FROM r GROUP BY qid, id""")
+def name_boost_total(t):
+    """Boosts of one entity with diminishing returns."""
+    form = F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string"))
+    hits = t("lineitem").where("l_discount > 0").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("id"), form.alias("form"), F.col("l_discount").alias("boost"))
+    return names.total(hits).withColumn("boost", F.round("boost", 9))

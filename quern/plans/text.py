@@ -44,7 +44,7 @@ SELECT s AS term, count(*) AS n, count(DISTINCT id) AS docs FROM stems
 WHERE t NOT IN {_STOP} AND s NOT IN {_STOP} AND (length(s) >= 2 OR regexp_matches(s, '^[0-9]$')) GROUP BY s""")
 def tokenize_terms(t):
     """Term and document counts of the full tokeniser."""
-    terms = t("documents").select("doc_id", F.explode(tx.tokens("text")).alias("term"))
+    terms = tx.term_rows(tx.spread(t("documents").select("doc_id", "text")), "text", "doc_id")
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
@@ -112,11 +112,13 @@ def company_keys(t):
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '^\$[0-9A-Za-z]{1,6}$') THEN 'unresolved-placeholder-token' WHEN lower(t) IN ('as attached', 'n/a', 'na', 'tbd', 'tba', '-', '--', '.') THEN 'placeholder-value'
-WHEN regexp_matches(t, '^https?://[^ \t-\r]+$') THEN 'link-only-no-prose' END AS junk FROM (SELECT doc_id, trim(coalesce(regexp_extract(text, '[^ \t-\r]+$'), ''), E' \t\n\r') AS t FROM documents)""")
+WHEN regexp_matches(t, '^https?://[^ \t-\r]+$') THEN 'link-only-no-prose' END AS junk
+FROM (SELECT doc_id, trim(CASE doc_id % 6 WHEN 0 THEN ' $4' || doc_id || ' ' WHEN 1 THEN 'As Attached' WHEN 2 THEN 'https://x.example/' || doc_id ELSE text END, E' \t\n\x0b\f\r') AS t FROM documents)""")
 def junk_reason(t):
-    """Why the last word of each text would not pass as a text of its own."""
-    last = F.coalesce(F.regexp_extract("text", r"[^ \t-\r]+\z", 0), F.lit(""))
-    return t("documents").select("doc_id", tx.junk_reason(last).alias("junk"))
+    """Why texts, half of them replaced by what scrapes leave, are no prose."""
+    k, name = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit(" $4"), name, F.lit(" "))).when(k == 1, "As Attached").when(k == 2, F.concat(F.lit("https://x.example/"), name)).otherwise(F.col("text"))
+    return t("documents").select("doc_id", tx.junk_reason(text).alias("junk"))
 
 
 _PLACE = "p_name || [' at Booth No. 12', ' in hall B-4', ' stall #7 level 2', ''][(p_partkey % 4 + 1)::INT]"

@@ -91,7 +91,7 @@ def test_random_indexing_by_brute_force(spark):
 
 def test_random_indexing_query(spark):
     got = registry.QUERIES["random_indexing"](spark, SF).collect()
-    assert got and all(r.page_id % 100 == 0 and r.other != r.page_id and -1.001 <= r.similarity <= 1.001 for r in got)
+    assert got and all(r.doc_id % 100 == 0 and r.other != r.doc_id and -1.001 <= r.similarity <= 1.001 for r in got)
 
 
 def test_questions(spark):
