@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,71 @@ def apply_ops(ids: Column, source: Column, remove: Column, add: Column, writer:
     fresh = F.filter(F.array_distinct(add), lambda x: ~F.array_contains(left, x))
     kept = F.map_filter(source, lambda k, _: F.array_contains(left, k))
     return F.concat(left, fresh), F.map_concat(kept, F.map_from_entries(F.transform(fresh, lambda x: F.struct(x, F.lit(writer)))))
+
+
+def natural_key(parts: list[Column], fallback: list[Column]) -> Column:
+    """A key of several parts; where one is null, the fallback's parts behind a mark of their own."""
+    missing = parts[0].isNull()
+    for p in parts[1:]:
+        missing = missing | p.isNull()
+    joined = lambda cs: F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("?")) for c in cs])
+    return F.when(missing, F.concat(F.lit("~"), joined(fallback))).otherwise(joined(parts))
+
+
+def changes(old: DataFrame, new: DataFrame, key: str, watched: list[str], moved: set[str], title: str, lists: tuple[str, ...] = ()) -> DataFrame:
+    """Keys whose watched fields differ, with old and new values by field, what lists gained and lost, and whether they moved or got
+    another title. Null and blank are alike; order within a list does not count, but how often a value stands in it does."""
+    o, n = (d.select(F.col(key), F.struct(*watched, *lists).alias(s)) for d, s in ((old, "o"), (new, "n")))
+    both = o.join(n, key)
+    cell = lambda w: F.struct(F.lit(w).alias("field"), F.nullif(F.col(f"o.{w}").cast("string"), F.lit("")).alias("old"), F.nullif(F.col(f"n.{w}").cast("string"), F.lit("")).alias("new"))
+    differing = F.array_compact(F.array(*[F.when(~same(F.col(f"o.{w}"), F.col(f"n.{w}")), cell(w)) for w in watched]))
+    out = both.withColumn("fields", differing)
+    none = F.array().cast("array<string>")
+    touched = F.size("fields") > 0
+    for c in lists:
+        a, b = F.coalesce(F.col(f"o.{c}"), none), F.coalesce(F.col(f"n.{c}"), none)
+        out = out.withColumn(f"{c}_added", _lacking(F.array_sort(b), a))
+        out = out.withColumn(f"{c}_removed", _lacking(F.array_sort(a), b))
+        touched = touched | ~F.array_sort(a).eqNullSafe(F.array_sort(b))
+    names = F.transform("fields", lambda x: x["field"])
+    flags = (F.arrays_overlap(names, F.array(*map(F.lit, sorted(moved)))).alias("rescheduled"), F.array_contains(names, F.lit(title)).alias("retitled"))
+    return out.where(touched).select(key, "fields", *[f"{c}_{x}" for c in lists for x in ("added", "removed")], *flags)
+
+
+def _lacking(values: Column, others: Column) -> Column:
+    return F.filter(values, lambda x: ~F.array_contains(others, x))
+
+
+def report(rows: DataFrame, kind: str, order: str, caps: dict[str, int | None]) -> DataFrame:
+    """The first lines of each kind of change, in order, and `more`, how many are left out; a cap of None shows all."""
+    nth = F.row_number().over(Window.partitionBy(kind).orderBy(order))
+    counted = rows.withColumn("nth", nth)
+    shown = F.lit(True)
+    for name, most in caps.items():
+        if most is not None:
+            shown = shown & ((F.col(kind) != name) | (F.col("nth") <= most))
+    total = rows.groupBy(kind).agg(F.count("*").alias("total"))
+    kept = counted.where(shown)
+    left = kept.groupBy(kind).agg(F.count("*").alias("kept")).join(total, kind).select(kind, (F.col("total") - F.col("kept")).alias("more"))
+    return kept.join(left, kind)
+
+
+def insert_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Rows of `incoming` whose key is not there yet: what an insert would write, and what a dry run counts."""
+    return incoming.join(existing.select(key), key, "left_anti")
+
+
+def fill_blank(base: DataFrame, donor: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The base with blank fields filled from the donor's row of the same key; a donor has each key once."""
+    given = donor.select(key, *[F.col(c).alias(f"d_{c}") for c in columns])
+    blank = lambda c: F.nullif(F.btrim(F.col(c)), F.lit(""))
+    joined = base.join(given, key, "left")
+    for c in columns:
+        joined = joined.withColumn(c, F.when(blank(c).isNull(), F.col(f"d_{c}")).otherwise(F.col(c)))
+    return joined.drop(*[f"d_{c}" for c in columns])
+
+
+def aliases(old: Column, new: Column) -> Column:
+    """Both lists of aliases as one, sorted."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(old, none), F.coalesce(new, none)))

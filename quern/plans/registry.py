@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return put
 
 
-from quern.plans import agenda, catalogue, feeds, grading, lookup, partners, search, text  # noqa: E402, F401  (they register their queries)
+from quern.plans import agenda, catalogue, feeds, grading, lookup, partners, planning, search, text  # noqa: E402, F401  (they register their queries)
