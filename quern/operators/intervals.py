@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def overlaps(slots: DataFrame, by: list[str], width: int) -> DataFrame:
-    """Pairs a < b of the same keys whose half-open intervals [s, e) meet. slots: id, s, e and the keys; no slot is longer than width.
+    """Pairs a < b of the same keys whose half-open intervals [s, e) meet. slots: id, s, e and the keys; a slot longer than width is an error.
 
     Slots are cut into bins of `width`, so that a busy key is many small groups; a slot lies in at most two bins, and a pair is
     reported only from the bin where the later of the two starts.
     """
-    binned = slots.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))))
+    fits = F.when(F.col("e") - F.col("s") <= width, F.col("e")).otherwise(F.raise_error(F.lit(f"a slot is longer than {width}")).cast("long"))
+    binned = slots.withColumn("e", fits).withColumn("bin", F.explode(F.array_distinct(F.array(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))))
     a, b = (binned.select(*by, "bin", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "e")]) for x in "ab")
     meet = (F.col("s_a") < F.col("e_b")) & (F.col("s_b") < F.col("e_a")) & (F.col("id_a") < F.col("id_b"))
     here = F.floor(F.greatest("s_a", "s_b") / width) == F.col("bin")

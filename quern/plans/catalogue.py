@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions import analysis
 from quern.operators import identity, intervals, snapshot
 from quern.plans.registry import query
 
@@ -45,11 +46,11 @@ def coverage_profile(t):
     return per.groupBy("field").agg(F.sum("k").alias("n"), F.sum(F.when(F.trim("v") != "", F.col("k")).otherwise(0)).alias("filled"), F.count("v").alias("kinds"))
 
 
-@query("""SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 20 AND (p_brand LIKE '%1' OR p_brand LIKE '%3') AND len(list_filter(string_split(lower(p_type), ' '), lambda x: x = 'steel' OR x = 'brass')) > 0""")
+@query("""SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 20 AND (p_brand LIKE '%1' OR p_brand LIKE '%3') AND len(list_filter(string_split(lower(p_type), ' '), lambda x: x = 'economy' OR x = 'promo')) > 0""")
 def filter_metadata(t):
     """A pre-filter: all fields must match, each by any of its values."""
     tokens = F.split(F.lower("p_type"), " ")
-    return t("part").where(F.col("p_size").between(5, 20) & (F.col("p_brand").endswith("1") | F.col("p_brand").endswith("3")) & F.arrays_overlap(tokens, F.array(F.lit("steel"), F.lit("brass")))).select("p_partkey")
+    return t("part").where(F.col("p_size").between(5, 20) & (F.col("p_brand").endswith("1") | F.col("p_brand").endswith("3")) & F.arrays_overlap(tokens, F.array(F.lit("economy"), F.lit("promo")))).select("p_partkey")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_acctbal >= 8000 THEN 'headline' WHEN s_acctbal >= 4000 THEN 'sponsor' WHEN s_acctbal >= 0 THEN 'exhibitor' ELSE 'unclassified' END AS tier,
@@ -163,11 +164,12 @@ def identity_components(t):
     return identity.resolve(t("supplier").select(F.col("s_suppkey").alias("id"), keys.alias("keys")))
 
 
-@query("""SELECT md5(text) AS entity, min(doc_id) AS id, count(*) AS members, min_by(lang, doc_id) FILTER (lang IS NOT NULL) AS lang, min_by(source, doc_id) FILTER (source IS NOT NULL) AS source FROM documents GROUP BY md5(text)""")
+@query("""SELECT coalesce(md5(text), 'row ' || doc_id) AS entity, min(doc_id) AS id, count(*) AS members, min_by(lang, doc_id) FILTER (lang IS NOT NULL) AS lang, min_by(source, doc_id) FILTER (source IS NOT NULL) AS source FROM documents GROUP BY 1""")
 def survivorship_merge(t):
-    """One record of each group of equal texts: the first id, and the first filled value of each field."""
+    """One record of each group of equal texts: the first id, and the first filled value of each field; a row without text stands alone."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("doc_id"))).alias(c)
-    return t("documents").groupBy(F.md5("text").alias("entity")).agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), first("lang"), first("source"))
+    entity = F.coalesce(F.md5("text"), F.concat(F.lit("row "), F.col("doc_id").cast("string")))
+    return t("documents").groupBy(entity.alias("entity")).agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), first("lang"), first("source"))
 
 
 @query("""SELECT doc_id, lower(lang) || '-' || source AS base, lower(lang) || '-' || source || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END AS minted FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, n_chars ORDER BY doc_id) AS rn FROM (SELECT doc_id, lang, source || '-' || n_chars AS source, n_chars FROM documents))""")
@@ -229,12 +231,14 @@ def history_last_n(t):
     return t("conversations").withColumn("n", n).where("n <= 3").select("conv_id", "turn", "role")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, length(text) >= 60 AS full_ FROM conversations WHERE role = 'user'),
+@query("""WITH c AS (SELECT conv_id, turn, text, (conv_id + turn) % 3 <> 0 AS full_ FROM conversations WHERE role = 'user'),
 p AS (SELECT *, last_value(CASE WHEN full_ THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c)
 SELECT conv_id, turn, CASE WHEN full_ THEN NULL ELSE prior END AS prefixed_by FROM p""")
 def followup_rewrite(t):
-    """For each short question, the latest full one before it, which it is read after."""
-    users = t("conversations").where("role = 'user'").withColumn("whole", F.length("text") >= 60)
+    """For each question without content terms (a third are made so), the latest one before it that has some, which it is read after."""
+    filler = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "And what are people looking for?").otherwise(F.col("text"))
+    terms = analysis.analyse(filler)["terms"]
+    users = t("conversations").where("role = 'user'").withColumn("whole", F.exists(terms, lambda x: x["weight"] == 1.0))
     before = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.last(F.when(F.col("whole"), F.col("turn")), ignorenulls=True).over(before)
     return users.withColumn("prior", prior).select("conv_id", "turn", F.when(~F.col("whole"), F.col("prior")).alias("prefixed_by"))
