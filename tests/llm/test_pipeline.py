@@ -64,3 +64,21 @@ def test_odd_and_empty(spark):
         assert docs.count() >= 0 and empty.count() == 0
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, odd, SF).count() > 0
+
+
+def test_each_stage_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, and extra columns with clashing, dotted and map-typed names."""
+    odd = cases.odd(spark).selectExpr("*", "map('k', 1) as m", "1 as `a.b`", "2 as `doc`", "'x' as `tie`", "3 as `row`", "4 as `part`")
+    rows = odd.select("doc_id", "text", "source").collect()
+    quality = corpus_pipeline.quality(spark, odd, SF)
+    assert quality.columns == odd.columns and [r.doc_id for r in quality.collect()] == []  # all are too short, too long-worded or repetitive
+    one = corpus_pipeline.near_dedup(spark, odd, SF)
+    assert one.columns == odd.columns and sorted(str(r.doc_id) for r in one.select("doc_id").collect()) == ["1", "10", "11", "3", "6", "7", "8", "9", "None"]
+    clean = corpus_pipeline.personal_data(spark, odd, SF)
+    assert clean.columns == odd.columns and sorted(str(r.text) for r in clean.select("text").collect()) == sorted(str(r.text) for r in rows)
+    mixed = corpus_pipeline.mix(spark, odd, SF)
+    taken = mixed.select("doc_id", "text", "source").collect()
+    assert mixed.columns == odd.columns and taken and {str(r.doc_id) for r in taken} <= {str(r.doc_id) for r in rows if r.text and r.text.split()}
+    assert sorted(map(str, taken)) == sorted(map(str, corpus_pipeline.mix(spark, odd.repartition(5), SF).select("doc_id", "text", "source").collect()))
+    coded = corpus_pipeline.encode(spark, odd, SF).collect()
+    assert len(coded) == len(rows) and all(r.same for r in coded)
