@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import agenda
-from quern.plans.registry import query
+from quern.plans.declare import query
 
 _HELD = """ln AS (SELECT l_orderkey AS k, l_linenumber AS n, max('Supplier ' || lpad(l_suppkey::VARCHAR, 9, '0')) AS p FROM lineitem WHERE l_linenumber <= 15 GROUP BY 1, 2),
 spk AS (SELECT k, list(p ORDER BY n) FILTER (n <> 3) AS sp, count(*) AS n_raw FROM ln GROUP BY k),

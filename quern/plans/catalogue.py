@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import analysis
 from quern.operators import identity, intervals, snapshot
-from quern.plans.registry import query
+from quern.plans.declare import query
 
 
 @query("SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, value LIMIT 12")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.plans.registry import query
+from quern.plans.declare import query
 from quern.sources import exports, records
 
 

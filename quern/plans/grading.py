@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import sentences as sn
 from quern.operators import claims, grading
-from quern.plans.registry import query
+from quern.plans.declare import query
 
 TAILS = [
     "Their booth is B-12.", "The stall will be near hall blue; come by!", "No booth numbers are published.", "It is probably a stand in hall red.",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import analysis
 from quern.functions import text as tx
 from quern.operators import dense, names, random_index
-from quern.plans.registry import query
+from quern.plans.declare import query
 from quern.plans.text import _STOP, _TERMS, _q
 from quern.storage import materialise
 

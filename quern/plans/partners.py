@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import partners
-from quern.plans.registry import query
+from quern.plans.declare import query
 
 _RULES = {"thing": (r"\bthe\b",), "joined": ("and", "und"), "danish": (r"\bde[nt]\b", r"\bder\b"), "mark": (r"[!?]",), "digit": ("[0-9]",), "long": ("[a-z]{12}",), "line": (r"\n",)}
 

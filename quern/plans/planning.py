@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import dense, planning, snapshot
-from quern.plans.registry import query
+from quern.plans.declare import query
 from quern.storage import new_path
 
 

@@ -10,7 +10,7 @@ from quern.functions import analysis
 from quern.functions import text as tx
 from quern.operators import dense, lexical, names, retrieval
 from quern.plans.lookup import _KINDS
-from quern.plans.registry import query
+from quern.plans.declare import query
 from quern.plans.text import _STOP, _TERMS, _q
 from quern.storage import materialise
 

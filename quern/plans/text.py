@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.plans.registry import query
+from quern.plans.declare import query
 
 
 def _q(s: str) -> str:

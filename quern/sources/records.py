@@ -81,14 +81,14 @@ def grab(blob: str | Column, key: str) -> Column:
 
 @pandas_udf(StringType())
 def _leading_value(texts: pd.Series) -> pd.Series:
+    decoder = json.JSONDecoder()
+
     def first(text: str | None) -> str | None:
         try:
-            found = _DECODER.raw_decode(text) if text else None
+            found = decoder.raw_decode(text) if text else None
         except ValueError:
             found = None
         return None if found is None else json.dumps(found[0], ensure_ascii=False, separators=(",", ":"))
 
     return texts.map(first)
 
-
-_DECODER = json.JSONDecoder()

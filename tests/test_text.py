@@ -45,7 +45,7 @@ def test_people(spark):
 
 
 def test_companies(spark):
-    assert one(spark, tx.company_aliases, "Wharf & Sons Holdings Ltd.") == ["wharf and son", "wharf and son holding ltd", "wharfandson", "wharfandsonholdingltd"]
+    assert one(spark, tx.company_aliases, "Wharf & Sons Pvt. Ltd.") == ["wharf and son", "wharf and son pvt ltd", "wharfandson", "wharfandsonpvtltd"]
     same = lambda a, b: bool(set(one(spark, tx.company_keys, a)) & set(one(spark, tx.company_keys, b)))
     assert same("Blue Kelp", "BlueKelp") and same("Ostrava", "Ostrava Bank (North)") and not same("Blue Kelp", "Red Kelp")
 
