@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -47,10 +48,21 @@ def test_clash_filter_is_greedy(spark):
     assert sorted(map(tuple, registry.QUERIES["clash_filter"](spark, SF).collect())) == want
 
 
-def test_chunks_cover_all_sentences(spark):
-    texts = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for r in registry.QUERIES["chunk_documents"](spark, SF).collect():
-        assert r.chunk in texts[r.doc_id]
+def test_chunks_by_brute_force(spark):
+    """Whole sentences in order, at most 220 words unless one sentence has more, each chunk beginning with the last sentence of the one before."""
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        sentences = [s for s in re.split(r"(?<=[.!?]) ", re.sub(r"[ \t-\r]+", " ", r.text)) if s]
+        chunks, at = [[]], 0
+        for s in sentences:
+            if at and at + len(s.split(" ")) > 220:
+                chunks.append([chunks[-1][-1]])
+                at = len(chunks[-1][0].split(" "))
+            chunks[-1].append(s)
+            at += len([w for w in re.split(" +", s)])
+        want |= {(r.doc_id, i): " ".join(c) for i, c in enumerate(chunks)}
+    got = {(r.doc_id, r.part): r.chunk for r in registry.QUERIES["chunk_documents"](spark, SF).collect()}
+    assert got == want
 
 
 def test_rate_limit_by_brute_force(spark):
