@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quern.storage import materialise, new_path, remove, shared_folder, stored
 
-__all__ = ["column", "documents", "fold_of", "labels", "map_batches", "materialise", "new_path", "remove", "row_hash", "shared_folder", "slices", "stored", "texts_of", "words_of"]
+__all__ = ["column", "documents", "fold_of", "input_table", "labels", "map_batches", "materialise", "new_path", "remove", "row_hash", "shared_folder", "slices", "stored", "texts_of", "words_of"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 SPACE_RUN = r"[ \t-\r]+"
@@ -22,12 +22,16 @@ BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
 
 
+def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return input_table(spark, sf_dir, "documents")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return input_table(spark, sf_dir, "labels")
 
 
 def column(name: str) -> Column:
