@@ -90,11 +90,16 @@ def tokens(c: str | Column, keep_stopwords: bool = False) -> Column:
     return F.transform(paired, lambda p: p["s"])
 
 
-def term_rows(rows: DataFrame, text: str, *keep: str, keep_stopwords: bool = False) -> DataFrame:
-    """The columns to keep and `term`: what `tokens` gives, one row a term. Chunks are told apart row by row, in generated code."""
-    chunks = rows.select(*keep, F.explode(F.split(fold(text), " ")).alias("chunk")).where("chunk <> ''")
+def term_rows(rows: DataFrame, text: str, *keep: str, keep_stopwords: bool = False, placed: bool = False) -> DataFrame:
+    """The columns to keep and `term`: what `tokens` gives, one row a term. Chunks are told apart row by row, in generated code.
+
+    With `placed` there is `at` too, a number that grows with the term's place in the text; it has gaps.
+    """
+    chunks = rows.select(*keep, F.posexplode(F.split(fold(text), " ")).alias("nth", "chunk")).where("chunk <> ''")
     terms = F.when(F.col("chunk").rlike("^[a-z0-9]+$"), F.array("chunk")).otherwise(_chunk_terms(F.col("chunk")))
-    found = chunks.select(*keep, F.explode(terms).alias("t")).where("t <> ''").select(*keep, "t", stem_plural("t").alias("term"))
+    found = chunks.select(*keep, "nth", F.posexplode(terms).alias("part", "t")).where("t <> ''")
+    at = [(F.shiftleft(F.col("nth").cast("long"), 24) + F.col("part")).alias("at")] if placed else []
+    found = found.select(*keep, *at, "t", stem_plural("t").alias("term"))
     if not keep_stopwords:
         found = found.where(~F.col("t").isin(*STOPWORDS) & ~F.col("term").isin(*STOPWORDS) & ((F.length("term") >= 2) | F.col("term").rlike("^[0-9]$")))
     return found.drop("t")

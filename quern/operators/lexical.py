@@ -1,56 +1,178 @@
-"""Field-weighted lexical search: postings, BM25F with coverage, prefix expansion and proximity, for many queries in one plan."""
+"""Field-weighted lexical search over stored positional postings: BM25F with coverage, prefix expansion and proximity, for many questions at once.
+
+A document's postings lie together, in the order of terms. Questions meet them by an equality join on terms; what is matched of a document
+is then scored against all questions of a pass in one block, so hits are never shuffled, and only what can still be among the best leaves
+a task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.storage import materialise
 
 K1, B = 1.2, 0.75
 PREFIX_LENGTH, PREFIX_DISCOUNT = 5, 0.45
-
-
-def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """id, term and its count in each field, `tf_<field>`. docs: id and the fields. Counting combines map-side; texts are cut once."""
-    each = [tx.term_rows(docs.select("id", F.col(f).alias("body")), "body", "id").withColumn("f", F.lit(f)) for f in fields]
-    rows = each[0]
-    for more in each[1:]:
-        rows = rows.unionByName(more)
-    return rows.groupBy("id", "term").agg(*[F.count_if(F.col("f") == f).alias(f"tf_{f}") for f in fields])
-
-
-def lengths(index: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """id and the number of terms of each field, `n_<field>`."""
-    return index.groupBy("id").agg(*[F.sum(f"tf_{f}").alias(f"n_{f}") for f in fields])
+GAP = 1000  # between the positions of two fields
+#: Most pairs of a question and a term that it reaches in a pass: about 64 MB in every task.
+PASS = 2_000_000
+#: Documents of a block.
+BLOCK = 128
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (id, term, `tf_` and `n_` of each field, positions), the number of documents and the mean length of each field."""
+
+    postings: DataFrame
+    fields: dict[str, float]
+    docs: int
+    means: dict[str, float]
+
+    def weighted(self) -> Column:
+        """The field-weighted, length-normalised frequency of a posting."""
+        parts = [F.lit(float(w)) * F.col(f"tf_{f}") / (1 - B + B * F.col(f"n_{f}") / self.means[f]) for f, w in self.fields.items()]
+        return reduce(lambda a, b: a + b, parts)
+
+
+def index(docs: DataFrame, fields: dict[str, float]) -> Index:
+    """The index of documents: id and the fields. Texts are read here and not again. Positions run through all fields, GAP apart."""
+    each = docs.repartition("id").select("id", F.posexplode(F.array(*[F.col(f).cast("string") for f in fields])).alias("f", "body"))
+    placed = tx.term_rows(each, "body", "id", "f", placed=True)
+    order = Window.partitionBy("id").orderBy("f", "at")
+    placed = placed.select("id", "f", "term", (F.row_number().over(order) - 1 + GAP * F.col("f")).cast("int").alias("pos"))
+    counts = [F.count_if(F.col("f") == i).cast("int").alias(f"tf_{f}") for i, f in enumerate(fields)]
+    per = placed.groupBy("id", "term").agg(*counts, F.array_sort(F.collect_list("pos")).alias("positions"))
+    whole = Window.partitionBy("id")
+    sizes = [F.sum(f"tf_{f}").over(whole).cast("int").alias(f"n_{f}") for f in fields]
+    first = (F.row_number().over(whole.orderBy("term")) == 1).alias("first")
+    stored = materialise(per.select("id", "term", *[f"tf_{f}" for f in fields], *sizes, "positions", first).sortWithinPartitions("term"), "postings")
+    means = stored.where("first").agg(*[F.avg(F.when(F.col(f"n_{f}") > 0, F.col(f"n_{f}"))).alias(f) for f in fields]).first()
+    return Index(stored, fields, docs.count(), {f: float(means[f] or 1.0) for f in fields})
 
 
 def idf(n: Column | int, df: Column) -> Column:
     return F.greatest(F.lit(0.0), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-def bm25f(queries: DataFrame, index: DataFrame, sizes: DataFrame, fields: dict[str, float], n_docs: int) -> DataFrame:
-    """qid, id, bm25 and coverage of all matching pairs. queries: qid, term, weight. index, sizes: as `postings` and `lengths` give them.
+def reached(queries: DataFrame, idx: Index) -> DataFrame:
+    """qid, wanted, worth (of the wanted term), term and discount: the index terms that each term of a question reaches; a null term if none.
 
-    A query term finds itself, and longer terms that start with it at a discount; expansions add to the score, but a document is
-    credited with each query term once, at its best. Only the postings of query terms meet the lengths of their documents.
+    queries: qid, term, weight. A query term finds itself, and longer terms that start with it at a discount.
     """
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    means = sizes.agg(*[F.avg(F.when(F.col(f"n_{f}") > 0, F.col(f"n_{f}"))).alias(f) for f in fields]).first()
+    df = materialise(idx.postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     asked = queries.groupBy("qid", F.col("term").alias("wanted")).agg(F.max("weight").alias("weight"))
-    known = asked.join(df.withColumnRenamed("term", "wanted"), "wanted", "left").withColumn("idf", idf(n_docs, F.coalesce("df", F.lit(0))))
-    known = known.withColumn("worth", F.col("idf") * F.col("weight")).select("qid", "wanted", "worth")
-    total = known.groupBy("qid").agg(F.sum("worth").alias("total"))
+    worth = idf(idx.docs, F.coalesce("df", F.lit(0))) * F.col("weight")
+    known = asked.join(df.withColumnRenamed("term", "wanted"), "wanted", "left").select("qid", "wanted", worth.alias("worth"))
     reach = prefix_terms(asked.select(F.col("wanted").alias("term")).distinct(), df.select("term"))
-    reach = known.join(reach.withColumnRenamed("weight", "discount"), "wanted").select("qid", "wanted", "term", (F.col("worth") * F.col("discount")).alias("worth"))
-    hits = index.join(reach, "term").join(sizes, "id")
-    norm = {f: 1 - B + B * F.col(f"n_{f}") / float(means[f] or 1.0) for f in fields}
-    tfn = sum((F.lit(float(w)) * F.col(f"tf_{f}") / norm[f] for f, w in fields.items()), F.lit(0.0))
-    each = hits.select("qid", "id", "wanted", "worth", (F.col("worth") * tfn / (K1 + tfn)).alias("part"))
-    per_term = each.groupBy("qid", "id", "wanted").agg(F.sum("part").alias("part"), F.max("worth").alias("credit"))
-    scored = per_term.groupBy("qid", "id").agg(F.sum("part").alias("bm25"), F.sum("credit").alias("seen"))
-    share = F.least(F.lit(1.0), F.when(F.col("total") > 0, F.col("seen") / F.col("total")).otherwise(0.0))
-    return scored.join(total, "qid").select("qid", "id", "bm25", share.alias("coverage"))
+    return known.join(reach.withColumnRenamed("weight", "discount"), "wanted", "left").select("qid", "wanted", "worth", "term", "discount")
+
+
+class Asked:
+    """The questions of a pass as arrays: for each number of a term, the questions it serves with what it is worth to them."""
+
+    def __init__(self, reach: pa.Table) -> None:
+        qid, wanted = reach.column("qid").to_numpy(), reach.column("wanted").to_numpy(zero_copy_only=False)
+        worth, term, discount = reach.column("worth").to_numpy(), reach.column("term").to_pylist(), reach.column("discount").to_numpy(zero_copy_only=False)
+        self.qids, q = np.unique(qid, return_inverse=True)
+        pairs: dict[tuple, int] = {}
+        pair = np.fromiter((pairs.setdefault(x, len(pairs)) for x in zip(q.tolist(), wanted.tolist(), strict=True)), np.int64, len(q))
+        self.pair_q, self.pair_worth = np.zeros(len(pairs), np.int64), np.zeros(len(pairs))
+        self.pair_q[pair], self.pair_worth[pair] = q, worth
+        self.total = np.bincount(self.pair_q, self.pair_worth, len(self.qids))
+        self.terms = sorted({t for t in term if t is not None})
+        number = {t: i for i, t in enumerate(self.terms)}
+        at = np.array([number.get(t, -1) for t in term], np.int64)
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+        self.start = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
+        self.pair, self.discount = pair[order], discount[order].astype(float)
+
+    def scores(self, docs: int, doc: np.ndarray, term: np.ndarray, tfn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """bm25 and coverage of `docs` documents (rows) for all questions (columns), from matched postings (document, term's number, frequency).
+
+        Expansions add to the score, but a document is credited with each query term once, at its best."""
+        n, sizes = len(self.qids), self.start[term + 1] - self.start[term]
+        hit = np.repeat(self.start[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        pair, of_doc, less = self.pair[hit], np.repeat(doc, sizes), self.discount[hit]
+        cell = of_doc * n + self.pair_q[pair]
+        bm25 = np.bincount(cell, self.pair_worth[pair] * less * np.repeat(tfn / (K1 + tfn), sizes), docs * n)
+        best = np.zeros(docs * len(self.pair_q))
+        key, whole = of_doc * len(self.pair_q) + pair, less == 1.0
+        best[key[~whole]], best[key[whole]] = PREFIX_DISCOUNT, 1.0  # the second overwrites the first
+        seen = np.flatnonzero(best)
+        row, pair = np.divmod(seen, max(1, len(self.pair_q)))
+        credit = np.bincount(row * n + self.pair_q[pair], self.pair_worth[pair] * best[seen], docs * n)
+        share = np.divide(credit.reshape(docs, n), self.total, out=np.zeros((docs, n)), where=self.total > 0)
+        return bm25.reshape(docs, n), np.minimum(1.0, share)
+
+
+class Best:
+    """The k best scores of each question that a task has met."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.held = np.full((questions, k), -np.inf)
+
+    def admit(self, scores: np.ndarray, room: float) -> np.ndarray:
+        """Which scores (documents by questions), lifted by `room`, still reach the k-th best."""
+        k = self.held.shape[1]
+        every = np.concatenate([self.held, scores.T], 1)
+        self.held = np.partition(every, every.shape[1] - k, 1)[:, -k:]
+        return scores + room >= self.held.min(1)[None, :]
+
+
+def passes(reach: DataFrame, most: int | None = None) -> Iterator[pa.Table]:
+    """The rows of `reach` in passes of whole questions, of PASS rows at most unless one question has more."""
+    stored, most = materialise(reach, "reach"), most or PASS
+    n = -(-stored.count() // most)
+    for at in range(n):
+        part = stored if n == 1 else stored.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == at)
+        yield part.toArrow()
+
+
+def matched(idx: Index, asked: Asked) -> DataFrame:
+    """id, terms and tfn of the documents that hold terms of a pass: their matched postings, by the numbers of the terms."""
+    spark = idx.postings.sparkSession
+    numbers = spark.createDataFrame(pa.table({"term": pa.array(asked.terms, pa.string()), "no": pa.array(range(len(asked.terms)), pa.int32())}))  # PASS terms at most
+    hits = idx.postings.join(F.broadcast(numbers), "term").select("id", "no", idx.weighted().alias("tfn"))
+    each = hits.groupBy("id").agg(F.collect_list(F.struct("no", "tfn")).alias("m"))
+    return each.select("id", F.col("m.no").alias("terms"), F.col("m.tfn").alias("tfn"))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], asked: Asked) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of at most BLOCK documents (id, terms, tfn and what else there is) with their bm25 and coverage."""
+    for whole in batches:
+        for at in range(0, len(whole), BLOCK):
+            batch = whole.slice(at, BLOCK)
+            lists = batch.column("terms").combine_chunks() if isinstance(batch.column("terms"), pa.ChunkedArray) else batch.column("terms")
+            sizes = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(batch)), sizes)
+            yield batch, *asked.scores(len(batch), doc, lists.flatten().to_numpy().astype(np.int64), batch.column("tfn").flatten().to_numpy())
+
+
+def search(queries: DataFrame, idx: Index, k: int) -> DataFrame:
+    """qid, id, bm25 and coverage of what can be among the k best of each question when scores are rounded to six digits: each task
+    gives the documents that reach its k best. queries: qid, term, weight."""
+    found = []
+    for reach in passes(reached(queries, idx)):
+        asked = Asked(reach)
+        shared = idx.postings.sparkSession.sparkContext.broadcast(asked)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            best = Best(len(shared.value.qids), k)
+            for batch, bm25, coverage in blocks(batches, shared.value):
+                d, q = np.nonzero((bm25 > 0) & best.admit(bm25, 2e-6))
+                yield pa.RecordBatch.from_pydict({"qid": shared.value.qids[q], "id": batch.column("id").to_numpy()[d], "bm25": bm25[d, q], "coverage": coverage[d, q]})
+
+        found.append(matched(idx, asked).mapInArrow(score, "qid long, id long, bm25 double, coverage double"))
+    return reduce(DataFrame.unionByName, found) if found else idx.postings.sparkSession.createDataFrame([], "qid long, id long, bm25 double, coverage double")
 
 
 def top(scored: DataFrame, by: str, k: int) -> DataFrame:
@@ -71,13 +193,27 @@ def prefix_terms(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return same.select("wanted", "term", F.lit(1.0).alias("weight")).unionByName(longer.select("wanted", "term", F.lit(PREFIX_DISCOUNT).alias("weight")))
 
 
+def spans(pairs: DataFrame, reach: DataFrame, idx: Index) -> DataFrame:
+    """qid, id, kinds and span of pairs (qid, id): how many terms of the question the document reaches, and the least distance from the first
+    to the last of positions that hold them all. reach: qid, wanted, term. Only the positions of matched postings are read."""
+    terms = reach.where("term IS NOT NULL").select("qid", "wanted", "term")
+    places = idx.postings.select("id", "term", "positions")
+    met = pairs.select("qid", "id").join(terms, "qid").join(places, ["id", "term"])
+    lists = met.groupBy("qid", "id", "wanted").agg(F.flatten(F.collect_list("positions")).alias("p"))
+    per = lists.groupBy("qid", "id").agg(F.collect_list("p").alias("lists")).select("qid", "id", F.size("lists").alias("kinds"), "lists")
+    marks = F.array_sort(F.flatten(F.transform("lists", lambda p, i: F.transform(p, lambda x: F.struct(x.alias("pos"), i.alias("term"))))))
+    return per.select("qid", "id", "kinds", window_span(marks, F.col("kinds")).alias("span"))
+
+
 def window_span(marks: Column, n: Column | int) -> Column:
-    """The least distance from the first to the last of positions that hold all n terms, or null. marks: array of (pos, term), sorted."""
-    start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("last"), F.lit(None).cast("int").alias("best"))
+    """The least distance from the first to the last of positions that hold all n terms, or null. marks: array of (pos, term), sorted; terms
+    are numbered from 0."""
+    count = n if isinstance(n, Column) else F.lit(n)
+    start = F.struct(F.array_repeat(F.lit(-1), count).alias("last"), F.lit(None).cast("int").alias("best"))
 
     def step(acc: Column, m: Column) -> Column:
-        last = F.map_concat(F.map_filter(acc["last"], lambda k, _: k != m["term"]), F.map_from_arrays(F.array(m["term"]), F.array(m["pos"])))
-        span = m["pos"] - F.array_min(F.map_values(last))
-        return F.struct(last.alias("last"), F.when(F.size(last) == n, F.least(acc["best"], span)).otherwise(acc["best"]).alias("best"))
+        last = F.transform(acc["last"], lambda x, i: F.when(i == m["term"], m["pos"]).otherwise(x))
+        low = F.array_min(last)
+        return F.struct(last.alias("last"), F.when(low >= 0, F.least(acc["best"], m["pos"] - low)).otherwise(acc["best"]).alias("best"))
 
     return F.aggregate(marks, start, step, lambda acc: acc["best"])

@@ -90,14 +90,6 @@ def day_bounds(t):
     return t("orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.count("*").alias("n"))
 
 
-@query()
-def clash_filter(t):
-    """Slots of each person and day that are kept, in order of proposal; days bound the fold."""
-    day = F.floor(F.col("s") / 1440)
-    per = _slots(t).groupBy("user_id", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("id", "s", "e"))).alias("p"))
-    return per.select("user_id", "day", F.explode(intervals.greedy(F.col("p"))).alias("id"))
-
-
 @query("""WITH p AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT l_partkey, count(*) AS persons FROM p GROUP BY l_partkey HAVING count(*) > 1""")
 def common_interests(t):
     """Items that more than one person has."""
@@ -244,26 +236,6 @@ def followup_rewrite(t):
     return users.withColumn("prior", prior).select("conv_id", "turn", F.when(~F.col("whole"), F.col("prior")).alias("prefixed_by"))
 
 
-RATE_LIMIT, RATE_WINDOW_S = 3, 3600
-
-
-@query()
-def rate_limit(t):
-    """Events that a limit of RATE_LIMIT in RATE_WINDOW_S, anchored at the first hit, lets through: a fold in order per person."""
-
-    def allow(pdf):
-        start, n, ok = None, 0, []
-        for s in pdf["s"]:
-            if start is None or s - start >= RATE_WINDOW_S:
-                start, n = s, 0
-            n += 1
-            ok.append(n <= RATE_LIMIT)
-        return pdf.assign(allowed=ok)[["event_id", "user_id", "allowed"]]
-
-    rows = t("events").select("event_id", "user_id", F.unix_timestamp("ts").alias("s"))
-    return rows.groupBy("user_id").applyInPandas(lambda pdf: allow(pdf.sort_values(["s", "event_id"])), "event_id long, user_id long, allowed boolean")
-
-
 MARKERS = {"contact": ["@", "call +"], "money": ["$$", "card"], "shout": ["!!!", "###"]}
 _SENTENCES = "SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents"
 

@@ -12,7 +12,6 @@ from quern.operators import dense, lexical, names, retrieval
 from quern.plans.lookup import _KINDS
 from quern.plans.declare import query
 from quern.plans.text import _STOP, _TERMS, _q
-from quern.storage import materialise
 
 _FIELDS = {"text": 1.2, "source": 1.5, "lang": 1.0}
 
@@ -47,7 +46,7 @@ sc AS (SELECT qid, id, sum(part) AS bm25, least(1.0::DOUBLE, CASE WHEN any_value
 
 
 def _docs(t):
-    return tx.spread(t("documents").select(F.col("doc_id").alias("id"), *_FIELDS))
+    return t("documents").select(F.col("doc_id").alias("id"), *_FIELDS)
 
 
 def _asked(t):
@@ -58,9 +57,7 @@ def _asked(t):
 SELECT * FROM r WHERE rank <= 10""")
 def bm25f_topk(t):
     """The ten best documents for each benchmark passage, all passages in one plan."""
-    index = materialise(lexical.postings(_docs(t), _FIELDS), "postings")  # read for frequencies, lengths and scores
-    sizes = materialise(lexical.lengths(index, _FIELDS), "lengths")
-    found = lexical.bm25f(retrieval.questions(_asked(t)), index, sizes, _FIELDS, t("documents").count())
+    found = lexical.search(retrieval.questions(_asked(t)), lexical.index(_docs(t), _FIELDS), 10)
     scored = found.select("qid", "id", F.round("bm25", 6).alias("bm25"), F.round("coverage", 6).alias("coverage"))
     return lexical.top(scored, "bm25", 10)
 
