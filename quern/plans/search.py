@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import analysis
@@ -11,7 +12,8 @@ from quern.functions import text as tx
 from quern.operators import dense, lexical, names, retrieval
 from quern.plans.lookup import _KINDS
 from quern.plans.declare import query
-from quern.plans.text import _STOP, _TERMS, _q
+from quern.plans.text import _STOP, _TERMS, _fold, _possessive, _q, _stem
+from quern.storage import new_path
 
 _FIELDS = {"text": 1.2, "source": 1.5, "lang": 1.0}
 
@@ -72,14 +74,29 @@ def prefix_backoff_terms(t):
     return found.groupBy("wanted").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
-a AS (SELECT * FROM w WHERE term = 'the'), b AS (SELECT * FROM w WHERE term = 'was')
-SELECT doc_id, min(abs(a.pos - b.pos))::INT AS span, round(10.0::DOUBLE / (10 + min(abs(a.pos - b.pos))), 6) AS proximity FROM a JOIN b USING (doc_id) GROUP BY doc_id""")
+_PLACED = """
+src AS (SELECT doc_id AS id, text AS body FROM documents), c AS (SELECT id, unnest(string_split({fold}, ' ')) AS chunk, generate_subscripts(string_split({fold}, ' '), 1) AS nth FROM src),
+bare AS (SELECT id, nth, {possessive} AS b FROM c), parts AS (SELECT id, nth, regexp_replace(b, '[^a-z0-9]+', '', 'g') AS glued, list_filter(regexp_split_to_array(b, '[^a-z0-9]+'), lambda x: x <> '') AS p FROM bare),
+l AS (SELECT id, nth, CASE WHEN len(p) <= 1 THEN [glued] ELSE list_concat([glued], p) END AS ts FROM parts), terms AS (SELECT id, nth, unnest(ts) AS t, generate_subscripts(ts, 1) AS part FROM l),
+stems AS (SELECT id, nth, part, t, {stem} AS s FROM terms WHERE t <> ''),
+pos AS MATERIALIZED (SELECT id, s AS term, row_number() OVER (PARTITION BY id ORDER BY nth, part) AS pos FROM stems WHERE {kept})
+""".format(fold=_fold("body"), possessive=_possessive("chunk"), stem=_stem("t"), kept=_KEPT)
+
+
+@query(f"""WITH {_PLACED}, df AS (SELECT term, count(DISTINCT id) AS df FROM pos GROUP BY term), qsrc AS (SELECT item_id AS id, text AS body FROM benchmark), {_renamed('q')},
+r AS (SELECT id AS qid, s AS term FROM (SELECT DISTINCT id, s FROM qstems WHERE {_KEPT}) JOIN df ON term = s QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, s) <= 2),
+h AS (SELECT qid, id, term, pos, max(term) OVER w AS hi, min(term) OVER w AS lo FROM r JOIN pos USING (term) WINDOW w AS (PARTITION BY qid, id)),
+g AS (SELECT qid, id, CASE WHEN lag(term) OVER w <> term THEN pos - lag(pos) OVER w END AS span FROM h WHERE hi <> lo WINDOW w AS (PARTITION BY qid, id ORDER BY pos))
+SELECT qid, id, min(span)::INT AS span, round(10.0::DOUBLE / (10 + min(span)), 6) AS proximity FROM g GROUP BY qid, id""")
 def proximity_window(t):
-    """How near two given terms come to each other in each document that has both, and the proximity score."""
-    marks = F.filter(F.transform(tx.words("text"), lambda x, i: F.struct((i + 1).alias("pos"), x.alias("term"))), lambda m: m["term"].isin("the", "was"))
-    found = t("documents").select("doc_id", marks.alias("marks")).select("doc_id", lexical.window_span(F.col("marks"), 2).alias("span"))
-    return found.where("span is not null").withColumn("proximity", F.round(10.0 / (10 + F.col("span")), 6))
+    """How near the two rarest terms of each benchmark passage come to each other in every document that holds both, from stored positions."""
+    idx = lexical.index(t("documents").select(F.col("doc_id").alias("id"), "text"), {"text": 1.0})
+    df = idx.postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = tx.term_rows(t("benchmark").select(F.col("item_id").alias("qid"), "text"), "text", "qid").distinct().join(df, "term")
+    rare = asked.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).where("nth <= 2").select("qid", F.col("term").alias("wanted"), "term")
+    pairs = idx.postings.select("id", "term").join(rare, "term").groupBy("qid", "id").agg(F.count("*").alias("n")).where("n = 2")
+    found = lexical.spans(pairs, rare, idx)
+    return found.select("qid", "id", "span", F.round(retrieval.WINDOW / (retrieval.WINDOW + F.col("span")), 6).alias("proximity"))
 
 
 @query("""SELECT p_partkey, score, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM (SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'part') THEN 4 ELSE 0 END + CASE WHEN contains(lower(p_name), '7') THEN 4 ELSE 0 END
@@ -90,7 +107,7 @@ def weighted_substring_match(t):
     hit = lambda f, x, w: F.when(F.contains(F.lower(f), F.lit(x)), w).otherwise(0)
     score = hit("p_name", "part", 4) + hit("p_name", "7", 4) + hit("p_brand", "7", 2) + hit("p_type", "brass", 3) + hit("p_type", "steel", 3)
     best = t("part").select("p_partkey", score.alias("score")).where("score >= 2").orderBy(F.desc("score"), "p_partkey").limit(25)
-    return best.withColumn("rank", F.row_number().over(lexical.Window.orderBy(F.desc("score"), "p_partkey")))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "p_partkey")))
 
 
 def _dot(a: str, b: str) -> str:
@@ -172,12 +189,40 @@ def degraded_retrieval(t):
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1 QUALIFY rank <= 5""")
 def more_like_this(t):
     """The five nearest vectors of the same label for every hundredth vector, itself left out, of a least score."""
-    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "qid")
-    near = dense.top_k(rows.withColumn("kind", F.col("label").cast("string")), asked.select("qid", "v"), 5)
-    own = near.join(asked.select("qid", F.col("label").alias("own")), "qid").join(rows.select("id", "label"), "id").where("own = label")
-    scored = own.select("qid", "id", F.round("score", 6).alias("score")).where("score >= 0.1")
-    return lexical.top(scored, "score", 5)
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("kind"))
+    near = dense.more_like(rows, rows.where("id % 100 = 0").select(F.col("id").alias("qid")), 5, 0.1)
+    return near.withColumn("score", F.round("score", 6))
+
+
+_GRID = (8, 16, 32, 64)
+_COSINE = "round(list_inner_product({0}, {1}) / sqrt(list_inner_product({0}, {0}) * list_inner_product({1}, {1})), 9)"
+_CONFIGS = [(d, kind) for d in _GRID for kind in ("float", "int8")]
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+{', '.join(f"u{d} AS MATERIALIZED (SELECT id, {_unit('v', d)} AS u FROM e), p{d} AS (SELECT max(list_max(list_transform(u, lambda x: abs(x)))) / 127 AS scale FROM u{d}), b{d} AS MATERIALIZED (SELECT id, list_transform(u, lambda x: round_even(x / scale, 0)) AS u FROM u{d}, p{d})" for d in _GRID)},
+n AS MATERIALIZED ({' UNION ALL '.join(f"SELECT {d} AS dim, '{kind}' AS dtype, q.id AS qid, r.id FROM {'ub'[kind == 'int8']}{d} q JOIN {'ub'[kind == 'int8']}{d} r ON q.id <> r.id WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY {_COSINE.format('q.u', 'r.u')} DESC, r.id) <= 10" for d, kind in _CONFIGS)})
+SELECT dim, dtype, count(t.id) / count(*)::DOUBLE AS recall FROM n LEFT JOIN (SELECT qid, id FROM n WHERE dim = {_GRID[-1]} AND dtype = 'float') t USING (qid, id) GROUP BY dim, dtype""")
+def recall_grid(t):
+    """How much of the ten nearest of every hundredth vector each cut and each type of number keeps."""
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return dense.recall_grid(rows, rows.where("id % 100 = 0").withColumnRenamed("id", "qid"), list(_GRID), 10)
+
+
+@query(f"""WITH u AS (SELECT vec_id AS id, label, {_unit('embedding', 32)} AS u FROM embeddings), p AS (SELECT max(list_max(list_transform(u, lambda x: abs(x)))) / 127 AS scale FROM u),
+b AS (SELECT id, label, list_transform(u, lambda x: round_even(x / scale, 0)) AS b FROM u, p),
+s AS (SELECT q.id AS qid, r.id, round(list_inner_product(q.u, r.b) / sqrt(list_inner_product(r.b, r.b)), 6) AS score FROM u q JOIN b r ON q.id <> r.id WHERE q.id % 100 = 0 AND r.label IN (1, 2, 3) AND r.id % 2 = 1)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1 QUALIFY rank <= 5""")
+def index_search(t):
+    """A stored index of bytes of 32 components, asked with whole vectors: rows of three labels and odd ids alone, of a least score, the best five."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    path = new_path(e.sparkSession, "byte-index")
+    dense.write_index(e.select("id", dense.truncate(F.col("v"), 32).alias("v")), path, "cut")
+    rows, dim = dense.read_bytes(e.sparkSession, path)
+    wanted = rows.where("id % 2 = 1").join(e.where("label IN (1, 2, 3)").select("id"), "id", "left_semi")
+    asked = e.where("id % 100 = 0").select(F.col("id").alias("qid"), dense.query_vector(F.col("v"), dim).alias("v"))
+    near = dense.top_k(wanted, asked, 5, least=0.1, unit=True)
+    return near.withColumn("score", F.round("score", 6))
 
 
 @query("""WITH h AS (SELECT l_orderkey AS qid, l_partkey AS id, l_linenumber::VARCHAR || '-' || l_suppkey AS form, l_discount AS boost FROM lineitem WHERE l_discount > 0),
