@@ -42,11 +42,14 @@ def verify(claims: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def appears(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """phrase and `n`, the number of texts that hold it as whole words. A phrase meets the texts that have its first word."""
+    """phrase and `n`, the number of texts that hold it as whole words. A phrase meets the texts that have its
+    first word: words and ids are joined alone, and each text is read once more, with the phrases it may hold."""
     asked = phrases.select("phrase", sn.norm(F.col("phrase")).alias("p")).where("p <> ''").distinct().withColumn("word", F.split_part("p", F.lit(" "), F.lit(1)))
-    have = texts.select("id", sn.padded(F.col("text")).alias("pad")).withColumn("word", F.explode(F.array_distinct(F.split(F.btrim("pad"), " "))))
-    hit = have.join(asked, "word").where(F.contains(F.col("pad"), F.concat(F.lit(" "), F.col("p"), F.lit(" "))))
-    return phrases.select("phrase").distinct().join(hit.groupBy("phrase").agg(F.countDistinct("id").alias("n")), "phrase", "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"))
+    words = texts.select("id", F.explode(F.array_distinct(F.split(F.btrim(sn.padded(F.col("text"))), " "))).alias("word"))
+    near = words.join(asked, "word").groupBy("id").agg(F.collect_set(F.struct("phrase", "p")).alias("near"))  # no more than the phrases of a suite
+    held = lambda x: F.contains(F.col("pad"), F.concat(F.lit(" "), x["p"], F.lit(" ")))
+    met = texts.select("id", sn.padded(F.col("text")).alias("pad")).join(near, "id").select("id", F.explode(F.transform(F.filter("near", held), lambda x: x["phrase"])).alias("phrase"))
+    return phrases.select("phrase").distinct().join(met.groupBy("phrase").agg(F.countDistinct("id").alias("n")), "phrase", "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def validate(cases: DataFrame, detectors: set[str], present: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import agenda
-from quern.plans.declare import query
+from quern.plans.declare import hashed, query
 
 _HELD = """ln AS (SELECT l_orderkey AS k, l_linenumber AS n, max('Supplier ' || lpad(l_suppkey::VARCHAR, 9, '0')) AS p FROM lineitem WHERE l_linenumber <= 15 GROUP BY 1, 2),
 spk AS (SELECT k, list(p ORDER BY n) FILTER (n <> 3) AS sp, count(*) AS n_raw FROM ln GROUP BY k),
@@ -87,17 +87,17 @@ def extract_speakers(t):
     return directory(t).select("key", "bio", "photo", "company", "session_title", "richness", F.size("codes").alias("n_codes"), F.md5(F.array_join("codes", ",")).alias("codes"))
 
 
-@query(r"""WITH i AS (SELECT p_size AS page, p_brand || 'ss' AS grp, p_partkey, trim(p_name) || CASE WHEN p_partkey % 2 = 0 THEN ' PAY' ELSE ' Bank' END AS name, CASE WHEN p_partkey % 3 = 0 THEN '/logo/' || p_partkey WHEN p_partkey % 3 = 1 THEN 'logo' END AS logo, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS title FROM part WHERE p_partkey % 11 <> 0),
+@query(r"""WITH i AS (SELECT p_partkey // 200 AS page, p_brand || 'ss' AS grp, p_partkey, trim(p_name) || CASE WHEN p_partkey % 2 = 0 THEN ' PAY' ELSE ' Bank' END AS name, CASE WHEN p_partkey % 3 = 0 THEN '/logo/' || p_partkey WHEN p_partkey % 3 = 1 THEN 'logo' END AS logo, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS title FROM part WHERE p_partkey % 11 <> 0),
 f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY page, grp, p_partkey) = 1)
 SELECT name, replace(lower(name), ' ', '-') AS slug, CASE WHEN logo[1] = '/' THEN 'https://base.example' || logo ELSE logo END AS logo, coalesce(title, regexp_replace(grp, 's+$', '')) AS tier, CASE WHEN lower(name) LIKE '% pay' THEN 'payments' ELSE 'banking' END AS category FROM f""")
 def extract_partners(t):
-    """Partners from pages that hold lists of them by group, the first of each name."""
+    """Partners from pages that hold lists of up to two hundred by group, the first of each name."""
     k = F.col("p_partkey")
     name = F.when(k % 11 != 0, F.concat(F.lit(" "), "p_name", F.when(k % 2 == 0, "  PAY").otherwise(" Bank"))).otherwise("")
     logo = F.when(k % 3 == 0, F.concat(F.lit("/logo/"), k.cast("string"))).when(k % 3 == 1, "logo")
     item = F.struct(k.alias("k"), name.alias("altText"), F.lit("").alias("webLink"), F.when(k % 4 == 0, F.col("p_type")).alias("title"), logo.alias("imageUrl"))
-    groups = t("part").groupBy("p_size", "p_brand").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    pages = groups.groupBy(F.col("p_size").alias("ord")).agg(F.array_sort(F.collect_list(F.struct(F.concat("p_brand", F.lit("ss")).alias("name"), "items"))).alias("groups"))
+    groups = t("part").groupBy(F.floor(k / 200).alias("page"), "p_brand").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    pages = groups.groupBy(F.col("page").alias("ord")).agg(F.array_sort(F.collect_list(F.struct(F.concat("p_brand", F.lit("ss")).alias("name"), "items"))).alias("groups"))
     return agenda.partners(pages, "https://base.example").select("name", "slug", "logo", "tier", "category")
 
 
@@ -152,7 +152,7 @@ def day_labels(t):
 
 
 @query(f"""WITH {_HELD}, c AS (SELECT 'session:' || code AS id, 'session' AS type, title AS name FROM held WHERE code IS NOT NULL UNION ALL SELECT 'speaker:supplier-' || lpad(s_suppkey::VARCHAR, 9, '0'), 'speaker', s_name FROM supplier
-UNION ALL SELECT 'partner:' || replace(p_name, ' ', '-'), 'partner', p_name FROM part) SELECT type, count(*) AS n, count(DISTINCT id) AS ids, md5(string_agg(DISTINCT id, ',' ORDER BY id)) AS digest FROM c GROUP BY type""")
+UNION ALL SELECT 'partner:' || replace(p_name, ' ', '-'), 'partner', p_name FROM part) SELECT type, count(*) AS n, count(DISTINCT id) AS ids, sum(DISTINCT ('0x' || md5(id)[:12])::BIGINT)::BIGINT AS digest FROM c GROUP BY type""")
 def typed_corpus(t):
     """Records of three types as one corpus, with minted ids; what has no key is left out."""
     held = held_sessions(t)
@@ -162,7 +162,8 @@ def typed_corpus(t):
         agenda.typed("session", held, F.col("code"), name=F.col("title"), hall=F.col("hall")),
         agenda.typed("speaker", people, tx.slug(tx.person_key("name")), name=F.col("name")),
     )
-    return whole.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.md5(F.array_join(F.array_sort(F.collect_set("id")), ",")).alias("digest"))
+    each = whole.groupBy("type", "id").agg(F.count("*").alias("n"))
+    return each.groupBy("type").agg(F.sum("n").alias("n"), F.count("id").alias("ids"), hashed("id").alias("digest"))
 
 
 @query(f"""WITH {_HELD} SELECT code, title, NOT closed AS recommendable, CASE WHEN closed THEN 'closed: ' || access END AS note, NOT closed AS plannable FROM held""")

@@ -97,13 +97,17 @@ def common_interests(t):
     return pairs.select("o_custkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("persons")).where("persons > 1")
 
 
+SALTS = 8
+
+
 @query("""WITH p AS (SELECT DISTINCT o_custkey AS c, l_partkey AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT a.c AS me, b.c AS other, count(*) AS shared FROM p a JOIN p b ON a.k = b.k AND a.c <> b.c WHERE a.c % 100 = 0 GROUP BY 1, 2""")
 def attendee_overlap(t):
     """For every hundredth person, how many items each other person shares."""
     pairs = t("orders").select("o_orderkey", "o_custkey").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("other"), F.col("l_partkey").alias("k")).distinct()
-    mine = pairs.where("other % 100 = 0").withColumnRenamed("other", "me")
-    return mine.join(pairs, "k").where("me <> other").groupBy("me", "other").agg(F.count("*").alias("shared"))
+    salted = pairs.withColumn("salt", F.pmod(F.hash("other"), F.lit(SALTS)))  # a popular item's people are dealt out
+    mine = pairs.where("other % 100 = 0").select(F.col("other").alias("me"), "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return mine.join(salted, ["k", "salt"]).where("me <> other").groupBy("me", "other").agg(F.count("*").alias("shared"))
 
 
 @query("""SELECT o_orderkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderpriority LIKE '1%'""")

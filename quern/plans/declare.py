@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.sources.tables import table
 
@@ -22,3 +23,8 @@ def query(sql: str | None = None):
         return f
 
     return put
+
+
+def hashed(c: str) -> Column:
+    """An aggregate that tells sets of distinct values apart in any order: the sum of 48 bits of their hashes; null for none."""
+    return F.sum(F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 12), 16, 10).cast("long"))

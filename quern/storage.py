@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a session on one machine may do without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -21,7 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for a table, below one folder for each application."""
-    return f"{shared_folder(spark)}/quern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/quern/{spark.sparkContext.applicationId}"
+    if folder not in _written:
+        _written.add(folder)
+        atexit.register(_leave, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -34,6 +42,12 @@ def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _leave(spark: SparkSession, folder: str) -> None:
+    """At the end of the driver, delete what the application wrote; `clear` does so earlier. A driver that is killed leaves its folder."""
+    if spark.sparkContext._jsc is not None:  # not stopped before
+        remove(spark, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
