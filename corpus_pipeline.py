@@ -31,13 +31,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, repeats included. Null and empty texts are never taken; a null source is a source of its own; rows of one
+    """The documents of the mix, repeats included; shards and slots order the draw and are not passed on. Null and empty texts are never taken; a null source is a source of its own; rows of one
     doc_id and size stand in order of a hash of the row, so reruns agree."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's ids, checked by decoding them. A null text has the ids of an empty one; every row gives a row."""
+    """Each text's ids, checked by decoding them. A null text has null ids; every row gives a row."""
     return pieces.encoded(docs)
 
 
