@@ -120,6 +120,8 @@ _AT = re.compile(rf"(?i)(?<=[A-Za-z0-9._%+-])(?:{_W}{{0,2}}(?:{_bracketed('at',
 _DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9-])(?:{_W}{{0,2}}(?:{_bracketed('dot', '[.]')}){_W}{{0,2}}|{_W}{{1,2}}(?:dot|\.){_W}{{1,2}}|_dot_|-dot-)(?=[A-Za-z0-9])")
 #: An at is read as @ only if labels with real or disguised dots between follow it. Labels and dots give nothing back, so a match stays linear.
 _HOST = rf"(?i)(?:(?>(?:(?!-dot-)[A-Za-z0-9-]){{1,63}})(?>_dot_|-dot-|{_W}{{0,2}}[\(\[{{<]?{_W}?(?:dot|\.){_W}?[\)\]}}>]?{_W}{{0,2}})){{1,126}}"
+#: After a bare at, a plain dot with white space beside it ends a sentence.
+_BARE_HOST = rf"(?i)(?:(?>(?:(?!-dot-)[A-Za-z0-9-]){{1,63}})(?>_dot_|-dot-|{_W}{{0,2}}[\(\[{{<]{_W}?(?:dot|\.){_W}?[\)\]}}>]{_W}{{0,2}}|{_W}{{1,2}}dot{_W}{{1,2}}|\.)){{1,126}}"
 _SPELLED_HOST = rf"(?i)(?:(?>[A-Za-z0-9-]{{1,63}}){_W}{{1,2}}dot{_W}{{1,2}}){{1,126}}"
 _AFTER_AT = re.compile(_HOST + r"[a-z]{2,63}(?![^\W_])")
 # Endings of domains of four letters and more, which after a bare at count only if all dots are spelled, too.
@@ -127,9 +129,9 @@ _ENDINGS = (
     "tech online shop store site cloud email blog world live club group team agency digital media news systems solutions software studio design "
     "company network services support academy education institute foundation museum travel photography"
 )
-#: After a bare " at " the last label must look like a top-level domain, too.
+#: After a bare " at " the last label must look like a top-level domain, too, and not like the first word of a sentence.
 _AFTER_BARE_AT = re.compile(
-    _HOST + r"(?:[a-z]{2,3}|info|example|name|mail|test|local|invalid)(?![^\W_])|" + _SPELLED_HOST.removeprefix("(?i)") + f"(?:{_ENDINGS.replace(' ', '|')})" + r"(?![^\W_])"
+    _BARE_HOST + r"(?:(?-i:[a-z]{2,3}|[A-Z]{2,3})|info|example|name|mail|test|local|invalid)(?![^\W_])|" + _SPELLED_HOST.removeprefix("(?i)") + f"(?:{_ENDINGS.replace(' ', '|')})" + r"(?![^\W_])"
 )
 _NO_DOMAIN = re.compile(r"(?i)(?:the|a|an|this|that|these|those|our|my|your|his|her|its|their|any|each|some|no|one)(?![A-Za-z0-9-])")
 _TRIGGER = re.compile(r"(?i)(?<![^\W_])(?:at|dot|@)(?![^\W_])| @|@ ")
@@ -177,7 +179,7 @@ def _spelled_digits(state: Transduced) -> None:
 def _at_dot(state: Transduced) -> None:
     ats, bare_ats, shorter = [], set(), 0
     for m in _AT.finditer(state.text):
-        bare = m.group().strip(" ").lower() == "at"
+        bare = m.group().strip().lower() == "at"  # whatever white space stands around it
         if (_AFTER_BARE_AT if bare else _AFTER_AT).match(state.text, m.end()) and not (bare and _NO_DOMAIN.match(state.text, m.end())):
             ats.append((*m.span(), "@"))
             if bare:
@@ -277,6 +279,6 @@ def op5(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in `text` and `n_chars` counted anew; null texts stay null."""
-    clean = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else redact(t)), "string")
+    clean = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else redact(t)), "string")  # Spark bounds its batches by bytes
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

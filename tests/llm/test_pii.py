@@ -73,6 +73,19 @@ def test_any_domain_after_a_marked_at():
 def test_clean_text_has_none():
     for text in ("we met at noon. then we left", "look at the dot com boom", "one two three four", "he was at home dot", "le café · naïve – fin"):
         assert spans(text) == {}
+    for gap in ("\n", "\t", " \n", "\r\n ", "\n\n"):  # white space of any kind beside a bare "at" does not mark it
+        for text in (f"meet{gap}at Berlin.Today ok", f"arrived{gap}at home . Then", f"ask me{gap}at noon.Later", f"meet at{gap}Berlin.Today", f"we were{gap}at{gap}work.Now"):
+            assert spans(text) == {}, text
+
+
+def test_precision_on_prose():
+    """Plain prose in many layouts has no spans at all, so what is found in the planted texts is found for its disguise."""
+    rng = random.Random(11)
+    words = "we met at noon then look at the plan one two of it plus a place or more at home and work three people saw him".split()
+    for _ in range(3000):
+        parts = [rng.choice(words) + rng.choice(["", "", "", ".", ",", " ."]) for _ in range(rng.randint(3, 40))]
+        text = "".join(p + rng.choice([" ", " ", "\n", "\t", "  "]) for p in parts)
+        assert spans(text) == {}, text
 
 
 def test_long_runs_are_linear():
