@@ -18,7 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import column, map_batches, materialise, new_path, remove, row_hash, stored, texts_of
@@ -72,8 +72,8 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         raise ValueError("two segments with one wildcard each find up to three differing bits")
     variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1))).alias("at"))
     keyed = variants.select(_variants("at", "fp", SEGMENT_BITS).alias("key"), "fp")
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    shared = materialise(shared, "simhash-shared")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # combines map-side: no task holds a variant's fingerprints
+    shared = materialise(keyed.join(sizes, "key"), "simhash-shared")
     usual = shared.where(F.col("n") <= LARGE_BUCKET).select("key", F.lit(0).cast("long").alias("key2"), "fp")
     other = F.expr(f"shiftrightunsigned(fp, cast(if(shiftrightunsigned(key, {SEGMENT_BITS}) < {SEGMENT_BITS}, {SEGMENT_BITS}, 0) as int))").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
     large = (
