@@ -1,9 +1,11 @@
 """Audit of how far the sources of each language diverge in their terms, by mergeable radix tries.
 
-Every task counts the terms of its texts in byte tries, one a language, whose leaves hold a counter a source and the number of documents.
-A traversal gives a trie's terms in UTF-8 order; the tries of all tasks are merged by ranges of terms, where rows of one term meet in
-order. What enough documents hold is kept in blocks of terms with their leaf counters. Blocks meet the totals of their language and
-stream two things: sums of differences for pairs of sources, and each source's leading terms, whose order among ties is that of UTF-8.
+Every task counts the terms of its texts and holds them in byte tries, one a language: inner nodes branch by the next byte, and a node of
+few enough leaves is a container of sorted rests behind a common prefix, with a counter a source and the number of documents at each leaf.
+A traversal gives the terms in UTF-8 order. Tries are merged by prefix ranges: containers are cut where ranges meet, and those of one
+range are added up, leaf by leaf. What enough documents hold is kept in blocks of terms with their counters. Blocks meet the totals of their
+language and stream two things: sums of differences for pairs of sources, and each source's leading terms, whose ties stand in the order
+of UTF-8.
 
 Defined results: null text, lang or source counts as ''. Repeated rows count again. A (lang, source) without kept terms still has its
 pairs; a language without kept terms has pairs of value 0. Extra columns are ignored; an empty table gives an empty result. All sums
@@ -12,6 +14,8 @@ are of whole numbers, so reruns on any partitioning agree.
 
 from __future__ import annotations
 
+import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +39,9 @@ SCALE = 1_000_000_000
 class Bounds:
     """What a task holds at a time; results do not depend on it."""
 
-    counts: int = 400_000  # counts that wait before they go into the tries
-    leaves: int = 400_000  # leaf counters of the tries before they are written out
+    counts: int = 600_000  # counters that a task holds before it gives its tries
+    leaves: int = 4_096  # leaves of a container
+    range: int = 150_000  # leaves of a prefix range, about
     block: int = 1 << 15  # leaf counters of a block of kept terms, about
     cells: int = 1 << 21  # cells of a matrix of terms by sources
     tile: int = 128  # sources of a block that are compared with all others
@@ -53,191 +58,203 @@ BYTES = _byte_table()
 
 
 class Trie:
-    """A radix trie over bytes. An edge is [label, edges below, leaf or None]; a leaf is [documents, {source: count}]."""
-
-    def __init__(self) -> None:
-        self.edges: dict[int, list] = {}
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term (not empty), made if it is not there."""
-        edges = self.edges
-        while True:
-            edge = edges.get(term[0])
-            if edge is None:
-                edge = edges[term[0]] = [term, {}, [0, {}]]
-                return edge[2]
-            label = edge[0]
-            if not term.startswith(label):
-                same = next((i for i, (a, b) in enumerate(zip(label, term, strict=False)) if a != b), min(len(label), len(term)))
-                edge[:] = label[:same], {label[same]: [label[same:], edge[1], edge[2]]}, None
-                label = edge[0]
-            if len(term) == len(label):
-                if edge[2] is None:
-                    edge[2] = [0, {}]
-                return edge[2]
-            term, edges = term[len(label) :], edge[1]
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """Terms and leaves in the order of bytes, which for UTF-8 is that of code points."""
-        stack = [(b"", self.edges[b]) for b in sorted(self.edges, reverse=True)]
+    """A radix trie of one language. `terms` are its leaves in order, with the documents of each; counters stand leaf after leaf, those of a
+    leaf up to its `ends`, with the number of a source and a count."""
+
+    def __init__(self, docs: Counter, by_source: dict[str, Counter]) -> None:
+        self.terms = sorted(docs)
+        self.df = np.fromiter(map(docs.__getitem__, self.terms), np.int64, len(self.terms))
+        self.sources = sorted(by_source)
+        place = dict(zip(self.terms, range(len(self.terms)), strict=True))
+        leaf = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in (by_source[s] for s in self.sources)])
+        counts = np.concatenate([np.fromiter(by_source[s].values(), np.int64, len(by_source[s])) for s in self.sources])
+        which = np.repeat(np.arange(len(self.sources)), [len(by_source[s]) for s in self.sources])
+        order = np.argsort(leaf, kind="stable")
+        self.which, self.counts = which[order], counts[order]
+        self.ends = np.cumsum(np.bincount(leaf, minlength=len(self.terms)))
+
+    def containers(self, most: int) -> Iterator[tuple[bytes, int, int]]:
+        """The trie's lowest nodes in order: their prefix, and where their leaves begin and end. Inner nodes have more than `most` leaves."""
+        stack = [(0, len(self.terms))]
         while stack:
-            before, (label, below, leaf) = stack.pop()
-            at = before + label
-            if leaf is not None:
-                yield at, leaf
-            stack.extend((at, below[b]) for b in sorted(below, reverse=True))
-
-
-TRIES = "lang string, term binary, df long, sources array<string>, counts array<long>"
-_TRIES = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("df", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-
-class _Tries:
-    """The tries of a task; a bounded number of counts waits before it is put into them, each distinct term once."""
-
-    def __init__(self, bounds: Bounds) -> None:
-        self.bounds = bounds
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[str, Counter] = defaultdict(Counter)
-        self.tries: dict[str, Trie] = defaultdict(Trie)
-        self.leaves = 0
-
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        terms = text.translate(BYTES).split()
-        self.counts[lang, source].update(terms)
-        self.docs[lang].update(set(terms))
-
-    def waiting(self) -> int:
-        return sum(map(len, self.counts.values()))
-
-    def settle(self) -> None:
-        found: dict[tuple[str, bytes], list] = {}
-        for lang, docs in self.docs.items():
-            trie = self.tries[lang]
-            for term, n in docs.items():
-                leaf = found[lang, term] = trie.leaf(term)
-                leaf[0] += n
-        for (lang, source), counts in self.counts.items():
-            for term, n in counts.items():
-                leaf = found[lang, term][1]
-                self.leaves += source not in leaf
-                leaf[source] = leaf.get(source, 0) + n
-        self.counts.clear()
-        self.docs.clear()
-
-    def emitted(self) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for lang in sorted(self.tries):
-            for term, (df, leaf) in self.tries[lang].walk():
-                rows.append((lang, term, df, list(leaf), list(leaf.values())))
-                if len(rows) == self.bounds.rows:
-                    yield _rows(rows, _TRIES)
-                    rows = []
-        if rows:
-            yield _rows(rows, _TRIES)
-        self.tries.clear()
-        self.leaves = 0
+            lo, hi = stack.pop()
+            if lo == hi:
+                continue
+            first, last = self.terms[lo], self.terms[hi - 1]  # in sorted leaves these two share what all share
+            depth = next((i for i, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))
+            if hi - lo <= most:
+                yield first[:depth], lo, hi
+                continue
+            cuts, at = [lo], lo + (len(first) == depth)  # a leaf at the node itself stands first
+            if at > lo:
+                cuts.append(at)
+            while at < hi:
+                after = self.terms[at][: depth + 1]
+                at = hi if after[-1] == 0xFF else bisect_left(self.terms, after[:-1] + bytes([after[-1] + 1]), at, hi)
+                cuts.append(at)
+            stack.extend(reversed(list(zip(cuts, cuts[1:], strict=False))))
+
+
+NODES = "lang string, prefix binary, rests array<binary>, df array<long>, sources array<string>, ends array<int>, which array<int>, counts array<long>"
+_NODES = pa.schema([
+    ("lang", pa.string()), ("prefix", pa.binary()), ("rests", pa.list_(pa.binary())), ("df", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())),
+    ("which", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
+])
+
+
+def _row(schema: pa.Schema, values: list) -> pa.RecordBatch:
+    """A batch of one row, its lists from arrays as they are."""
+    columns = []
+    for f, x in zip(schema, values, strict=True):
+        if pa.types.is_list(f.type):
+            x = pa.array(x, f.type.value_type)
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
+        else:
+            columns.append(pa.array([x], f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _nodes(counts: dict[str, dict[str, Counter]], docs: dict[str, Counter], bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    for lang in sorted(docs):
+        trie = Trie(docs[lang], counts[lang])
+        for prefix, lo, hi in trie.containers(bounds.leaves):
+            at = slice(trie.ends[lo - 1] if lo else 0, trie.ends[hi - 1])
+            met, which = np.unique(trie.which[at], return_inverse=True)
+            rests = [t[len(prefix) :] for t in trie.terms[lo:hi]]
+            yield _row(_NODES, [lang, prefix, rests, trie.df[lo:hi], [trie.sources[i] for i in met], trie.ends[lo:hi] - at.start, which, trie.counts[at]])
+
+
 def _count(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[pa.RecordBatch]:
-    held = _Tries(bounds)
+    counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+    docs: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-            held.add(lang, source, text)
-        if held.waiting() > bounds.counts:
-            held.settle()
-        if held.leaves > bounds.leaves:
-            yield from held.emitted()
-    held.settle()
-    yield from held.emitted()
+            terms = text.translate(BYTES).split()
+            if terms:
+                counts[lang][source].update(terms)
+                docs[lang].update(set(terms))
+        if sum(len(c) for by_source in counts.values() for c in by_source.values()) > bounds.counts:
+            yield from _nodes(counts, docs, bounds)
+            counts.clear()
+            docs.clear()
+    yield from _nodes(counts, docs, bounds)
 
 
 def tries(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
-    """Rows of the tries of all tasks: lang, term, df and the leaf's counters. A term has a row in each trie that holds it."""
+    """The containers of the tries of all tasks. A term is a leaf in each trie that holds it."""
     blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return map_batches(docs.select(*blank), partial(_count, bounds=bounds), TRIES)
+    return map_batches(docs.select(*blank), partial(_count, bounds=bounds), NODES)
 
 
-BLOCKS = "lang string, sources array<string>, totals array<long>, terms array<binary>, ends array<int>, which array<int>, counts array<long>"
-_BLOCKS = pa.schema([
-    ("lang", pa.string()), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())),
-    ("which", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
-])
+#: Bytes of a term by which ranges are told apart; terms that agree in them and are very many are dealt by a hash.
+KEY_BYTES = 7
 
 
-class _Block:
-    """Kept terms of one language with their counters, numbered by the sources that the block meets."""
+def _keys(terms: list[bytes]) -> np.ndarray:
+    return np.fromiter((int.from_bytes(t[:KEY_BYTES].ljust(KEY_BYTES, b"\0"), "big") for t in terms), np.int64, len(terms))
 
-    def __init__(self, lang: str) -> None:
-        self.lang, self.number, self.totals = lang, {}, []
-        self.terms, self.ends, self.which, self.counts = [], [], [], []
 
-    def add(self, term: bytes, leaf: Counter) -> None:
-        for source, n in leaf.items():
-            at = self.number.setdefault(source, len(self.totals))
-            if at == len(self.totals):
-                self.totals.append(0)
-            self.totals[at] += n
-            self.which.append(at)
-            self.counts.append(n)
-        self.terms.append(term)
-        self.ends.append(len(self.which))
+def _ranges(terms: list[bytes], cuts: np.ndarray) -> np.ndarray:
+    """The range of each term. A key that takes up several ranges is dealt out among them."""
+    keys = _keys(terms)
+    first, last = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+    wide = np.flatnonzero(last - first > 1)
+    found = last.copy()
+    for i in wide:
+        found[i] = first[i] + 1 + zlib.crc32(terms[i]) % (last[i] - first[i])
+    return found
 
-    def batch(self) -> pa.RecordBatch:
-        return _rows([(self.lang, list(self.number), self.totals, self.terms, self.ends, self.which, self.counts)], _BLOCKS)
+
+def _cut(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Containers cut where prefix ranges meet, with the number of the range."""
+    schema = pa.schema([*_NODES, ("range", pa.int32())])
+    for batch in batches:
+        for i in range(len(batch)):
+            lang, prefix = batch.column("lang")[i].as_py(), batch.column("prefix")[i].as_py()
+            rests, sources = batch.column("rests")[i].as_py(), batch.column("sources")[i].as_py()
+            df, ends, which, counts = (batch.column(c)[i].values.to_numpy() for c in ("df", "ends", "which", "counts"))
+            of = _ranges([prefix + r for r in rests], cuts)
+            if of.min() == of.max():
+                yield _row(schema, [lang, prefix, rests, df, sources, ends, which, counts, int(of[0])])
+                continue
+            sizes = np.diff(ends, prepend=0)
+            of_counter = np.repeat(of, sizes)
+            for n in np.unique(of):
+                leaves, mine = np.flatnonzero(of == n), of_counter == n
+                yield _row(schema, [lang, prefix, [rests[k] for k in leaves], df[leaves], sources, np.cumsum(sizes[leaves]), which[mine], counts[mine], int(n)])
+
+
+BLOCKS = "lang string, sources array<string>, totals array<long>, terms array<binary>, ends array<int>, which array<int>, counts array<long>"
+_BLOCKS = pa.schema([
+    ("lang", pa.string()), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())),
+    ("which", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
+])
 
 
 def _merge(batches: Iterator[pa.RecordBatch], least: int, bounds: Bounds) -> Iterator[pa.RecordBatch]:
-    """Merge rows of tries, ordered by lang and term, and give those of `least` documents in blocks."""
-    rest: pa.Table | None = None
-    block: _Block | None = None
-    for batch in _closed(batches):
-        table = pa.Table.from_batches([batch]) if batch is not None else None
-        if table is not None and rest is not None:
-            table = pa.concat_tables([rest, table])
-        elif table is None:
-            table = rest
-        if table is None or not len(table):
-            continue
-        table = table.combine_chunks()
-        lang, term = table.column("lang"), table.column("term")
-        new = pc.or_(pc.not_equal(lang.slice(1), lang.slice(0, len(table) - 1)), pc.not_equal(term.slice(1), term.slice(0, len(table) - 1)))
-        starts = np.concatenate([[0], np.flatnonzero(new.to_numpy()) + 1]).astype(np.int64)
-        if batch is not None:  # rows of the last term may go on in the next batch
-            rest, table, starts = table.slice(starts[-1]), table.slice(0, starts[-1]), starts[:-1]
-            if not len(starts):
-                continue
-        ends = np.append(starts[1:], len(table))
-        for i in np.flatnonzero(np.add.reduceat(table.column("df").to_numpy(), starts) >= least):
-            part = table.slice(starts[i], ends[i] - starts[i])
-            leaf: Counter = Counter()
-            for sources, counts in zip(part.column("sources").to_pylist(), part.column("counts").to_pylist(), strict=True):
-                for source, n in zip(sources, counts, strict=True):
-                    leaf[source] += n
-            name = part.column("lang")[0].as_py()
-            if block and (block.lang != name or len(block.which) >= bounds.block):
-                yield block.batch()
-                block = None
-            block = block or _Block(name)
-            block.add(part.column("term")[0].as_py(), leaf)
-    if block:
-        yield block.batch()
-
-
-def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches and a None behind the last."""
-    yield from batches
-    yield None
+    """Add up the containers of each range, which come together, and give the terms of `least` documents in blocks."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in range(len(batch)):
+            x = {c: batch.column(c)[row] for c in batch.schema.names}
+            key = x["lang"].as_py(), x["range"].as_py()
+            if held and held[0]["key"] != key:
+                yield from _added(held, least, bounds)
+                held = []
+            held.append({c: v.as_py() for c, v in x.items() if c in ("prefix", "rests", "sources")} | {c: x[c].values.to_numpy() for c in ("df", "ends", "which", "counts")} | {"key": key})
+    if held:
+        yield from _added(held, least, bounds)
+
+
+def _added(nodes: list[dict], least: int, bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    terms = pa.array([n["prefix"] + r for n in nodes for r in n["rests"]], pa.binary())
+    sums = pa.table({"term": terms, "df": np.concatenate([n["df"] for n in nodes])}).group_by("term").aggregate([("df", "sum")])
+    kept = sums.filter(pc.greater_equal(sums.column("df_sum"), least)).column("term").combine_chunks()
+    kept = kept.take(pc.sort_indices(kept))
+    if not len(kept):
+        return
+    of_leaf = pc.fill_null(pc.index_in(terms, value_set=kept), -1).to_numpy().astype(np.int64)
+    leaf = np.repeat(of_leaf, np.concatenate([np.diff(n["ends"], prepend=0) for n in nodes]))
+    number: dict[str, int] = {}
+    which = np.concatenate([np.array([number.setdefault(s, len(number)) for s in n["sources"]], np.int64)[n["which"]] for n in nodes])
+    counts, good = np.concatenate([n["counts"] for n in nodes]), leaf >= 0
+    cell, back = np.unique(leaf[good] * len(number) + which[good], return_inverse=True)
+    total = np.zeros(len(cell), np.int64)
+    np.add.at(total, back, counts[good])
+    leaf, which = np.divmod(cell, len(number))
+    ends, names = np.searchsorted(leaf, np.arange(len(kept)), side="right"), list(number)
+    at = 0
+    while at < len(kept):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + bounds.block, side="right")))
+        part = slice(done, ends[to - 1])
+        met, own = np.unique(which[part], return_inverse=True)
+        sums_of = np.zeros(len(met), np.int64)
+        np.add.at(sums_of, own, total[part])
+        yield _row(_BLOCKS, [nodes[0]["key"][0], [names[i] for i in met], sums_of, kept.slice(at, to - at), ends[at:to] - done, own, total[part]])
+        at = to
 
 
 def kept_terms(counted: DataFrame, least: int = LEAST_DOCS, bounds: Bounds = Bounds()) -> DataFrame:
-    """Blocks of the terms that at least `least` documents of their language hold, from written rows of tries, merged by ranges of terms."""
-    return counted.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(partial(_merge, least=least, bounds=bounds), BLOCKS)
+    """Blocks of the terms that at least `least` documents of their language hold, from written containers, merged by prefix ranges.
+
+    Ranges are set by quantiles of the containers' prefixes; where they lie does not change the result.
+    """
+    key = F.conv(F.hex(F.rpad(F.substring(F.concat("prefix", F.get("rests", F.lit(0))), 1, KEY_BYTES), KEY_BYTES, F.lit(b"\0"))), 16, 10).cast("long")
+    total = counted.agg(F.sum(F.size("rests").cast("long")).alias("n")).first().n or 0
+    n = -(-total // bounds.range)
+    cuts = np.empty(0, np.int64)
+    if n > 1:
+        steps = [i / n for i in range(1, n)]
+        found = counted.select(key.alias("key"), F.size("rests").alias("w")).agg(F.percentile_approx("key", steps, 10_000).alias("cuts")).first().cuts
+        cuts = np.array(found, np.int64)
+    ranged = counted.mapInArrow(partial(_cut, cuts=cuts), NODES + ", range int")
+    return ranged.repartition("lang", "range").sortWithinPartitions("lang", "range").mapInArrow(partial(_merge, least=least, bounds=bounds), BLOCKS)
 
 
 def profiles(docs: DataFrame, blocks: DataFrame) -> DataFrame:

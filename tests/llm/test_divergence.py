@@ -55,7 +55,7 @@ def test_odd_and_empty(spark):
 
 def test_small_bounds_give_the_same(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").repartition(3)
-    assert check(spark, docs, 3, 4) == check(spark, docs, 3, 4, dv.Bounds(counts=200, leaves=300, block=50, cells=40, tile=3, rows=7))
+    assert check(spark, docs, 3, 4) == check(spark, docs, 3, 4, dv.Bounds(counts=200, leaves=5, range=40, block=50, cells=40, tile=3, rows=7))
 
 
 def test_hot_source_and_ties(spark):
@@ -69,9 +69,22 @@ def test_shares_are_exact_for_large_counts():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("abcä語", min_size=1, max_size=9), max_size=60))
-def test_a_trie_holds_every_term_in_order(terms):
-    trie = dv.Trie()
-    for t in terms:
-        trie.leaf(t.encode())[0] += 1
-    assert [(t.decode(), leaf[0]) for t, leaf in trie.walk()] == [(t, terms.count(t)) for t in sorted(set(terms), key=str.encode)]
+@given(st.lists(st.tuples(st.text("abcä語", min_size=1, max_size=7), st.sampled_from("xyz")), min_size=1, max_size=80), st.integers(1, 9))
+def test_containers_are_the_trie_in_order(found, most):
+    docs, sources = Counter(t.encode() for t, _ in found), defaultdict(Counter)
+    for t, s in found:
+        sources[s][t.encode()] += 1
+    trie = dv.Trie(docs, sources)
+    nodes = list(trie.containers(most))
+    assert [n[1] for n in nodes] == [0, *[n[2] for n in nodes[:-1]]] and nodes[-1][2] == len(trie.terms) and all(0 < hi - lo <= most for _, lo, hi in nodes)
+    assert all(t.startswith(prefix) for prefix, lo, hi in nodes for t in trie.terms[lo:hi])
+    assert [t.decode() for t in trie.terms] == sorted({t for t, _ in found}, key=str.encode)
+    for i, t in enumerate(trie.terms):
+        at = slice(trie.ends[i - 1] if i else 0, trie.ends[i])
+        assert {trie.sources[k]: n for k, n in zip(trie.which[at], trie.counts[at], strict=True)} == {s: c[t] for s, c in sources.items() if c[t]}
+
+
+def test_a_common_prefix_takes_several_ranges():
+    cuts = np.array([dv._keys([b"commonprefix"])[0]] * 4 + [dv._keys([b"x"])[0]])
+    terms = [b"commonprefix%d" % i for i in range(200)]
+    assert set(dv._ranges(terms, cuts)) == {1, 2, 3, 4} and dv._ranges([b"a", b"d", b"x", b"y"], cuts).tolist() == [0, 4, 5, 5]
