@@ -39,7 +39,7 @@ SCALE = 1_000_000_000
 class Bounds:
     """What a task holds at a time; results do not depend on it."""
 
-    counts: int = 600_000  # counters that a task holds before it gives its tries
+    counts: int = 400_000  # counters that a task holds before it gives its tries
     leaves: int = 4_096  # leaves of a container
     range: int = 150_000  # leaves of a prefix range, about
     block: int = 1 << 15  # leaf counters of a block of kept terms, about
