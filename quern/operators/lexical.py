@@ -157,22 +157,32 @@ def blocks(batches: Iterator[pa.RecordBatch], asked: Asked) -> Iterator[tuple[pa
             yield batch, *asked.scores(len(batch), doc, lists.flatten().to_numpy().astype(np.int64), batch.column("tfn").flatten().to_numpy())
 
 
-def search(queries: DataFrame, idx: Index, k: int) -> DataFrame:
-    """qid, id, bm25 and coverage of what can be among the k best of each question when scores are rounded to six digits: each task
-    gives the documents that reach its k best. queries: qid, term, weight."""
+_FOUND = "qid long, id long, kind string, bm25 double, coverage double"
+
+
+def search(queries: DataFrame, idx: Index, k: int, kinds: DataFrame | None = None) -> DataFrame:
+    """qid, id, kind, bm25 and coverage of what can be among the k best of each question when scores are rounded to six digits: each task
+    gives the documents that reach its k best. With `kinds` (id, kind) k of each kind are asked for. queries: qid, term, weight."""
     found = []
     for reach in passes(reached(queries, idx)):
         asked = Asked(reach)
         shared = idx.postings.sparkSession.sparkContext.broadcast(asked)
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            best = Best(len(shared.value.qids), k)
+            best: dict = {}
             for batch, bm25, coverage in blocks(batches, shared.value):
-                d, q = np.nonzero((bm25 > 0) & best.admit(bm25, 2e-6))
-                yield pa.RecordBatch.from_pydict({"qid": shared.value.qids[q], "id": batch.column("id").to_numpy()[d], "bm25": bm25[d, q], "coverage": coverage[d, q]})
-
-        found.append(matched(idx, asked).mapInArrow(score, "qid long, id long, bm25 double, coverage double"))
-    return reduce(DataFrame.unionByName, found) if found else idx.postings.sparkSession.createDataFrame([], "qid long, id long, bm25 double, coverage double")
+                names, good = batch.column("kind").to_pylist(), np.zeros_like(bm25, bool)
+                for kind in set(names):
+                    rows = [i for i, x in enumerate(names) if x == kind]
+                    good[rows] = best.setdefault(kind, Best(len(shared.value.qids), k)).admit(bm25[rows], 2e-6)
+                d, q = np.nonzero(good & (bm25 > 0))
+                columns = {"qid": shared.value.qids[q], "id": batch.column("id").to_numpy()[d], "kind": pa.array([names[i] for i in d], pa.string())}
+                yield pa.RecordBatch.from_pydict(columns | {"bm25": bm25[d, q], "coverage": coverage[d, q]})
+
+        docs = matched(idx, asked)
+        docs = docs.join(kinds.select("id", F.col("kind").cast("string").alias("kind")), "id") if kinds is not None else docs.withColumn("kind", F.lit(""))
+        found.append(docs.mapInArrow(score, _FOUND))
+    return reduce(DataFrame.unionByName, found) if found else idx.postings.sparkSession.createDataFrame([], _FOUND)
 
 
 def top(scored: DataFrame, by: str, k: int) -> DataFrame:

@@ -167,8 +167,9 @@ def recommendable(results: DataFrame, records: DataFrame) -> DataFrame:
     return results.join(records.where(~F.coalesce("closed", F.lit(False))).select("id"), "id", "left_semi")
 
 
-def next_page(results: DataFrame, seen: DataFrame, size: int) -> DataFrame:
-    """The first `size` results of each question that were not seen (qid, id). results: qid, id, rank, fetched with room for the seen."""
+def next_page(results: DataFrame, seen: DataFrame, size: int, by: list[str] | None = None) -> DataFrame:
+    """The first `size` results of each question (or of each `by`) that were not seen (qid, id). results: qid, id, rank, fetched with room for
+    the seen."""
     fresh = results.join(seen, ["qid", "id"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    nth = F.row_number().over(Window.partitionBy(*(by or ["qid"])).orderBy("rank"))
     return fresh.withColumn("place", nth).where(F.col("place") <= size)

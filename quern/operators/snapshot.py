@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as tx
+
 
 def same(a: Column, b: Column) -> Column:
     """Null and blank are alike."""
@@ -106,3 +108,35 @@ def aliases(old: Column, new: Column) -> Column:
     """Both lists of aliases as one, sorted."""
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_union(F.coalesce(old, none), F.coalesce(new, none)))
+
+
+def sourced(records: DataFrame, traced: DataFrame) -> DataFrame:
+    """One record an entity of two writers' records, field by field by trust: traced text and uses win, else the other writer's are shown and
+    marked unsourced; theirs are kept apart in any case; names that go become aliases; blanks are filled from the other record and
+    then from what is traced; the other's id is `deleted`.
+
+    status: 'merged' (both wrote it), 'upgraded' (only the other did), 'untouched' (only we did, which stays as it is). records: entity, id,
+    theirs, name, text, uses, tier, website; of several the smallest id counts. traced: name, text, uses, confidence, website, met by
+    name whatever its case. Everything combines map-side.
+    """
+    fields = F.struct("id", "name", "text", "uses", "tier", "website")
+    blank = records.select("entity", "id", "theirs", "name", *[tx.clean(c).alias(c) for c in ("text", "tier", "website")], F.coalesce("uses", F.array().cast("array<string>")).alias("uses"))
+    of = lambda test: F.min_by(fields, F.when(test, F.col("id")))
+    per = blank.groupBy("entity").agg(of(~F.col("theirs")).alias("ours"), of(F.col("theirs")).alias("them"))
+    both = F.col("ours").isNotNull() & F.col("them").isNotNull()
+    status = F.when(both, "merged").when(F.col("them").isNotNull(), "upgraded").otherwise("untouched")
+    base = per.select("entity", status.alias("status"), F.coalesce("ours", "them").alias("b"), F.when(both, F.col("them")).alias("x"), F.col("them").alias("u"))
+    known = traced.groupBy(F.lower(F.btrim("name")).alias("key")).agg(F.min_by(F.struct("name", tx.clean("text").alias("text"), "uses", "confidence", tx.clean("website").alias("website")), "name").alias("s"))
+    keyed = base.withColumn("key", F.when(F.col("status") != "untouched", F.lower(F.btrim("b.name"))))
+    m = keyed.join(known, "key", "left")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    changed = F.col("status") != "untouched"
+    aliases = F.array_sort(F.array_distinct(F.array_compact(F.array(F.when(F.col("x.name") != F.col("b.name"), F.col("x.name")), F.when(F.col("s.name") != F.col("b.name"), F.col("b.name"))))))
+    shown = F.coalesce("u.text", "b.text")
+    method = F.when(changed & F.col("s.text").isNotNull(), "traced").when(changed & shown.isNotNull(), "unsourced")
+    return m.select(
+        "entity", "status", F.col("b.id").alias("id"), F.coalesce("s.name", "b.name").alias("name"), aliases.alias("aliases"), F.coalesce(F.col("s.text"), shown).alias("text"), method.alias("text_method"),
+        F.when(method == "traced", F.coalesce("s.confidence", F.lit("medium"))).when(method == "unsourced", "low").alias("confidence"),
+        F.when(some("s.uses"), F.col("s.uses")).when(some("u.uses"), F.col("u.uses")).otherwise(F.col("b.uses")).alias("uses"), F.when(some("s.uses"), "traced").when(some("u.uses"), "unsourced").alias("uses_method"),
+        F.when(F.col("u.text").isNotNull() | some("u.uses"), F.struct("u.text", "u.uses")).alias("unsourced"), F.coalesce("b.tier", "x.tier").alias("tier"), F.coalesce("b.website", "x.website", "s.website").alias("website"), F.col("x.id").alias("deleted"),
+    )
