@@ -24,6 +24,11 @@ STOPWORDS = (
     "other our out over please she should show so some such tell than that the their them then there these they this those to up us want "
     "was we were what when where which while who whom why will with would you your yes"
 ).split()
+WEB_STOPWORDS = (
+    "the and for are who what where when which with does did can you your about any all how that this from have has was were will would there "
+    "their them they its just give tell show please list some into out get got partner partners booth stall number me my is it at of to in on or "
+    "a an do be session sessions"
+).split()
 SALUTATIONS = (
     "hon'ble justice|hon'ble dr|hon'ble mr|hon'ble ms|air marshal|lt gen|maj gen|hon'ble|honble|honourable|honorable|justice|professor|"
     "ambassador|shrimati|advocate|kumari|prof|adv|gen|col|capt|cmde|amb|smt|shri|sri|miss|mrs|mx|sir|cma|dr|mr|ms|sh|ca|cs|kum"
@@ -169,9 +174,21 @@ def junk_reason(c: str | Column) -> Column:
     )
 
 
-def contamination(c: str | Column) -> Column:
-    """Reasons to withhold a whole text, in order; none for null."""
-    return F.array_compact(F.array(*[F.when(col(c).rlike(p), F.lit(reason)) for reason, p in CONTAMINATION.items()]))
+def contamination(c: str | Column, event: str | None = None, year: int | None = None, venues: tuple[str, ...] = ()) -> Column:
+    """Reasons to withhold a whole text, in order; none for null. With an event and its year, copy of another edition is one; with venues, their names."""
+    reasons = [F.when(col(c).rlike(p), F.lit(reason)) for reason, p in CONTAMINATION.items()]
+    if event and year:
+        edition = F.regexp_extract(col(c), rf"(?i)\b{event}[ \t-\r]*(20[0-9]{{2}})\b", 1)
+        reasons.append(F.when((edition != "") & (edition != str(year)), F.concat(F.lit(f"{event} "), edition, F.lit(" content"))))
+    if venues:
+        reasons.append(F.when(col(c).rlike(r"(?i)\b(?:" + "|".join(venues) + r")\b"), F.lit("venue/location text")))
+    return F.array_compact(F.array(*reasons))
+
+
+def web_tokens(c: str | Column) -> Column:
+    """Terms of the plain tokeniser: lower-case runs of ASCII letters and digits of three or more that are no stopwords, each once."""
+    runs = F.split(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9]+", " "), " ")
+    return F.array_distinct(F.filter(runs, lambda w: (F.length(w) > 2) & ~w.isin(*WEB_STOPWORDS)))
 
 
 def slug(c: str | Column) -> Column:

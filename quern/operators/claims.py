@@ -66,3 +66,21 @@ def validate(cases: DataFrame, detectors: set[str], present: DataFrame, generic:
     expected = each.select("case", F.explode("expected").alias("phrase")).where(~sn.norm(F.col("phrase")).isin(*generic) if generic else F.lit(True))
     untraced = expected.join(present.where("n > 0"), "phrase", "left_anti").select("case", F.lit("warning").alias("level"), F.concat(F.lit("in no record: "), F.col("phrase")).alias("problem"))
     return repeated.unionByName(bare).unionByName(unknown).unionByName(unproven).unionByName(untraced)
+
+
+def verify_texts(asked: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
+    """Claims about texts with `error`, null if the claim holds: 'present' and 'absent' speak of the present texts, 'prior' of the earlier ones.
+
+    asked: case, claim, want. now, before: id, text. A text holds `want` as whole words in its normal form.
+    """
+    phrases = asked.select(F.col("want").alias("phrase")).distinct()
+    found = appears(phrases, now).withColumnRenamed("n", "n_now").join(appears(phrases, before).withColumnRenamed("n", "n_before"), "phrase")
+    met = asked.join(found, asked["want"] == found["phrase"], "left")
+    said = lambda x: F.concat(F.col("want"), F.lit(x))
+    error = (
+        F.when((F.col("claim") == "present") & (F.col("n_now") == 0), said(" does not appear"))
+        .when((F.col("claim") == "absent") & (F.col("n_now") > 0), said(" does appear"))
+        .when((F.col("claim") == "prior") & (F.col("n_before") == 0), said(" does not appear before"))
+        .when(~F.col("claim").isin("present", "absent", "prior"), F.concat(F.lit("unknown claim "), F.col("claim")))
+    )
+    return met.select("case", "claim", "want", error.alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import agenda, catalogue, corpus, documents, feeds, grading, lookup, partners, planning, schedule, search, text  # noqa: F401  (they declare their queries)
+from quern.plans import agenda, blocks, catalogue, corpus, documents, feeds, grading, lookup, partners, planning, schedule, search, text  # noqa: F401  (they declare their queries)
 from quern.plans.declare import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
