@@ -128,12 +128,11 @@ class Best:
         return scores + room >= self.held.min(1)[None, :]
 
 
-def passes(reach: DataFrame, most: int | None = None) -> Iterator[pa.Table]:
-    """The rows of `reach` in passes of whole questions, of PASS rows at most unless one question has more."""
-    stored, most = materialise(reach, "reach"), most or PASS
-    n = -(-stored.count() // most)
+def passes(reach: DataFrame) -> Iterator[pa.Table]:
+    """The rows of a stored `reach` in passes of whole questions, of PASS rows at most unless one question has more."""
+    n = -(-reach.count() // PASS)
     for at in range(n):
-        part = stored if n == 1 else stored.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == at)
+        part = reach if n == 1 else reach.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == at)
         yield part.toArrow()
 
 
@@ -164,7 +163,7 @@ def search(queries: DataFrame, idx: Index, k: int, kinds: DataFrame | None = Non
     """qid, id, kind, bm25 and coverage of what can be among the k best of each question when scores are rounded to six digits: each task
     gives the documents that reach its k best. With `kinds` (id, kind) k of each kind are asked for. queries: qid, term, weight."""
     found = []
-    for reach in passes(reached(queries, idx)):
+    for reach in passes(materialise(reached(queries, idx), "reach")):
         asked = Asked(reach)
         shared = idx.postings.sparkSession.sparkContext.broadcast(asked)
 
