@@ -124,3 +124,40 @@ def attempts(cases: DataFrame, answers: DataFrame, repeat: int, safety_repeat: i
         F.min_by("answer", F.when(F.btrim(F.coalesce("answer", F.lit(""))) != "", F.col("place"))).alias("response"),
     )
     return per.select("case", "ord", "attempts", ((F.col("attempts") > 0) & (F.col("good") == F.col("attempts"))).alias("passed"), ((F.col("good") > 0) & (F.col("good") < F.col("attempts"))).alias("flaky"), "errors", "response")
+
+
+#: What a record block says for a field that is not known, and of places that nobody has published.
+UNKNOWN = "not recorded"
+
+
+def record_block(head: Column, fields: dict[str, Column | str]) -> Column:
+    """A record for a conversation: its head, and a line for each field, UNKNOWN for what is blank; fixed texts stand as they are."""
+    lines = [head]
+    for label, value in fields.items():
+        shown = F.lit(value) if isinstance(value, str) else F.coalesce(F.nullif(F.btrim(value.cast("string")), F.lit("")), F.lit(UNKNOWN))
+        lines.append(F.concat(F.lit(f"    {label}: "), shown))
+    return F.concat_ws("\n", *lines)
+
+
+def flat_text(fields: dict[str, Column]) -> Column:
+    """A record's filled fields one after another, for an embedding."""
+    return F.array_join(F.array_compact(F.array(*[F.nullif(F.btrim(c), F.lit("")) for c in fields.values()])), " \n ")
+
+
+def refresh_lines(changes: DataFrame, added: int = 40, changed: int = 60) -> DataFrame:
+    """kind, n_kind, nth and line of a refresh report: the first `added` new records and `changed` changes, all that disappeared, and how many
+    new ones are not shown.
+
+    changes: kind ('added', 'disappeared', 'changed'), ord, title, day, start, field, was, now.
+    """
+    order = Window.partitionBy("kind").orderBy("ord", "field")
+    numbered = changes.withColumn("nth", F.row_number().over(order)).withColumn("n_kind", F.count("*").over(Window.partitionBy("kind")))
+    when = F.coalesce(F.concat(F.lit(" ("), "day", F.lit(" "), F.coalesce("start", F.lit("")), F.lit(")")), F.lit(""))
+    line = (
+        F.when(F.col("kind") == "added", F.concat(F.lit("   + "), "title"))
+        .when(F.col("kind") == "disappeared", F.concat(F.lit("   - DISAPPEARED: "), "title", when))
+        .otherwise(F.concat(F.lit("   ~ "), F.substring("title", 1, 48), F.lit(": "), "field", F.lit(" "), F.coalesce("was", F.lit("null")), F.lit(" -> "), F.coalesce("now", F.lit("null"))))
+    )
+    shown = numbered.where((F.col("kind") == "disappeared") | (F.col("nth") <= F.when(F.col("kind") == "added", added).otherwise(changed)))
+    more = numbered.where((F.col("kind") == "added") & (F.col("nth") == added + 1)).select("kind", "n_kind", "nth", F.concat(F.lit("   + ... "), (F.col("n_kind") - added).cast("string"), F.lit(" more")).alias("line"))
+    return shown.select("kind", "n_kind", "nth", line.alias("line")).unionByName(more)

@@ -9,7 +9,8 @@ from quern.functions import sentences as sn
 from quern.functions import text as tx
 from quern.operators import blocks, claims, intervals
 from quern.plans.catalogue import _SLOTS, _slots
-from quern.plans.corpus import _CHUNKS, session_rows
+from quern.plans.agenda import directory
+from quern.plans.corpus import _CHUNKS, partner_rows, session_rows
 from quern.plans.declare import query
 from quern.plans.schedule import _DAY, _greedy
 from quern.plans.text import _q
@@ -158,3 +159,59 @@ def plan_pages(t):
     rows = t("orders").select(F.col("o_custkey").alias("person"), F.to_date("o_orderdate").alias("day"), "o_orderkey", F.concat("o_orderpriority", F.lit(" | "), F.col("o_orderkey").cast("string")).alias("detail"))
     order = Window.partitionBy("person").orderBy("day", F.collate("detail", "UNICODE"), "o_orderkey")
     return rows.select("person", "day", "o_orderkey", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("person")).alias("n"))
+
+
+@query(f"""WITH {_CHUNKS} SELECT ok AS k, md5(concat_ws(chr(10), '[S] ' || title, '    date: ' || coalesce(day, 'not recorded'), '    hall: ' || coalesce(hall, 'not recorded'), '    format: ' || coalesce(format, 'not recorded'), '    track: ' || coalesce(track, 'not recorded'),
+'    access: ' || CASE WHEN closed THEN 'INVITE-ONLY' ELSE 'open to attendees' END, '    booth_location: NOT PUBLISHED', '    description: ' || coalesce(raw, 'not recorded'))) AS block, md5(concat_ws(chr(32) || chr(10) || chr(32), title, format, hall, raw)) AS flat FROM s1 WHERE code IS NOT NULL""")
+def record_blocks(t):
+    """Every session as a block for a conversation and as the flat text of an embedding, by digest."""
+    rows = session_rows(t).where("code IS NOT NULL")
+    access = F.when(F.col("closed"), "INVITE-ONLY").otherwise("open to attendees")
+    raw = tx.clean("description")
+    block = blocks.record_block(F.concat(F.lit("[S] "), "title"), {"date": F.col("day"), "hall": F.col("hall"), "format": F.col("format"), "track": F.col("track"), "access": access, "booth_location": "NOT PUBLISHED", "description": raw})
+    flat = blocks.flat_text({"title": F.col("title"), "format": F.col("format"), "hall": F.col("hall"), "description": raw})
+    return rows.select(F.substring("code", 2, 20).cast("long").alias("k"), F.md5(block).alias("block"), F.md5(flat).alias("flat"))
+
+
+_WAS = "SELECT o_orderkey AS k, o_orderpriority || ' ' || o_orderkey AS title, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderstatus AS v FROM orders WHERE o_orderkey % 11 <> 0"
+_IS = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus || '!' ELSE o_orderstatus END AS v, o_orderpriority || ' ' || o_orderkey AS title FROM orders WHERE o_orderkey % 13 <> 0"
+
+
+@query(f"""WITH w AS ({_WAS}), i AS ({_IS}), c AS (SELECT 'added' AS kind, i.k, i.title, NULL AS day, NULL AS was, NULL AS now FROM i ANTI JOIN w USING (k) UNION ALL SELECT 'disappeared', w.k, w.title, w.day, NULL, NULL FROM w ANTI JOIN i USING (k)
+UNION ALL SELECT 'changed', i.k, i.title, NULL, w.v, i.v FROM i JOIN w USING (k) WHERE i.v <> w.v), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY k) AS nth, count(*) OVER (PARTITION BY kind) AS n_kind FROM c)
+SELECT kind, n_kind, nth, CASE kind WHEN 'added' THEN '   + ' || title WHEN 'disappeared' THEN '   - DISAPPEARED: ' || title || coalesce(' (' || day || ' )', '') ELSE '   ~ ' || title[:48] || ': status ' || was || ' -> ' || now END AS line FROM n WHERE kind = 'disappeared' OR nth <= CASE WHEN kind = 'added' THEN 40 ELSE 60 END
+UNION ALL SELECT kind, n_kind, nth, '   + ... ' || (n_kind - 40) || ' more' FROM n WHERE kind = 'added' AND nth = 41""")
+def refresh_report(t):
+    """The lines of a refresh: new records and changes up to a report's length, all that disappeared, and how many more are new."""
+    o = t("orders").select(F.col("o_orderkey").alias("k"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderstatus").alias("v"))
+    was = o.where("k % 11 <> 0").withColumn("day", F.when(F.col("k") % 2 == 0, F.col("day")))
+    now = o.where("k % 13 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, F.concat("v", F.lit("!"))).otherwise(F.col("v")))
+    both = was.select("k", F.struct("title", "day", "v").alias("a")).join(now.select("k", F.struct("title", "v").alias("b")), "k", "full")
+    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "disappeared").when(F.col("a.v") != F.col("b.v"), "changed")
+    changed = kind == "changed"
+    changes = both.select(kind.alias("kind"), F.col("k").alias("ord"), F.coalesce("b.title", "a.title").alias("title"), F.when(kind == "disappeared", F.col("a.day")).alias("day"), F.lit(None).cast("string").alias("start"), F.when(changed, "status").alias("field"), F.when(changed, F.col("a.v")).alias("was"), F.when(changed, F.col("b.v")).alias("now"))
+    return blocks.refresh_lines(changes.where("kind IS NOT NULL"))
+
+
+@query(f"""WITH {_CHUNKS}, d AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM s1)), c AS (SELECT (SELECT count(*) FROM p0) AS partner_rows, (SELECT count(*) FILTER (p_partkey % 50 <> 0) FROM p0) AS partners_real, (SELECT count(*) FILTER (p_partkey % 50 = 0) FROM p0) AS partner_artifacts, (SELECT count(*) FROM directory) AS speakers,
+(SELECT count(*) FROM s1) AS sessions, (SELECT count(*) FILTER (closed) FROM s1) AS closed_door, (SELECT count(*) FILTER (NOT closed) FROM s1) AS public_sessions, (SELECT count(*) FILTER (raw IS NULL) FROM p0) AS partners_missing_description, (SELECT count(*) FILTER (website IS NULL) FROM p0) AS partners_missing_website,
+(SELECT count(DISTINCT hall) FROM s1) AS halls, (SELECT count(*) FROM s1 JOIN d USING (day) WHERE n = 1) AS day1, (SELECT count(*) FROM s1 JOIN d USING (day) WHERE n = 2) AS day2, (SELECT count(*) FROM s1 JOIN d USING (day) WHERE n = 3) AS day3,
+(SELECT count(*) FILTER (p_partkey % 2 = 0) FROM p0) AS partners_before, (SELECT count(*) FILTER (company = 'Firm B') FROM directory) AS speakers_before, (SELECT count(*) FILTER (k % 2 = 0) FROM s1) AS sessions_before)
+UNPIVOT c ON COLUMNS(*) INTO NAME metric VALUE n""")
+def corpus_counts(t):
+    """Sixteen named counts of the corpus, each source read once."""
+    p, k = partner_rows(t), F.col("p_partkey")
+    missing = lambda c: F.count_if(F.coalesce(tx.clean(c), F.lit("")) == "")
+    of = {
+        "partner_rows": F.count("*"), "partners_real": F.count_if(k % 50 != 0), "partner_artifacts": F.count_if(k % 50 == 0), "partners_missing_description": missing("text"), "partners_missing_website": missing("website"), "partners_before": F.count_if(k % 2 == 0),
+    }
+    s = session_rows(t)
+    days = s.where("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("n")).orderBy("day").limit(3)  # the first three days' counts are asked for
+    nth = days.withColumn("i", F.row_number().over(Window.orderBy("day")))
+    by_day = nth.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"day{i}") for i in (1, 2, 3)])
+    code = F.substring("code", 2, 20).cast("long")
+    held = s.agg(F.count("*").alias("sessions"), F.count_if("closed").alias("closed_door"), F.count_if(~F.col("closed")).alias("public_sessions"), F.count_distinct("hall").alias("halls"), F.count_if(code % 2 == 0).alias("sessions_before"))
+    speakers = directory(t).agg(F.count("*").alias("speakers"), F.count_if(F.col("company") == "Firm B").alias("speakers_before"))
+    row = p.agg(*[c.alias(n) for n, c in of.items()]).join(F.broadcast(held)).join(F.broadcast(by_day)).join(F.broadcast(speakers))
+    names = [*of, "sessions", "closed_door", "public_sessions", "halls", "sessions_before", "day1", "day2", "day3", "speakers", "speakers_before"]
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias("n")) for n in names])))
