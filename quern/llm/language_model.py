@@ -35,6 +35,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,9 @@ FINE, COARSE = 256, 64
 CONTEXTS = 1 + COARSE + FINE
 INNER = 8
 UNIT_TOKENS = 1 << 22
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+#: Bytes of text that are counted or scored at a time; a token takes some hundred bytes on the way.
+_BATCH_BYTES = 1 << 19
 _FLUSH = 400_000
 _FINE = 10  # counts are told apart by their leading bits when the dictionary's least count is sought
 _POINT = float(1 << 44)
@@ -213,12 +216,18 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """By the hyperbolic tangent, which does not overflow."""
+    x = np.tanh(x * x.dtype.type(0.5))
+    x += 1
+    x *= x.dtype.type(0.5)
+    return x
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of rows by index."""
-    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+    width = rows.shape[1]
+    cell = at.astype(np.int64)[:, None] * width + np.arange(width)
+    return np.bincount(cell.ravel(), rows.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
 def frequent(counts: DataFrame) -> list:
@@ -355,25 +364,29 @@ def _units(model: Model, docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
     for bucket, n in sizes.items():
         parts[bucket] = max(1, -(-n // UNIT_TOKENS))
 
-    def counted(words: dict[bytes, int], ids: list[np.ndarray], part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def counted(words: dict[bytes, int], ids: list[np.ndarray], part: list[np.ndarray]) -> pa.RecordBatch:
         known, classes = shared.value
         names = list(words)
         row = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
         cls = classes[row].astype(np.int64)
         cls[row < 0] = [bucket_of(names[i]) for i in np.flatnonzero(row < 0).tolist()]
         at, hashed = np.concatenate(ids), np.concatenate(part)
+        ids.clear()
+        part.clear()
         one = narrow(np.concatenate([[0], cls[at[:-1]]]))
-        mine = (cls[at] >= 1) & (cls[at] <= BUCKETS) & (hashed >= 0)
-        at, one, hashed = at[mine], one[mine], hashed[mine]
+        mine = np.flatnonzero((cls[at] >= 1) & (cls[at] <= BUCKETS) & (hashed >= 0))
+        at, one, hashed = at[mine].astype(np.int64), one[mine], hashed[mine]
         unit = cls[at] * (1 << 16) + hashed % parts[cls[at]]
         key, n = np.unique(((unit * CONTEXTS + one) << 24) | at, return_counts=True)
         at, unit, one = key & ((1 << 24) - 1), (key >> 24) // CONTEXTS, (key >> 24) % CONTEXTS
-        ends = np.append(np.flatnonzero(np.diff(unit)) + 1, len(unit)) if len(unit) else []
-        begin = 0
-        for end in ends:
-            met, which = np.unique(at[begin:end], return_inverse=True)
-            yield _unit_row(int(unit[begin]), 1, [names[i].decode("utf-8", "surrogatepass") for i in met.tolist()], one[begin:end], which, n[begin:end])
-            begin = end
+        units, starts = np.unique(unit, return_index=True)
+        met, which = np.unique((unit << 24) | at, return_inverse=True)  # a unit's words stand together
+        firsts = np.searchsorted(met, units << 24)
+        which = which - firsts[np.searchsorted(units, unit)]
+        listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.append(ends, len(values)), pa.int32()), values)
+        texts = pa.array(names, pa.binary()).take(pa.array(met & ((1 << 24) - 1))).cast(pa.string())
+        columns = [units, np.ones(len(units), np.int32), listed(firsts, texts), listed(starts, pa.array(one.astype(np.int16))), listed(starts, pa.array(which.astype(np.int32))), listed(starts, pa.array(n))]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_UNITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids, part, size = defaultdict(itertools.count().__next__), [], [], 0
@@ -384,19 +397,19 @@ def _units(model: Model, docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
                     some = tokens[k : k + _CHUNK]
                     if k:  # a further chunk of a very long text begins with the token before it, which is context alone
                         some = [*tokens[k - 1 : k], *some]
-                    ids.append(np.fromiter(map(words.__getitem__, some), np.int64, len(some)))
-                    part.append(np.full(len(some), h % (1 << 16)))
+                    ids.append(np.fromiter(map(words.__getitem__, some), np.int32, len(some)))
+                    part.append(np.full(len(some), h % (1 << 16), np.int32))
                     if k:
                         part[-1][0] = -1
                     size += len(some)
                     if size >= _CHUNK:
-                        yield from counted(words, ids, part)
+                        yield counted(words, ids, part)
                         words, ids, part, size = defaultdict(itertools.count().__next__), [], [], 0
         if size:
-            yield from counted(words, ids, part)
+            yield counted(words, ids, part)
 
     hashed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("h"), "text")
-    return map_batches(hashed, count, UNITS)
+    return map_batches(hashed, count, UNITS, size=_BATCH_BYTES)
 
 
 UNITS = "unit long, kind int, words array<string>, ctx array<short>, which array<int>, n array<long>"
@@ -408,17 +421,13 @@ def _row(schema: pa.Schema, values: list) -> pa.RecordBatch:
     columns = []
     for f, x in zip(schema, values, strict=True):
         if pa.types.is_list(f.type):
-            x = pa.array(x, f.type.value_type)
+            x = x.cast(f.type.value_type) if isinstance(x, pa.Array) else pa.array(x, f.type.value_type)
             columns.append(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
         else:
             columns.append(pa.array([x], f.type))
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _unit_row(unit: int, kind: int, words: list[str], ctx: np.ndarray, which: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return _row(_UNITS, [unit, kind, words, ctx.astype(np.int16), which.astype(np.int32), n])
-
-
 def _vocabularies(model: Model, counts: DataFrame, sizes: dict[int, int]) -> DataFrame:
     """unit, kind 0, words and n: the words of every bucket with their counts, for each of its units."""
     classed = [w.decode("utf-8", "surrogatepass") for w, i in model.words.items() if 1 <= i <= CLASS_WORDS]
@@ -436,7 +445,7 @@ def _vocabularies(model: Model, counts: DataFrame, sizes: dict[int, int]) -> Dat
             begin = 0
             for end in ends:
                 some = batch.take(pa.array(order[begin:end]))
-                yield _unit_row(int(unit[order[begin]]), 0, some.column("word").to_pylist(), np.zeros(0), np.zeros(0), some.column("c").to_numpy())
+                yield _row(_UNITS, [int(unit[order[begin]]), 0, some.column("word"), np.zeros(0, np.int16), np.zeros(0, np.int32), some.column("c")])
                 begin = end
 
     each = rest.select("bucket", F.explode(F.sequence(F.lit(0), last)).alias("part"), "word", "c").select((F.col("bucket").cast("long") * (1 << 16) + F.col("part")).alias("unit"), "word", "c")
@@ -447,7 +456,7 @@ BUCKET_ROWS = "bucket int, share double, words array<string>, c array<long>, e b
 _BUCKET_ROWS = pa.schema([("bucket", pa.int32()), ("share", pa.float64()), ("words", pa.list_(pa.string())), ("c", pa.list_(pa.int64())), ("e", pa.binary()), ("bias", pa.binary()), ("contexts", pa.binary()), ("z", pa.binary())])
 
 
-def _learn_unit(unit: int, words: list[str], c: np.ndarray, ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], int]:
+def _learn_unit(unit: int, c: np.ndarray, ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], int]:
     """Embeddings, biases and contexts of a bucket from the counts of a unit. Words are in order, so the draws are those of any partitioning."""
     rng = np.random.default_rng([SEED, unit])
     noise = (c + 1.0) / (c + 1.0).sum()
@@ -487,25 +496,25 @@ def inner_softmax(model: Model, docs: DataFrame, counts: DataFrame) -> DataFrame
                     yield unit, vocabulary, pairs
                     vocabulary, pairs = [], []
                 unit = now
-                words, n = batch.column("words")[i].as_py(), batch.column("n")[i].values.to_numpy()
-                if batch.column("kind")[i].as_py() == 0:
-                    vocabulary.append((words, n))
-                else:
-                    pairs.append((words, batch.column("ctx")[i].values.to_numpy(), batch.column("which")[i].values.to_numpy(), n))
+                row = [batch.column(c)[i].values for c in ("words", "ctx", "which", "n")]
+                (pairs if batch.column("kind")[i].as_py() else vocabulary).append(row)
         if unit is not None:
             yield unit, vocabulary, pairs
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, vocabulary, pairs in gather(batches):
-            found = sorted((w.encode("utf-8", "surrogatepass"), w, n) for words, ns in vocabulary for w, n in zip(words, ns.tolist(), strict=True))
-            if not found:
+            if not vocabulary:
                 continue
-            names, c = [w for _, w, _ in found], np.array([n for *_, n in found], np.int64)
-            place = dict(zip(names, range(len(names)), strict=True))
-            keys = [np.zeros(0, np.int64)] + [ctx.astype(np.int64) * len(names) + np.fromiter(map(place.__getitem__, words), np.int64, len(words))[which] for words, ctx, which, _ in pairs]
-            key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(back, np.concatenate([np.zeros(0), *[p[3] for p in pairs]]), len(key))
-            (e, b, s), tokens = _learn_unit(unit, names, c, *np.divmod(key, len(names)), n)
+            names, c = pa.concat_arrays([v[0] for v in vocabulary]), np.concatenate([v[3].to_numpy() for v in vocabulary])
+            order = pc.sort_indices(names.cast(pa.binary()))  # the order of bytes, however the rows lay
+            names, c = names.take(order), c[order.to_numpy()]
+            words = pa.concat_arrays([p[0] for p in pairs]) if pairs else pa.array([], pa.string())
+            place = pc.index_in(words, value_set=names).to_numpy().astype(np.int64)  # a training word is in the vocabulary
+            starts = np.cumsum([0, *[len(p[0]) for p in pairs]])
+            keys = [p[1].to_numpy().astype(np.int64) * len(names) + place[starts[i] + p[2].to_numpy()] for i, p in enumerate(pairs)]
+            key, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([np.zeros(0), *[p[3].to_numpy() for p in pairs]]), len(key))
+            (e, b, s), tokens = _learn_unit(unit, c, *np.divmod(key, len(names)), n)
             fixed = [np.rint(x.astype(np.float64) * (1 << 30)).astype(np.int64) * tokens for x in (e, b, s)]
             yield _row(_PARTS, [unit >> 16, names, c, tokens, *[x.tobytes() for x in fixed]])
 
@@ -533,7 +542,7 @@ def _bucket_row(parts: list[dict]) -> pa.RecordBatch:
     """The average of a bucket's units by their tokens, in whole numbers, and the normaliser of every context."""
     tokens = sum(p["tokens"].as_py() for p in parts)
     mean = [sum(np.frombuffer(p[x].as_py(), np.int64) for p in parts) / (max(1, tokens) * float(1 << 30)) for x in "ebs"]
-    names, c = parts[0]["words"].as_py(), parts[0]["c"].values.to_numpy()
+    names, c = parts[0]["words"].values, parts[0]["c"].values.to_numpy()
     e, b, s = mean[0].reshape(-1, INNER).astype(np.float32), mean[1].astype(np.float32), mean[2].reshape(-1, INNER).astype(np.float32)
     if not tokens:
         b = np.log((c + 1.0) / (c + 1.0).sum()).astype(np.float32)
@@ -629,7 +638,7 @@ def score(model: Model, docs: DataFrame, counts: DataFrame, buckets: DataFrame)
                 np.add.at(s, back, v)
             yield pa.RecordBatch.from_pydict({"rid": rid, "base": sums[0], "more": sums[1], "hits": np.bincount(back, minlength=len(rid))})
 
-    scored = materialise(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, schema), "lm-scored")
+    scored = materialise(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, schema, size=_BATCH_BYTES), "lm-scored")
     exploded = scored.select("rid", F.inline("rare"))
     hits = exploded.join(bucket_words(buckets), "word").select("rid", "b", "x", "c", "e", "bias")
     found = map_batches(hits, joined, "rid long, base long, more long, hits long", rows=1 << 14).groupBy("rid").agg(F.sum("base").alias("more_base"), F.sum("more").alias("more"), F.sum("hits").alias("hits"))
