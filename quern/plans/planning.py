@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import dense, planning, snapshot
-from quern.plans.declare import hashed, query
+from quern.plans.declare import query
 from quern.storage import new_path
 
 
@@ -182,11 +182,13 @@ def stored_index(t):
     return out.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS c, l_linenumber AS a, l_partkey, l_suppkey, l_discount <= 0.09::DOUBLE AS ok FROM lineitem), p AS (SELECT c, bool_and(ok) AS passed, bool_or(ok) AS any_, count(*) AS n FROM c GROUP BY c)
-SELECT c % 5 AS rule, count(*) FILTER (passed) AS passed, sum(('0x' || md5(c::VARCHAR)[:12])::BIGINT) FILTER (NOT passed)::BIGINT AS failed, sum(('0x' || md5(c::VARCHAR)[:12])::BIGINT) FILTER (any_ AND NOT passed AND n > 1)::BIGINT AS flaky, bool_and(passed) AS ok FROM p GROUP BY c % 5""")
+@query("""WITH c AS (SELECT l_orderkey AS c, l_discount <= 0.09::DOUBLE AS ok FROM lineitem), p AS (SELECT c, bool_and(ok) AS passed, bool_or(ok) AS any_, count(*) AS n FROM c GROUP BY c), g AS (SELECT c % 5 AS rule, count(*) FILTER (passed) AS passed, bool_and(passed) AS ok FROM p GROUP BY c % 5)
+SELECT g.rule, g.passed, g.ok, p.c AS failed, CASE WHEN p.any_ AND p.n > 1 THEN p.c END AS flaky FROM g LEFT JOIN p ON p.c % 5 = g.rule AND NOT p.passed""")
 def gate_lists(t):
-    """Gates with the ids of failed and flaky cases, by sums of their hashes."""
-    good = F.col("l_discount") <= 0.09
+    """Gates with the ids of all failed and flaky cases, a row for each failed case; a gate without any has one row."""
+    good, rule = F.col("l_discount") <= 0.09, (F.col("l_orderkey") % 5).alias("rule")
     cases = t("lineitem").groupBy("l_orderkey").agg(F.bool_and(good).alias("p"), F.bool_or(good).alias("some"), F.count("*").alias("n"))
-    cases = cases.select("*", F.when(~F.col("p"), F.col("l_orderkey")).alias("bad"), F.when(F.col("some") & ~F.col("p") & (F.col("n") > 1), F.col("l_orderkey")).alias("shaky"))
-    return cases.groupBy((F.col("l_orderkey") % 5).alias("rule")).agg(F.count_if("p").alias("passed"), hashed("bad").alias("failed"), hashed("shaky").alias("flaky"), F.bool_and("p").alias("ok"))
+    gates = cases.groupBy(rule).agg(F.count_if("p").alias("passed"), F.bool_and("p").alias("ok"))
+    failed = cases.where("not p").select(rule, F.col("l_orderkey").alias("failed"), F.when(F.col("some") & (F.col("n") > 1), F.col("l_orderkey")).alias("flaky"))
+    alone = gates.where("ok IS DISTINCT FROM false").withColumn("failed", F.lit(None).cast("long")).withColumn("flaky", F.lit(None).cast("long"))
+    return failed.join(F.broadcast(gates), "rule").unionByName(alone)

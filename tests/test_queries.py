@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from quern.plans import registry
+from quern.plans import planning, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +75,10 @@ def test_rate_limit_by_brute_force(spark):
         seen[r.user_id] = (start, n + 1)
         want[r.event_id] = n + 1 <= 3
     assert {r.event_id: r.allowed for r in registry.QUERIES["rate_limit"](spark, SF).collect()} == want
+
+
+def test_gates_list_every_case(spark):
+    rows = [(5, 0.1), (5, 0.01), (10, 0.1), (10, 0.1), (15, 0.1), (20, 0.0), (1, 0.0), (2, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_discount double")
+    got = {tuple(r[c] for c in ("rule", "passed", "ok", "failed", "flaky")) for r in planning.gate_lists(lambda name: lines).collect()}
+    assert got == {(0, 1, False, 5, 5), (0, 1, False, 10, None), (0, 1, False, 15, None), (1, 1, True, None, None), (2, 0, None, None, None)}
