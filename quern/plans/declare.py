@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,5 +27,10 @@ def query(sql: str | None = None):
 
 
 def hashed(c: str) -> Column:
-    """An aggregate that tells sets of distinct values apart in any order: the sum of 48 bits of their hashes; null for none."""
-    return F.sum(F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 12), 16, 10).cast("long"))
+    """An aggregate that tells sets of distinct values apart in any order: the sum of 48 bits of their hashes; null for none.
+
+    A sum beyond a long goes round, modulo 2^64, as some 65,000 values are enough for that.
+    """
+    total = F.sum(F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 12), 16, 10).cast("decimal(20,0)"))
+    half, whole = F.lit(Decimal(1 << 63)), F.lit(Decimal(1 << 64))
+    return (F.pmod(total + half, whole) - half).cast("long")

@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
 import glob
+import hashlib
 import os
 import re
 
@@ -8,6 +9,7 @@ import duckdb
 import pytest
 
 from quern.plans import planning, registry
+from quern.plans.declare import hashed
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +79,14 @@ def test_rate_limit_by_brute_force(spark):
     assert {r.event_id: r.allowed for r in registry.QUERIES["rate_limit"](spark, SF).collect()} == want
 
 
+def test_digests_go_round_beyond_a_long(spark):
+    n = 90_000
+    got = spark.range(n).agg(hashed("id").alias("h")).first().h
+    want = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(n))
+    assert want >= 1 << 63 and got == (want + (1 << 63)) % (1 << 64) - (1 << 63)
+    assert spark.range(0).agg(hashed("id").alias("h")).first().h is None
+
+
 def test_gates_list_every_case(spark):
     rows = [(5, 0.1), (5, 0.01), (10, 0.1), (10, 0.1), (15, 0.1), (20, 0.0), (1, 0.0), (2, None)]
     lines = spark.createDataFrame(rows, "l_orderkey long, l_discount double")
