@@ -30,6 +30,8 @@ SEGMENT_BITS = 32
 #: A variant shared by more fingerprints than this is cut again before it is joined.
 LARGE_BUCKET = 256
 _CHUNK = 1 << 16
+#: Every side of these joins grows with the corpus, so none is broadcast: the driver would hold it.
+APART = "merge"
 
 
 def fingerprint(text: str) -> int:
@@ -73,7 +75,7 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1))).alias("at"))
     keyed = variants.select(_variants("at", "fp", SEGMENT_BITS).alias("key"), "fp")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # combines map-side: no task holds a variant's fingerprints
-    shared = materialise(keyed.join(sizes, "key"), "simhash-shared")
+    shared = materialise(keyed.join(sizes.hint(APART), "key"), "simhash-shared")
     usual = shared.where(F.col("n") <= LARGE_BUCKET).select("key", F.lit(0).cast("long").alias("key2"), "fp")
     other = F.expr(f"shiftrightunsigned(fp, cast(if(shiftrightunsigned(key, {SEGMENT_BITS}) < {SEGMENT_BITS}, {SEGMENT_BITS}, 0) as int))").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
     large = (
@@ -84,7 +86,7 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     index = usual.unionByName(large)
     a, b = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    return a.join(b, ["key", "key2"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return a.join(b.hint(APART), ["key", "key2"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,9 +100,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint(APART), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(lowest.hint(APART), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         before, path = path, new_path(spark, "components")
         now = stored(small, path)
@@ -117,11 +119,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     each = materialise(fingerprints(docs), "simhash")
     reps = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     found = components(links(reps.select("fp"))).withColumnRenamed("node", "fp")
-    joined = found.join(reps, "fp")
+    joined = found.join(reps.hint(APART), "fp")
     least = joined.groupBy("label").agg(F.min("rep").alias("least"))
-    linked = joined.join(least, "label").select("fp", "label", "least")
-    by_fp = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("label", "fp").alias("group"))
-    return each.join(by_fp, "fp").select("doc_id", "row", "fp", "component_id", "group")
+    linked = joined.join(least.hint(APART), "label").select("fp", "label", "least")
+    by_fp = reps.join(linked.hint(APART), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("label", "fp").alias("group"))
+    return each.join(by_fp.hint(APART), "fp").select("doc_id", "row", "fp", "component_id", "group")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     named = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"))
 
     def kept(some: DataFrame) -> DataFrame:
-        return named.join(some, (F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+        return named.join(some.hint(APART), (F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
 
     once = kept(chosen.where("keep_n = 1"))
     again = kept(chosen.where("keep_n > 1")).dropDuplicates(["doc_id", "row"])

@@ -9,16 +9,17 @@ from quern.storage import new_path, remove, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node it is linked with, for all nodes of the edges (a, b). Large-star and small-star rounds."""
+    """node and label, the smallest node it is linked with, for all nodes of the edges (a, b). Large-star and small-star rounds.
+    Their joins are merges: a broadcast of what grows with the edges would pass through the driver."""
     spark = edges.sparkSession
     paths = [new_path(spark, "components")]
     now, state = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), paths[0]), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = large.join(lowest.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         paths.append(new_path(spark, "components"))
         now = stored(rest.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), paths[-1])
         remove(spark, paths.pop(0))

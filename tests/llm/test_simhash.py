@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 
 from quern.llm import simhash
+from quern.operators import identity
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +74,16 @@ def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = dict(simhash.components(edges).collect())
     assert {found[i] for i in range(41)} == {0} and found[101] == found[100] == 100
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    texts = ["one two three four five six seven eight nine ten"] * 3 + ["one two three four five six seven eight nine eleven", "other words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ran = spark._jsparkSession.sharedState().statusStore()
+    before = ran.executionsCount()
+    simhash.deduplicated(docs).collect()
+    simhash.cluster(docs).collect()
+    identity.components(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long")).collect()
+    plans = ran.executionsList()
+    assert plans.size() > before
+    assert not any("BroadcastHashJoin" in plans.apply(i).physicalPlanDescription() for i in range(before, plans.size()))
