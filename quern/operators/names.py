@@ -1,7 +1,7 @@
 """Names of entities in texts: a lexicon of distinctive forms, and a longest-match scan without overlaps.
 
 The scan is an equality join of a text's n-grams with the forms; only the choice among one text's own hits is a fold, over an
-array that the text itself bounds.
+array that the text itself bounds. The lexicon is written once; a small one is broadcast, so that n-grams, many times the texts, are not shuffled.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.storage import materialise
 
 LONGEST = 6
+#: A lexicon of at most so many forms goes to the texts; with more, both meet in a shuffled join.
+SMALL_LEXICON = 100_000
 RARE_DF = 6
 COMMON_PENALTY = 0.25
 KIND_WEIGHT = {"primary": 1.0, "associated": 0.6, "code": 1.0}
@@ -64,8 +67,12 @@ def scan(texts: DataFrame, lex: DataFrame) -> DataFrame:
     At each place the longest form wins and the scan goes on behind it. Longer names weigh more, names of many entries less,
     and a single ordinary word in lower case a quarter. Texts without names, null and empty ones give no rows.
     """
+    lex = materialise(lex, "lexicon")
+    forms = lex.select(F.col("form").alias("gram")).distinct()
+    if forms.count() <= SMALL_LEXICON:
+        forms = F.broadcast(forms)
     split = texts.select("qid", tx.tokens("text", keep_stopwords=True).alias("tokens"))
-    hits = split.select("qid", F.inline(grams(F.col("tokens")))).join(lex.select(F.col("form").alias("gram")).distinct(), "gram")
+    hits = split.select("qid", F.inline(grams(F.col("tokens")))).join(forms, "gram")
     order = F.struct("pos", (-F.col("n")).alias("less"), "alt", "gram")
     kind = "struct<free:int,kept:array<struct<form:string,n:int>>>"
     chosen = F.aggregate(

@@ -71,6 +71,18 @@ def test_scan_of_known_names(spark):
     assert got == {(1, "a"): pytest.approx(1.35 / math.sqrt(2)), (1, "b"): pytest.approx(0.6 * 1.35 / math.sqrt(2)), (1, "d"): 0.25, (2, "d"): 1.0}
 
 
+def test_small_lexicon_goes_to_the_texts(spark):
+    texts = spark.createDataFrame([(1, "one two three")], "qid long, text string")
+    lex = spark.createDataFrame([("one two", 7, "primary")], "form string, id long, kind string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = names.scan(texts, lex)
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and [r.form for r in found.collect()] == ["one two"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_capitalised(spark):
     got = spark.createDataFrame([("Tell me of Raise and Sarvam.ai",), ("LOUD RAISE",), (None,)], "x string").select(names.capitalised("x").alias("c")).collect()
     assert [sorted(r.c) for r in got] == [["raise", "sarvamai"], [], []]
