@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ PREFIX_LENGTH, PREFIX_DISCOUNT = 5, 0.45
 GAP = 1000  # between the positions of two fields
 #: Most pairs of a question and a term that it reaches in a pass: about 64 MB in every task.
 PASS = 2_000_000
+#: So many terms at most go to the postings, which else meet them in a shuffled join.
+FEW_TERMS = 250_000
 #: Documents of a block.
 BLOCK = 128
 
@@ -43,18 +46,68 @@ class Index:
         return reduce(lambda a, b: a + b, parts)
 
 
+def _postings(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.RecordBatch]:
+    """Postings of placed terms (id, f, at, term) that come document by document; a document is held until its last term is seen."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = batch.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        cut = int(np.flatnonzero(ids != ids[-1]).max(initial=-1)) + 1  # where the last document of the batch begins
+        if cut == 0 and held and held[-1].column("id")[-1].as_py() == batch.column("id")[0].as_py():
+            held.append(batch)
+            continue
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held:
+            yield from _written(pa.Table.from_batches(held).combine_chunks(), fields)
+        held = [batch.slice(cut)]
+    if held:
+        yield from _written(pa.Table.from_batches(held).combine_chunks(), fields)
+
+
+def _written(rows: pa.Table, fields: int) -> Iterator[pa.RecordBatch]:
+    """The postings of whole documents, in the order of documents and terms."""
+    doc = np.unique(rows.column("id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), return_inverse=True)[1]
+    f, at = rows.column("f").to_numpy(), rows.column("at").to_numpy()
+    words = rows.column("term").combine_chunks().dictionary_encode()
+    rank = np.empty(len(words.dictionary), np.int64)
+    rank[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank))
+    order = np.lexsort((at, f, doc))
+    doc, f, term = doc[order], f[order], rank[words.indices.to_numpy()[order]]
+    n = int(doc[-1]) + 1
+    sizes = np.array([np.bincount(doc[f == i], minlength=n) for i in range(fields)])
+    pos = np.arange(len(doc)) - (np.cumsum(sizes.sum(0)) - sizes.sum(0))[doc] + GAP * f
+    by_term = np.argsort(doc * len(rank) + term, kind="stable")
+    key = (doc * len(rank) + term)[by_term]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    of_doc, f = key[starts] // len(rank), f[by_term]
+    tf = [np.bincount(group[f == i], minlength=len(starts)) for i in range(fields)]
+    source = pa.array(order[by_term[starts]])
+    columns = [rows.column("id").combine_chunks().take(source), rows.column("term").combine_chunks().take(source)]
+    columns += [pa.array(x.astype(np.int32)) for x in [*tf, *sizes[:, of_doc]]]
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.array(pos[by_term].astype(np.int32)))
+    first = pa.array(np.r_[True, of_doc[1:] != of_doc[:-1]])
+    names = ["id", "term", *[f"tf_{i}" for i in range(fields)], *[f"n_{i}" for i in range(fields)], "positions", "first"]
+    yield pa.RecordBatch.from_arrays([*columns, positions, first], names)
+
+
+def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """Postings of documents (id and the fields). Whole texts are dealt and sorted by id; their terms, many times the texts, are never shuffled,
+    sorted or hashed by Spark, but put together document by document, so a task holds one document's terms and a batch."""
+    whole = docs.select("id", *[F.col(f).cast("string").alias(f) for f in fields]).repartition("id").sortWithinPartitions("id")
+    each = whole.select("id", F.posexplode(F.array(*fields)).alias("f", "body"))
+    placed = tx.term_rows(each, "body", "id", "f", placed=True).select("id", "f", "at", "term")
+    n, kind = len(fields), docs.schema["id"].dataType.simpleString()
+    counts = ", ".join(f"{c}_{i} int" for c in ("tf", "n") for i in range(n))
+    found = placed.mapInArrow(lambda b: _postings(b, n), f"id {kind}, term string, {counts}, positions array<int>, first boolean")
+    return found.select("id", "term", *[F.col(f"{c}_{i}").alias(f"{c}_{f}") for c in ("tf", "n") for i, f in enumerate(fields)], "positions", "first")
+
+
 def index(docs: DataFrame, fields: dict[str, float]) -> Index:
     """The index of documents: id and the fields. Texts are read here and not again. Positions run through all fields, GAP apart."""
-    each = docs.repartition("id").select("id", F.posexplode(F.array(*[F.col(f).cast("string") for f in fields])).alias("f", "body"))
-    placed = tx.term_rows(each, "body", "id", "f", placed=True)
-    order = Window.partitionBy("id").orderBy("f", "at")
-    placed = placed.select("id", "f", "term", (F.row_number().over(order) - 1 + GAP * F.col("f")).cast("int").alias("pos"))
-    counts = [F.count_if(F.col("f") == i).cast("int").alias(f"tf_{f}") for i, f in enumerate(fields)]
-    per = placed.groupBy("id", "term").agg(*counts, F.array_sort(F.collect_list("pos")).alias("positions"))
-    whole = Window.partitionBy("id")
-    sizes = [F.sum(f"tf_{f}").over(whole).cast("int").alias(f"n_{f}") for f in fields]
-    first = (F.row_number().over(whole.orderBy("term")) == 1).alias("first")
-    stored = materialise(per.select("id", "term", *[f"tf_{f}" for f in fields], *sizes, "positions", first).sortWithinPartitions("term"), "postings")
+    stored = materialise(postings(docs, fields), "postings")
     means = stored.where("first").agg(*[F.avg(F.when(F.col(f"n_{f}") > 0, F.col(f"n_{f}"))).alias(f) for f in fields]).first()
     return Index(stored, fields, docs.count(), {f: float(means[f] or 1.0) for f in fields})
 
@@ -76,6 +129,12 @@ def reached(queries: DataFrame, idx: Index) -> DataFrame:
     return known.join(reach.withColumnRenamed("weight", "discount"), "wanted", "left").select("qid", "wanted", "worth", "term", "discount")
 
 
+def of_terms(idx: Index, terms: DataFrame) -> DataFrame:
+    """The postings of the terms asked for, taken where they lie, so that the others are not shuffled. terms: a stored table with `term`."""
+    asked = terms.select("term").distinct()
+    return idx.postings.join(F.broadcast(asked) if asked.count() <= FEW_TERMS else asked, "term", "left_semi")
+
+
 class Asked:
     """The questions of a pass as arrays: for each number of a term, the questions it serves with what it is worth to them."""
 
@@ -206,7 +265,7 @@ def spans(pairs: DataFrame, reach: DataFrame, idx: Index) -> DataFrame:
     """qid, id, kinds and span of pairs (qid, id): how many terms of the question the document reaches, and the least distance from the first
     to the last of positions that hold them all. reach: qid, wanted, term. Only the positions of matched postings are read."""
     terms = reach.where("term IS NOT NULL").select("qid", "wanted", "term")
-    places = idx.postings.select("id", "term", "positions")
+    places = of_terms(idx, terms).select("id", "term", "positions")
     met = pairs.select("qid", "id").join(terms, "qid").join(places, ["id", "term"])
     lists = met.groupBy("qid", "id", "wanted").agg(F.flatten(F.collect_list("positions")).alias("p"))
     per = lists.groupBy("qid", "id").agg(F.collect_list("p").alias("lists")).select("qid", "id", F.size("lists").alias("kinds"), "lists")

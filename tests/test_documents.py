@@ -74,3 +74,21 @@ def test_spans_of_many_terms(spark):
     asked = spark.createDataFrame([(5, w, w) for w in ("alpha", "beta", "gamma")], "qid long, wanted string, term string")
     got = {r.id: (r.kinds, r.span) for r in lexical.spans(docs.selectExpr("5L as qid", "id"), asked, idx).collect()}
     assert got == {1: (3, 2), 2: (2, 1), 3: (1, 0)}
+
+
+def test_postings_by_document(spark):
+    """Terms are not shuffled, sorted or hashed by Spark; documents that straddle batches, share an id or have none are put together whole."""
+    texts = [(1, "bolt cold bolt", "x1"), (2, "nut " * 30 + "cold", None), (None, "cold nut", "x1"), (3, None, None), (1, "nut bolt", "y2")]
+    docs = spark.createDataFrame(texts, "id long, text string, source string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = lexical.postings(docs, {"text": 1.0, "source": 1.0})
+        got = {(r.id, r.term): r for r in made.collect()}
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in plan and "Aggregate" not in plan
+    assert len(got) == 10 and got[2, "nut"].positions == list(range(30)) and (got[2, "nut"].tf_text, got[2, "nut"].n_text, got[2, "nut"].n_source) == (30, 31, 0)
+    assert got[1, "x1"].n_text == 5 and sorted(got[1, "x1"].positions + got[1, "y2"].positions) == [1005, 1006] and (got[1, "bolt"].tf_text, got[1, "x1"].n_source) == (3, 2)
+    assert got[None, "cold"].positions == [0] and got[None, "x1"].positions == [1002]
+    assert sorted((r.id or 0) for r in got.values() if r.first) == [0, 1, 2]
