@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import analysis
 from quern.functions import text as tx
-from quern.operators import dense, names, random_index
+from quern.operators import dense, lexical, names, random_index
 from quern.plans.declare import query
 from quern.plans.text import _STOP, _TERMS, _q
 from quern.storage import materialise
@@ -77,10 +77,9 @@ def name_scan(t):
 @query()
 def random_indexing(t):
     """The three nearest documents of every document whose id is divisible by 100, by random indexing of all terms of whole texts."""
-    rows = tx.term_rows(tx.spread(t("documents").select(F.col("doc_id").alias("id"), "text")), "text", "id")
-    weighted = materialise(random_index.weights(rows.groupBy("id", "term").agg(F.count("*").alias("tf"))), "weights")
-    docs = random_index.compose(weighted, random_index.term_vectors(weighted))
-    vectors = materialise(docs.select("id", random_index.dense("vec").alias("v")), "vectors")
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
+    postings = lexical.postings(docs, {"text": 1.0}).select("id", "term", F.col("tf_text").alias("tf"))
+    vectors = materialise(random_index.documents(materialise(postings, "postings")), "vectors")
     near = dense.top_k(vectors, vectors.where("id % 100 = 0").withColumnRenamed("id", "qid"), 3)
     return near.select(F.col("qid").alias("doc_id"), F.col("id").alias("other"), F.col("score").alias("similarity"), "rank")
 

@@ -108,6 +108,24 @@ def test_random_indexing_by_brute_force(spark):
     assert near[0].other == max((t for t in want_t if t != "a"), key=lambda t: want_t[t] @ want_t["a"])
 
 
+def test_random_indexing_of_all_documents(spark, monkeypatch):
+    """Passes over frequent terms and links of rare ones give what sums of sparse rows give, without a row for each posting and dimension."""
+    ids = ["7", "d1", "long id", "é", "\U0001f600"]
+    at, sign = random_index.index_vectors(ids)
+    assert [dict(zip(a.tolist(), s.tolist(), strict=True)) for a, s in zip(at, sign, strict=True)] == [random_index.index_vector(x) for x in ids]
+    rng = np.random.default_rng(3)
+    rows = [(d, f"w{w}", int(k)) for d in range(60) for w, k in Counter(np.minimum(rng.zipf(1.3, 25), 90).tolist()).items()]
+    postings = spark.createDataFrame(rows, "id long, term string, tf long").coalesce(1)
+    weighted = random_index.weights(postings)
+    want = {r.id: as_numpy(r.vec) for r in random_index.compose(weighted, random_index.term_vectors(weighted)).collect()}
+    for most in (random_index.PASS, 2):
+        monkeypatch.setattr(random_index, "PASS", most)
+        made = random_index.documents(postings)
+        got = {r.id: np.array(r.v) for r in made.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[d], want[d], atol=1e-6) for d in want)
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_random_indexing_query(spark):
     got = registry.QUERIES["random_indexing"](spark, SF).collect()
     assert got and all(r.doc_id % 100 == 0 and r.other != r.doc_id and -1.001 <= r.similarity <= 1.001 for r in got)
