@@ -38,7 +38,7 @@ def folded(columns: tuple[str, ...]) -> Column:
 
 def people(raw: Column) -> Column:
     """The names of 'name, role, organisation' lines; lines without a name are left out."""
-    return F.array_compact(F.transform(raw, lambda p: tx.split_speaker(p)["name"]))
+    return F.array_compact(F.transform(raw, lambda p: F.nullif(F.btrim(F.substring_index(p, ",", 1)), F.lit(""))))
 
 
 def is_closed(access: Column) -> Column:
@@ -78,9 +78,10 @@ def speakers(raw: DataFrame, held: DataFrame) -> DataFrame:
 
     raw: ord, full_name, salutation, designation, company, bio, photo, linkedin. held: sessions, as `sessions` gives them.
     """
-    named = held.select("code", "title", "day", "start", "hall", F.explode(F.concat("speakers", "hosts")).alias("name")).withColumn("key", tx.person_key("name"))
+    named = held.select("code", "title", "day", "start", "hall", F.explode(F.concat("speakers", "hosts")).alias("name"))
     place = F.struct(*agenda_order(), "code")
-    mine = named.groupBy("key").agg(F.min_by("title", place).alias("session_title"), F.array_sort(F.collect_set("code")).alias("codes"))
+    each = named.groupBy("name").agg(F.min_by("title", place).alias("title"), F.min(place).alias("place"), F.collect_set("code").alias("codes")).withColumn("key", tx.person_key("name"))  # a key for a name, not for each mention
+    mine = each.groupBy("key").agg(F.min_by("title", "place").alias("session_title"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
     rows = raw.select("ord", *[tx.clean(c).alias(c) for c in ("full_name", "salutation", "designation", "company", "bio", "photo", "linkedin")])
     rows = rows.where("full_name is not null").withColumn("key", tx.person_key("full_name")).join(mine, "key", "left")
     score = sum(F.col(c).isNotNull().cast("int") for c in ("bio", "photo", "linkedin", "session_title"))

@@ -108,7 +108,7 @@ def session_chunks(sessions: DataFrame, directory: DataFrame, event: str, year:
     both raw lists are empty."""
     rows = sessions.withColumn("raw", tx.clean("description")).withColumn("body", F.when(tx.junk_reason("raw").isNull(), F.col("raw")))
     rows = rows.withColumn("speakers", people(F.col("speakers_raw"))).withColumn("hosts", people(F.col("hosts_raw")))
-    bare = rows.where("size(speakers) <= 0 AND size(hosts) <= 0 AND size(names) > 0 AND code IS NOT NULL")
+    bare = rows.where("code IS NOT NULL AND size(names) > 0 AND size(speakers) <= 0 AND size(hosts) <= 0")  # the cheap tests first
     rows = rows.join(with_directory(bare, "names", directory), "code", "left")
     who = F.when(F.size("speakers") > 0, F.col("speakers")).otherwise(F.col("known"))
     topics = F.coalesce(_listed("Topics: ", F.col("topics"), ", "), _line("Track: ", F.col("track"), "."))

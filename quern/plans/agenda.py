@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.operators import agenda
 from quern.plans.declare import hashed, query
+from quern.storage import materialise
 
 _HELD = """ln AS (SELECT l_orderkey AS k, l_linenumber AS n, max('Supplier ' || lpad(l_suppkey::VARCHAR, 9, '0')) AS p FROM lineitem WHERE l_linenumber <= 15 GROUP BY 1, 2),
 spk AS (SELECT k, list(p ORDER BY n) FILTER (n <> 3) AS sp, count(*) AS n_raw FROM ln GROUP BY k),
@@ -70,7 +71,12 @@ ranked AS (SELECT lower(name) AS key, raw.*, session_title, coalesce(codes, [])
 directory AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY key ORDER BY richness DESC, ord) = 1)"""
 
 
-def directory(t):
+def held_once(t):
+    """The sessions, written once for plans that read them more than once."""
+    return materialise(held_sessions(t), "held")
+
+
+def directory(t, held=None):
     s = F.col("s_suppkey")
     name = F.concat(F.lit("Supplier  "), F.lpad(s.cast("string"), 9, "0"))
     none = F.lit(None).cast("string")
@@ -78,7 +84,7 @@ def directory(t):
         F.struct((s * 2).alias("ord"), name.alias("full_name"), F.lit(" ").alias("salutation"), none.alias("designation"), F.concat(F.lit("Firm "), (s % 3).cast("string")).alias("company"), F.when(s % 2 == 0, "a bio").alias("bio"), none.alias("photo"), none.alias("linkedin")),
         F.struct((s * 2 + 1).alias("ord"), name.alias("full_name"), F.lit("Dr.").alias("salutation"), none.alias("designation"), F.lit("Firm B").alias("company"), F.lit("another").alias("bio"), F.when(s % 3 == 0, "/p").alias("photo"), none.alias("linkedin")),
     )
-    return agenda.speakers(t("supplier").select(F.inline(rows)), held_sessions(t))
+    return agenda.speakers(t("supplier").select(F.inline(rows)), held_sessions(t) if held is None else held)
 
 
 @query(f"WITH {_HELD}, {_DIRECTORY} SELECT key, bio, photo, company, session_title, richness, len(codes)::INT AS n_codes, md5(array_to_string(codes, ',')) AS codes FROM directory")
@@ -112,14 +118,16 @@ def rule_category(t):
 SELECT code, key, min(via) AS via FROM (SELECT * FROM byc UNION ALL SELECT * FROM byn) WHERE code IS NULL OR code IN (SELECT code FROM held) GROUP BY code, key""")
 def session_speakers(t):
     """Links of sessions and speakers, by code or else by name."""
-    return agenda.speakers_of(held_sessions(t), directory(t))
+    held = held_once(t)
+    return agenda.speakers_of(held, directory(t, held))
 
 
 @query(f"""WITH {_HELD}, {_DIRECTORY}, l AS (SELECT unnest(codes) AS code, key FROM directory UNION SELECT h.code, d.key FROM (SELECT code, lower(unnest(speakers)) AS name FROM held) h JOIN directory d ON h.name = d.key)
 SELECT key, count(DISTINCT code) AS n, md5(string_agg(DISTINCT code, ',' ORDER BY code)) AS codes FROM l GROUP BY key""")
 def speaker_sessions(t):
     """The sessions of each speaker, by code or by name."""
-    found = agenda.sessions_of(held_sessions(t), directory(t))
+    held = held_once(t)
+    found = agenda.sessions_of(held, directory(t, held))
     return found.select("key", F.size("codes").cast("long").alias("n"), F.md5(F.nullif(F.array_join("codes", ","), F.lit(""))).alias("codes"))
 
 
@@ -127,8 +135,9 @@ def speaker_sessions(t):
 SELECT key, count(*) AS n, count(title) AS known, md5(string_agg(code || ':' || coalesce(title, '?') || ':' || coalesce(day, '?'), '|' ORDER BY pos)) AS digest FROM e LEFT JOIN s USING (code) GROUP BY key""")
 def nested_sessions(t):
     """The directory with its sessions nested in order; codes that no session has are kept."""
-    people = directory(t).withColumn("codes", F.array_append("codes", F.lit("gone")))
-    out = agenda.with_sessions(people, held_sessions(t).where("code is not null"))
+    held = held_once(t)
+    people = directory(t, held).withColumn("codes", F.array_append("codes", F.lit("gone")))
+    out = agenda.with_sessions(people, held.where("code is not null"))
     line = F.transform("sessions", lambda x: F.concat_ws(":", x["code"], F.coalesce(x["title"], F.lit("?")), F.coalesce(x["day"], F.lit("?"))))
     return out.select("key", F.size("sessions").cast("long").alias("n"), F.size(F.filter("sessions", lambda x: x["title"].isNotNull())).cast("long").alias("known"), F.md5(F.array_join(line, "|")).alias("digest"))
 
@@ -138,8 +147,9 @@ e AS (SELECT code, unnest(names) AS name, generate_subscripts(names, 1) AS pos F
 SELECT code, md5(string_agg(coalesce(line, name), '|' ORDER BY pos)) AS people, count(*) AS n FROM e LEFT JOIN f ON key = lower(name) GROUP BY code""")
 def session_people(t):
     """The people of each session in order, with their company where the directory has them; a fallback where none are named."""
-    rows = held_sessions(t).where("code is not null").withColumn("names", agenda.lineup(F.col("speakers"), F.col("hosts"), F.array(F.lit("Panel"))))
-    out = agenda.people_lines(rows, "names", directory(t))
+    held = held_once(t)
+    rows = held.where("code is not null").withColumn("names", agenda.lineup(F.col("speakers"), F.col("hosts"), F.array(F.lit("Panel"))))
+    out = agenda.people_lines(rows, "names", directory(t, held))
     return out.select("code", F.md5(F.array_join("lines", "|")).alias("people"), F.size("lines").cast("long").alias("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import agenda, corpus, partners
-from quern.plans.agenda import _DIRECTORY, _HELD, directory, held_sessions
+from quern.plans.agenda import _DIRECTORY, _HELD, directory, held_once, held_sessions
 from quern.plans.declare import query
 from quern.plans.text import _q
 from quern.storage import materialise, new_path
@@ -39,9 +39,9 @@ def partner_groups(t):
     return partner_rows(t).select("p_partkey", corpus.group_of(F.col("tier")).alias("grp"), partners.reject_reason(F.col("text"), rules).alias("reject"), F.size(fine).cast("long").alias("n_uses"))
 
 
-def session_rows(t):
+def session_rows(t, held=None):
     """Sessions with a description, an end, topics or a track, and bare names for those without raw lists."""
-    held = held_sessions(t)
+    held = held_sessions(t) if held is None else held
     days = agenda.day_numbers(held)
     label = agenda.full_day_label(F.col("day_number"), F.col("day"))
     k = F.col("k")
@@ -58,7 +58,8 @@ def session_rows(t):
 
 def chunks(t):
     """All chunks of the corpus, from one reading of each source."""
-    sessions, people = materialise(session_rows(t), "sessions"), materialise(directory(t), "directory")
+    held = held_once(t)
+    sessions, people = materialise(session_rows(t, held), "sessions"), materialise(directory(t, held), "directory")
     speakers = people.withColumn("country", F.when(F.size("codes") > 3, "Land"))
     talks = sessions.where("code IS NOT NULL").select("code", "title", "format", "label", "start", "end", "closed")
     parts = corpus.partner_chunks(partner_rows(t), EVENT, YEAR), corpus.speaker_chunks(speakers, talks, EVENT, YEAR), corpus.session_chunks(sessions, people, EVENT, YEAR)

@@ -8,7 +8,7 @@ import re
 import duckdb
 import pytest
 
-from quern.plans import catalogue, partners, planning, registry, search
+from quern.plans import agenda, catalogue, partners, planning, registry, search
 from quern.plans.declare import hashed
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +37,16 @@ def test_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["chunk_texts", "session_people", "session_speakers"])
+def test_sessions_are_read_once(spark, monkeypatch, name):
+    """Plans that need the sessions for the directory too extract them from the raw agenda once."""
+    asked = []
+    known = agenda.raw_sessions
+    monkeypatch.setattr(agenda, "raw_sessions", lambda t: asked.append(1) or known(t))
+    registry.QUERIES[name](spark, SF)
+    assert asked == [1]
+
+
 def test_clash_filter_is_greedy(spark):
     events = {r.event_id: r for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
     slot = lambda i: ((s := int(events[i].ts.timestamp() // 60)), s + 20 + i % 40)
