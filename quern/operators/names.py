@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.storage import materialise
+from quern.storage import dealt, materialise
 
 LONGEST = 6
 #: A lexicon of at most so many forms goes to the texts; with more, both meet in a shuffled join.
@@ -95,7 +95,11 @@ def scan(texts: DataFrame, lex: DataFrame) -> DataFrame:
     return found.join(caps, "qid").join(entries, "form").select("qid", "form", "id", "kind", boost.alias("boost"))
 
 
-def total(found: DataFrame) -> DataFrame:
-    """qid, id and boost: the hits of an entity with diminishing returns, the i-th strongest over i."""
-    nth = F.row_number().over(Window.partitionBy("qid", "id").orderBy(F.desc("boost"), "form"))
-    return found.withColumn("nth", nth).groupBy("qid", "id").agg(F.sum(F.col("boost") / F.col("nth")).alias("boost"))
+def total(found: DataFrame, rows: int | None = None) -> DataFrame:
+    """qid, id and boost: the hits of an entity with diminishing returns, the i-th strongest over i. rows: how many hits there are at most.
+
+    Hits of equal boosts add the same in any order, so their forms are neither shuffled nor sorted.
+    """
+    hits = dealt(found.select("qid", "id", "boost"), rows, "qid", "id")
+    nth = F.row_number().over(Window.partitionBy("qid", "id").orderBy(F.desc("boost")))
+    return hits.withColumn("nth", nth).groupBy("qid", "id").agg(F.sum(F.col("boost") / F.col("nth")).alias("boost"))

@@ -42,6 +42,19 @@ def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task is dealt at most, about, where a job says how many there are.
+SHARE = 1 << 19
+
+
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` in shares of about SHARE rows, if that takes more shares than the session's setting; else as it is.
+
+    So a task's memory does not grow with the table under a fixed setting. rows: how many `df` has at most; None leaves it to Spark.
+    """
+    parts = -(-(rows or 0) // SHARE)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _leave(spark: SparkSession, folder: str) -> None:
     """At the end of the driver, delete what the application wrote; `clear` does so earlier. A driver that is killed leaves its folder."""
     if spark.sparkContext._jsc is not None:  # not stopped before
