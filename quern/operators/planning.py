@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import intervals
+from quern.storage import dealt
 
 # Identifiers of stands in a reply, and keys that may not stand in a document.
 STAND = r"(?i)\b(?:booth|stall|kiosk)\s*(?:no\.?|number|#)?\s*[:#-]?\s*[A-Za-z]{0,3}-?\d+[A-Za-z]?\b"
@@ -118,13 +119,16 @@ def rationale(terms: Column, fields: Column) -> Column:
     return F.when(F.size(terms) > 0, F.concat(F.lit("Matched "), quoted, F.lit(" in its "), F.array_join(fields, ", "), F.lit("."))).otherwise("")
 
 
-def fallback(picks: DataFrame, plans: DataFrame, records: DataFrame) -> DataFrame:
+def fallback(picks: DataFrame, plans: DataFrame, records: DataFrame, rows: int | None = None) -> DataFrame:
     """person, id, kept and clash of matched items for plans: what a plan has is dropped, and what no record knows; of the rest, in the order of
     matching, each is kept unless it overlaps the plan or one kept before on its day. Items without times are kept.
 
-    picks: person, id, nth. plans: person, id. records: id, day, s, e. A pick that is matched again counts once, at its first place.
+    picks: person, id, nth. plans: person, id. records: id, day, s, e. A pick that is matched again counts once, at its first place. rows: how many
+    picks and entries of plans there are at most.
     """
-    have = plans.select("person", "id").distinct()
-    fresh = picks.join(have, ["person", "id"], "left_anti").groupBy("person", "id").agg(F.min("nth").alias("nth")).join(records, "id")
-    held = have.join(records, "id").where("s IS NOT NULL AND e IS NOT NULL").withColumn("nth", F.col("id"))
-    return intervals.clash_filter(fresh, ["person", "day"], held).select("person", "id", "kept", "clash")
+    have = dealt(plans.select("person", "id"), rows, "person", "id").distinct()
+    fresh = dealt(picks, rows, "person", "id").join(have, ["person", "id"], "left_anti").groupBy("person", "id").agg(F.min("nth").alias("nth"))
+    known = dealt(records, rows, "id")
+    fresh = dealt(fresh, rows, "id").join(known, "id")
+    held = dealt(have, rows, "id").join(known, "id").where("s IS NOT NULL AND e IS NOT NULL").withColumn("nth", F.col("id"))
+    return intervals.clash_filter(fresh, ["person", "day"], held, rows=rows).select("person", "id", "kept", "clash")

@@ -11,6 +11,7 @@ from quern.plans.declare import query
 from quern.plans.schedule import _greedy
 from quern.plans.search import _FIELDS, _INDEX, _asked, _docs
 from quern.plans.text import _fold, _possessive, _q, _stem
+from quern.storage import dealt
 
 _SPEC = {
     "kind": {"$in": ["view", "click", "purchase"]}, "k": {"$type": "number", "$ne": 3, "$lt": 90}, "consent": True, "id": {"$nin": [1, 2, 3]}, "gone": None,
@@ -114,11 +115,12 @@ k AS (SELECT person, id, min(nth) AS nth FROM l ANTI JOIN known USING (person, i
 SELECT user_id AS person, id, kept, clash FROM g WHERE i > 0 UNION ALL SELECT person, id, true, NULL FROM v WHERE id % 2 = 1""")
 def fallback_plan(t):
     """What a plan takes over from matched items without a model: not what it has, only known records, and nothing that clashes."""
-    lines = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("person"), F.col("l_partkey").alias("id"), "l_suppkey", (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("nth"))
+    rows = t("lineitem").count()
+    lines = dealt(t("orders").select("o_orderkey", "o_custkey"), rows, "o_orderkey").join(dealt(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), rows, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("person"), F.col("l_partkey").alias("id"), "l_suppkey", (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("nth"))
     k = F.col("p_partkey")
     timed = lambda x: F.when(k % 2 == 0, x.cast("long"))
     records = t("part").where(_RECORD).select(k.alias("id"), timed(F.col("p_size") % 3).alias("day"), timed(k % 600).alias("s"), timed(k % 600 + 30).alias("e"))
-    return planning.fallback(lines.select("person", "id", "nth"), lines.where("l_suppkey % 4 = 0").select("person", "id"), records)
+    return planning.fallback(lines.select("person", "id", "nth"), lines.where("l_suppkey % 4 = 0").select("person", "id"), records, rows)
 
 
 @query(f"""WITH open_docs AS (SELECT * FROM documents WHERE NOT (doc_id % 3 = 1 AND doc_id % 7 = 0)), {_INDEX.replace('FROM documents', 'FROM open_docs')},

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from quern.operators import intervals
+from quern import storage
+from quern.operators import intervals, planning
 
 
 def plain_clashes(proposals, fixed):
@@ -60,3 +61,16 @@ def test_rate_windows_of_a_busy_key(spark, seed):
 def test_nothing_at_all(spark):
     none = spark.createDataFrame([], "key string, nth long, id long, s long, e long")
     assert intervals.rate_limited(none.select("key", "id", "s"), ["key"], 4, 1000).count() == 0 == intervals.clash_filter(none, ["key"], none).count()
+
+
+def test_fallback_of_many_rows_is_dealt_to_more_tasks(spark, monkeypatch):
+    """Tasks grow in number with the rows, beyond the session's setting, and the plan is the same."""
+    rnd = random.Random(8)
+    records = spark.createDataFrame([(i, *((i % 3, s := rnd.randrange(500), s + 30) if i % 4 else (None, None, None))) for i in range(60)], "id long, day long, s long, e long")
+    picks = spark.createDataFrame([(rnd.randrange(20), rnd.randrange(70), i) for i in range(800)], "person long, id long, nth long")
+    plans = spark.createDataFrame([(rnd.randrange(20), rnd.randrange(70)) for _ in range(60)], "person long, id long")
+    want = sorted(map(str, planning.fallback(picks, plans, records).collect()))
+    monkeypatch.setattr(storage, "SHARE", 100)
+    out = planning.fallback(picks, plans, records, 860)
+    assert sorted(map(str, out.collect())) == want and any("clash=None" not in x for x in want)
+    assert out.rdd.getNumPartitions() >= 9 > int(spark.conf.get("spark.sql.shuffle.partitions"))
