@@ -358,7 +358,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _units(model: Model, docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """unit, kind 1, words, ctx, which and n: counts of (context, word) of the bucketed tokens, the words of a chunk numbered in each row."""
+    """unit, kind 1, words and data: counts of (context, word) of the bucketed tokens, the words of a chunk numbered in each row."""
     shared = docs.sparkSession.sparkContext.broadcast((model.words, model.classes))
     parts = np.ones(BUCKETS + 1, np.int64)
     for bucket, n in sizes.items():
@@ -383,10 +383,10 @@ def _units(model: Model, docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
         met, which = np.unique((unit << 24) | at, return_inverse=True)  # a unit's words stand together
         firsts = np.searchsorted(met, units << 24)
         which = which - firsts[np.searchsorted(units, unit)]
-        listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.append(ends, len(values)), pa.int32()), values)
-        texts = pa.array(names, pa.binary()).take(pa.array(met & ((1 << 24) - 1))).cast(pa.string())
-        columns = [units, np.ones(len(units), np.int32), listed(firsts, texts), listed(starts, pa.array(one.astype(np.int16))), listed(starts, pa.array(which.astype(np.int32))), listed(starts, pa.array(n))]
-        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_UNITS)
+        texts = [names[i] for i in (met & ((1 << 24) - 1)).tolist()]
+        words = [b"\n".join(texts[a:b]) for a, b in itertools.pairwise([*firsts.tolist(), len(texts)])]
+        data = [_packed(one[a:b], which[a:b], n[a:b]) for a, b in itertools.pairwise([*starts.tolist(), len(n)])]
+        return pa.RecordBatch.from_arrays([pa.array(units), pa.array(np.ones(len(units), np.int32)), pa.array(words, pa.binary()), pa.array(data, pa.binary())], schema=_UNITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids, part, size = defaultdict(itertools.count().__next__), [], [], 0
@@ -412,8 +412,26 @@ def _units(model: Model, docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
     return map_batches(hashed, count, UNITS, size=_BATCH_BYTES)
 
 
-UNITS = "unit long, kind int, words array<string>, ctx array<short>, which array<int>, n array<long>"
-_UNITS = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("words", pa.list_(pa.string())), ("ctx", pa.list_(pa.int16())), ("which", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+#: Words stand between line feeds, which no word holds; numbers are bytes. Arrays would take two or three times the memory in Spark's rows and Arrow's.
+UNITS = "unit long, kind int, words binary, data binary"
+_UNITS = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("words", pa.binary()), ("data", pa.binary())])
+
+
+def _packed(ctx: np.ndarray, which: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts of (context, word) of a chunk, ten bytes each."""
+    return ctx.astype("<u2").tobytes() + which.astype("<u4").tobytes() + n.astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = len(data) // 10
+    return np.frombuffer(data, "<u2", m), np.frombuffer(data, "<u4", m, 2 * m), np.frombuffer(data, "<u4", m, 6 * m)
+
+
+def _split(texts: list[bytes]) -> pa.Array:
+    """The words of some rows, one after another."""
+    if not texts:
+        return pa.array([], pa.string())
+    return pc.split_pattern(pa.array([b"\n".join(texts)], pa.binary()).cast(pa.string()), "\n").values
 
 
 def _row(schema: pa.Schema, values: list) -> pa.RecordBatch:
@@ -429,7 +447,7 @@ def _row(schema: pa.Schema, values: list) -> pa.RecordBatch:
 
 
 def _vocabularies(model: Model, counts: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """unit, kind 0, words and n: the words of every bucket with their counts, for each of its units."""
+    """unit, kind 0, words and data: the words of every bucket with their counts, for each of its units."""
     classed = [w.decode("utf-8", "surrogatepass") for w, i in model.words.items() if 1 <= i <= CLASS_WORDS]
     rest = counts.where((F.col("word") != END) & ~F.col("word").isin(classed)) if classed else counts.where(F.col("word") != END)
     many = {b: -(-n // UNIT_TOKENS) for b, n in sizes.items() if n > UNIT_TOKENS}
@@ -445,7 +463,7 @@ def _vocabularies(model: Model, counts: DataFrame, sizes: dict[int, int]) -> Dat
             begin = 0
             for end in ends:
                 some = batch.take(pa.array(order[begin:end]))
-                yield _row(_UNITS, [int(unit[order[begin]]), 0, some.column("word"), np.zeros(0, np.int16), np.zeros(0, np.int32), some.column("c")])
+                yield _row(_UNITS, [int(unit[order[begin]]), 0, "\n".join(some.column("word").to_pylist()).encode(), some.column("c").to_numpy().tobytes()])
                 begin = end
 
     each = rest.select("bucket", F.explode(F.sequence(F.lit(0), last)).alias("part"), "word", "c").select((F.col("bucket").cast("long") * (1 << 16) + F.col("part")).alias("unit"), "word", "c")
@@ -496,7 +514,7 @@ def inner_softmax(model: Model, docs: DataFrame, counts: DataFrame) -> DataFrame
                     yield unit, vocabulary, pairs
                     vocabulary, pairs = [], []
                 unit = now
-                row = [batch.column(c)[i].values for c in ("words", "ctx", "which", "n")]
+                row = [batch.column(c)[i].as_py() for c in ("words", "data")]
                 (pairs if batch.column("kind")[i].as_py() else vocabulary).append(row)
         if unit is not None:
             yield unit, vocabulary, pairs
@@ -505,15 +523,15 @@ def inner_softmax(model: Model, docs: DataFrame, counts: DataFrame) -> DataFrame
         for unit, vocabulary, pairs in gather(batches):
             if not vocabulary:
                 continue
-            names, c = pa.concat_arrays([v[0] for v in vocabulary]), np.concatenate([v[3].to_numpy() for v in vocabulary])
+            names, c = _split([v[0] for v in vocabulary]), np.concatenate([np.frombuffer(v[1], np.int64) for v in vocabulary])
             order = pc.sort_indices(names.cast(pa.binary()))  # the order of bytes, however the rows lay
             names, c = names.take(order), c[order.to_numpy()]
-            words = pa.concat_arrays([p[0] for p in pairs]) if pairs else pa.array([], pa.string())
-            place = pc.index_in(words, value_set=names).to_numpy().astype(np.int64)  # a training word is in the vocabulary
-            starts = np.cumsum([0, *[len(p[0]) for p in pairs]])
-            keys = [p[1].to_numpy().astype(np.int64) * len(names) + place[starts[i] + p[2].to_numpy()] for i, p in enumerate(pairs)]
+            place = pc.index_in(_split([p[0] for p in pairs]), value_set=names).to_numpy().astype(np.int64)  # a training word is in the vocabulary
+            starts = np.cumsum([0, *[p[0].count(b"\n") + 1 for p in pairs]])
+            counted = [_unpacked(p[1]) for p in pairs]
+            keys = [ctx.astype(np.int64) * len(names) + place[starts[i] + which] for i, (ctx, which, _) in enumerate(counted)]
             key, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([np.zeros(0), *[p[3].to_numpy() for p in pairs]]), len(key))
+            n = np.bincount(back, np.concatenate([np.zeros(0), *[x[2] for x in counted]]), len(key))
             (e, b, s), tokens = _learn_unit(unit, c, *np.divmod(key, len(names)), n)
             fixed = [np.rint(x.astype(np.float64) * (1 << 30)).astype(np.int64) * tokens for x in (e, b, s)]
             yield _row(_PARTS, [unit >> 16, names, c, tokens, *[x.tobytes() for x in fixed]])

@@ -148,3 +148,21 @@ def test_a_long_text_is_cut_into_rows_of_a_shard(spark, monkeypatch):
     counts = lm.materialise(lm.count_words(docs), "counts")
     rows = lm.shards(lm.prepare(counts), docs).collect()
     assert sum(len(r.tokens) // 2 for r in rows) == 601 + 3 + 1 + 3
+
+
+def test_units_are_rows_of_bytes(spark):
+    """What learns a bucket is shuffled as packed bytes, a few rows a chunk, and its counts are those of the texts."""
+    docs = spark.createDataFrame([(1, "aé bé aé cé " * 5), (3, "bé, aé")], "doc_id long, text string")
+    counts = lm.materialise(lm.count_words(docs), "counts")
+    rows = lm._units(lm.prepare(counts), docs, {}).collect()
+    assert {f.dataType.simpleString() for f in lm._units(lm.prepare(counts), docs, {}).schema[2:]} == {"binary"}
+    classed = {w for w, i in lm.prepare(counts).words.items() if 1 <= i <= lm.CLASS_WORDS}
+    assert not rows and len(classed) == 4  # all are words of a class
+    model = lm.prepare(counts.where("false"))
+    model.words, model.classes = {b"\n": 0}, np.zeros(2, np.int32)
+    seen = Counter()
+    for r in lm._units(model, docs, {}).collect():
+        words = lm._split([bytes(r.words)]).to_pylist()
+        for _, w, n in zip(*lm._unpacked(bytes(r.data)), strict=True):
+            seen[words[w]] += int(n)
+    assert seen == Counter({"aé": 11, "bé": 5, "cé": 5, "bé,": 1})
