@@ -1,4 +1,4 @@
-"""Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
+"""Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, learnt in numpy.
 
 A word's input holds a learnt vector of the word (if training saw it often enough), the mean of learnt vectors of its character
 trigrams, and two log-odds that say how much more often toxic training documents hold the word and its trigrams. The network
@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fold_of, map_batches, texts_of
+from quern.llm.onnx_graph import constant, node, session
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 1000
@@ -41,13 +43,20 @@ EPOCHS, RESELECT = 16, (0, 2, 5, 9)
 BATCH = 96
 RATE = 0.02
 SEED = 7
-_CHUNK = 1024
+_CHUNK = 6144
 _CACHE = 250_000
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w")
+_SPACED = bytes(c if c > 127 or _WORD.match(chr(c)) else 32 for c in range(256))  # ASCII beside words becomes blanks
 
 
 def words_in(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    r"""The runs of \w of a text in lower case."""
+    text = text.lower()
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and not c.isalnum():  # \w beyond ASCII
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(_SPACED).decode("utf-8", "surrogatepass").split()
 
 
 def trigrams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,35 +148,8 @@ class Net:
             keep |= {"h": h, "s": s, "alpha": alpha, "pooled": pooled}
         return pooled @ self.p["wo"] + self.p["bo"]
 
-    def slide(self, x: np.ndarray) -> np.ndarray:
-        """The logits of all len(x) - WINDOW + 1 windows of a run of input vectors: what `logits` gives, without padding."""
-        b, both = len(x) - WINDOW + 1, 2 * HIDDEN
-        halves = np.repeat(np.float32([0.5, 1]), [both, HIDDEN])[:, None]  # the gates' sigmoid is taken from tanh of one half
-        hidden, hu = np.empty((WINDOW, both, b), np.float32), np.empty((3 * HIDDEN, b), np.float32)
-        for i, side in enumerate(("f", "b")):
-            px = halves * (self.p[f"w{side}"].T @ x.T + self.p[f"c{side}"][:, None])
-            u, h = np.ascontiguousarray(halves * self.p[f"u{side}"].T), np.zeros((HIDDEN, b), np.float32)
-            for k in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-                np.matmul(u, h, out=hu)
-                g = hu[:both]
-                g += px[:both, k : k + b]
-                np.tanh(g, out=g)
-                g *= 0.5
-                g += 0.5
-                n = hu[both:]
-                n *= g[HIDDEN:]
-                n += px[both:, k : k + b]
-                np.tanh(n, out=n)
-                h -= n
-                h *= g[:HIDDEN]
-                h += n
-                hidden[k, i * HIDDEN : (i + 1) * HIDDEN] = h
-        e = np.matmul(self.p["va"], np.tanh(np.matmul(np.ascontiguousarray(self.p["wa"].T), hidden)))
-        e = np.exp(e - e.max(0))
-        return (e * np.matmul(self.p["wo"], hidden)).sum(0) / e.sum(0) + self.p["bo"]
-
-    def window_logits(self, table: np.ndarray, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """The logits of all windows of each text, given as rows of a table of input vectors, whose row 0 is padding."""
+    def window_logits(self, table: np.ndarray, rows: list[np.ndarray], slide: Slide) -> list[np.ndarray]:
+        """The logits of all windows of each text, given as rows of a table of input vectors, whose row 0 is padding. slide: made of this net."""
         out: list[np.ndarray] = [np.zeros(0)] * len(rows)
         short = [i for i, r in enumerate(rows) if len(r) < WINDOW]
         for a in range(0, len(short), _CHUNK):
@@ -181,7 +163,7 @@ class Net:
         long = [i for i, r in enumerate(rows) if len(r) >= WINDOW]
         if long:  # all in one run; windows over the end of a text are left out afterwards
             run = np.concatenate([rows[i] for i in long])
-            found = np.concatenate([self.slide(table[run[a : a + _CHUNK + WINDOW - 1]]) for a in range(0, len(run) - WINDOW + 1, _CHUNK)])
+            found = np.concatenate([slide(table[run[a : a + _CHUNK + WINDOW - 1]]) for a in range(0, len(run) - WINDOW + 1, _CHUNK)])
             first = 0
             for i in long:
                 out[i] = found[first : first + len(rows[i]) - WINDOW + 1]
@@ -220,29 +202,81 @@ class Net:
         return g, dx
 
 
+class Slide:
+    """The logits of all windows of a run of input vectors, as the network is now: what `logits` gives, without padding.
+
+    A matrix has a row for each window. The inputs of a step are the same rows of the run for all windows, one further at each step.
+    """
+
+    def __init__(self, net: Net):
+        p, none = net.p, np.zeros(1, np.float32)
+        sides, gates = {"f": range(WINDOW), "b": range(WINDOW - 1, -1, -1)}, {g: slice(i * HIDDEN, (i + 1) * HIDDEN) for i, g in enumerate("zrn")}
+        self.bo, self.project, constants, nodes, inputs = p["bo"], {}, [], [], {}
+        for i, (side, steps) in enumerate(sides.items()):
+            own, h = slice(i * HIDDEN, (i + 1) * HIDDEN), ""
+            constants.append(constant(f"{side}pool", np.vstack([p["wa"][own].T, p["wo"][None, own]])))
+            for g, s in gates.items():
+                self.project[side + g] = np.ascontiguousarray(p[f"w{side}"][:, s]), p[f"c{side}"][s]
+                constants.append(constant(f"{side}u{g}", p[f"u{side}"][:, s]))
+            for k in steps:
+                at = f"{side}{k}"
+                inputs |= {f"{side}{g}{k}": (side + g, k) for g in gates if h or g != "r"}
+                z, r, n, hu, m, q, d, c = (f"{at}{x}" for x in ("gate", "reset", "new", "hu", "m", "q", "d", "c"))
+                if h:
+                    nodes += [node("FusedGemm", [h, f"{side}ur", f"{side}r{k}"], r, "com.microsoft", activation="Sigmoid"), node("MatMul", [h, f"{side}un"], hu), node("Mul", [hu, r], m)]
+                    nodes += [node("Add", [m, f"{side}n{k}"], q), node("Tanh", [q], n), node("FusedGemm", [h, f"{side}uz", f"{side}z{k}"], z, "com.microsoft", activation="Sigmoid")]
+                    nodes += [node("Sub", [h, n], d), node("Mul", [d, z], c), node("Add", [c, n], f"{at}h")]
+                else:  # the state before is zero
+                    nodes += [node("Sigmoid", [f"{side}z{k}"], z), node("Tanh", [f"{side}n{k}"], n), node("Mul", [n, z], c), node("Sub", [n, c], f"{at}h")]
+                h = f"{at}h"
+                pooled = ["fpool", h] if side == "f" else ["bpool", h, f"f{k}pooled"]  # what attention and output take of both directions
+                nodes.append(node("Gemm", pooled, f"{at}pooled", transB=1))
+        constants += [constant("va", np.append(p["va"], none)[None]), constant("last", np.array([HIDDEN])), constant("end", np.array([HIDDEN + 1])), constant("axis", np.array([0]))]
+        for k in range(WINDOW):
+            nodes += [node("Tanh", [f"b{k}pooled"], f"s{k}"), node("MatMul", ["va", f"s{k}"], f"e{k}"), node("Slice", [f"b{k}pooled", "last", "end", "axis"], f"o{k}")]
+        nodes += [node("Concat", [f"{x}{k}" for k in range(WINDOW)], x, axis=0) for x in "eo"]
+        self.inputs, self.run = inputs, session(nodes, constants, dict.fromkeys(inputs, HIDDEN), ["e", "o"]).run
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        b = len(x) - WINDOW + 1
+        projected = {name: x @ w + c for name, (w, c) in self.project.items()}
+        e, out = self.run(None, {name: projected[of][k : k + b] for name, (of, k) in self.inputs.items()})
+        e = np.exp(e - e.max(0))
+        return (e * out).sum(0) / e.sum(0) + self.bo
+
+
 class Reader:
-    """Scores texts, remembering the projected inputs of distinct words in a bounded cache."""
+    """Scores texts, remembering the inputs of distinct words in a bounded cache."""
 
     def __init__(self, net: Net):
+        self.slide = Slide(net)
         self.net, self.rows, self.table, self.n = net, {}, np.zeros((_CACHE + 1, net.p["wf"].shape[0]), np.float32), 1
 
     def _rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        distinct = {w for words in texts for w in words}
-        new = [w for w in distinct if w not in self.rows]
-        if self.n + len(new) > len(self.table):
-            self.rows, self.n, new = {}, 1, list(distinct)
-            if len(new) >= len(self.table):
-                self.table = np.zeros((len(new) + 1, self.table.shape[1]), np.float32)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.table[self.n : self.n + len(part)] = self.net.inputs(part)
-            self.rows.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n += len(part)
-        return [np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words)) for words in texts]
+        for _ in range(2):
+            new: dict[str, int] = {}
+            found = [np.fromiter(map(self.rows.get, words, repeat(0)), np.int32, len(words)) for words in texts]
+            for words, at in zip(texts, found, strict=True):
+                for k in np.flatnonzero(at == 0).tolist():
+                    at[k] = self.n + new.setdefault(words[k], len(new))
+            if self.n + len(new) <= len(self.table):
+                break
+            self.rows, self.n = {}, 1  # begin anew
+            size = 1 + sum(map(len, texts))
+            if size > len(self.table):
+                self.table = np.zeros((size, self.table.shape[1]), np.float32)
+        words = list(new)
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            self.table[self.n + a : self.n + a + len(part)] = self.net.inputs(part)
+        self.rows.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
+        return found
 
     def scores(self, texts: list[str]) -> list[float]:
         """The score of each whole text: its most toxic window's."""
-        found = self.net.window_logits(self.table, self._rows([words_in(t) for t in texts]))
+        rows = self._rows([words_in(t) for t in texts])  # may replace the table
+        found = self.net.window_logits(self.table, rows, self.slide)
         return _sigmoid(np.array([x.max() for x in found])).tolist()
 
 
@@ -297,7 +331,8 @@ def fit(texts: list[str], y: list[int]) -> Net:
                 odds = x[:, :2].sum(1)
                 chosen = [_of_highest(odds[r]) for r in padded]
             else:
-                chosen = [int(v.argmax()) for i in range(0, len(y), BATCH) for v in net.window_logits(x, texts_rows[i : i + BATCH])]
+                slide = Slide(net)
+                chosen = [int(v.argmax()) for i in range(0, len(y), BATCH) for v in net.window_logits(x, texts_rows[i : i + BATCH], slide)]
             at = np.stack([r[k : k + WINDOW] for r, k in zip(padded, chosen, strict=True)])
         order = rng.permutation(len(y))
         for a in range(0, len(order), BATCH):

@@ -1,4 +1,6 @@
 import math
+import re
+import time
 import zlib
 
 import numpy as np
@@ -141,3 +143,61 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, toxic int")
     texts, y = tx.sample(docs, labels)
     assert sum(y) <= 4 and len(y) - sum(y) <= 8 and len(set(texts)) == len(texts) and all(t.endswith(" 0") for t in texts)
+
+
+def plain_slide(net, x):
+    """The logits of all windows of a run in numpy, step by step."""
+    b, both = len(x) - tx.WINDOW + 1, 2 * tx.HIDDEN
+    halves = np.repeat(np.float32([0.5, 1]), [both, tx.HIDDEN])[:, None]
+    hidden, hu = np.empty((tx.WINDOW, both, b), np.float32), np.empty((3 * tx.HIDDEN, b), np.float32)
+    for i, side in enumerate(("f", "b")):
+        px = halves * (net.p[f"w{side}"].T @ x.T + net.p[f"c{side}"][:, None])
+        u, h = np.ascontiguousarray(halves * net.p[f"u{side}"].T), np.zeros((tx.HIDDEN, b), np.float32)
+        for k in range(tx.WINDOW) if side == "f" else range(tx.WINDOW - 1, -1, -1):
+            np.matmul(u, h, out=hu)
+            g = hu[:both]
+            g += px[:both, k : k + b]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            n = hu[both:]
+            n *= g[tx.HIDDEN :]
+            n += px[both:, k : k + b]
+            np.tanh(n, out=n)
+            h -= n
+            h *= g[: tx.HIDDEN]
+            h += n
+            hidden[k, i * tx.HIDDEN : (i + 1) * tx.HIDDEN] = h
+    e = np.matmul(net.p["va"], np.tanh(np.matmul(np.ascontiguousarray(net.p["wa"].T), hidden)))
+    e = np.exp(e - e.max(0))
+    return (e * np.matmul(net.p["wo"], hidden)).sum(0) / e.sum(0) + net.p["bo"]
+
+
+def test_windows_are_read_in_less_time_than_in_plain_numpy():
+    net = tx.Net({"a": 1}, np.zeros(2, np.float32), np.zeros(tx.TRIGRAMS, np.float32))
+    net.start()
+    x = np.random.default_rng(5).normal(0, 1, (4096, 2 + tx.WORD_DIM + tx.CHAR_DIM)).astype(np.float32)
+    slide, spent = tx.Slide(net), ([], [])
+    assert np.abs(slide(x) - plain_slide(net, x)).max() < 1e-5
+    for _ in range(7):
+        for took, read in zip(spent, (slide, lambda v: plain_slide(net, v)), strict=True):
+            began = time.process_time()
+            read(x)
+            took.append(time.process_time() - began)
+    assert min(spent[0]) < 0.75 * min(spent[1])
+    assert slide(x[: tx.WINDOW]).shape == (1,)
+
+
+def test_words_are_runs_of_word_characters():
+    for text in ("", "Aa_1 b-c", "İstanbul ǅ ß²½ a\u0085b c d e naïve—x", "\x1ca\x1f\x00b", "日本語、テ", "\ud800x ýz"):
+        assert tx.words_in(text) == re.findall(r"\w+", text.lower())
+
+
+def test_a_full_cache_of_words_begins_anew(monkeypatch):
+    net = tx.fit(["good calm words here " * 12, "vile awful slur words " * 12] * 6, [0, 1] * 6)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) + " vile slur" for i in range(6)]
+    want = [tx.Reader(net).scores([t])[0] for t in texts]
+    monkeypatch.setattr(tx, "_CACHE", 60)
+    reader = tx.Reader(net)
+    assert [reader.scores([t])[0] for t in [*texts, *texts]] == pytest.approx(want * 2, abs=1e-6)
+    assert reader.scores(texts) == pytest.approx(want, abs=1e-6)
