@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from quern.storage import materialise, new_path, remove, shared_folder, stored
 
-__all__ = ["column", "documents", "fold_of", "input_table", "labels", "map_batches", "materialise", "new_path", "remove", "row_hash", "shared_folder", "slices", "stored", "texts_of", "words_of"]
+__all__ = ["column", "documents", "fold_of", "freeing", "input_table", "labels", "map_batches", "materialise", "new_path", "remove", "row_hash", "shared_folder", "slices", "stored", "texts_of", "words_of"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 SPACE_RUN = r"[ \t-\r]+"
@@ -99,6 +100,19 @@ def map_batches(
     return df.mapInArrow(bounded, schema)
 
 
+def freeing(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`fn`, after whose end a worker gives back to the system what it has freed; workers wait for later tasks beside the JVM."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return freed
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

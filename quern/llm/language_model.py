@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold_of, map_batches, materialise, new_path, remove, stored, texts_of
+from quern.llm.common import fold_of, freeing, map_batches, materialise, new_path, remove, stored, texts_of
 
 FOLDS, HELD_OUT = 7, 2
 CLASS_WORDS = 1024
@@ -98,7 +98,7 @@ def count_words(train: DataFrame) -> DataFrame:
         if seen:
             yield rows()
 
-    parts = map_batches(train.select("text"), count, "word string, bucket int, c long")
+    parts = map_batches(train.select("text"), freeing(count), "word string, bucket int, c long")
     return parts.groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("c").alias("c"))
 
 
@@ -216,11 +216,11 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """By the hyperbolic tangent, which does not overflow."""
-    x = np.tanh(x * x.dtype.type(0.5))
+    """By the exponential, which takes half the time of the hyperbolic tangent; one that overflows gives 0."""
+    with np.errstate(over="ignore"):
+        x = np.exp(-x)
     x += 1
-    x *= x.dtype.type(0.5)
-    return x
+    return np.divide(1, x, out=x)
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -304,8 +304,8 @@ def shards(model: Model, docs: DataFrame) -> DataFrame:
             yield row()
 
     hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").select(F.pmod("h", F.lit(n_shards)).alias("shard"), "h", "text")
-    each = map_batches(hashed, classify, "shard long, h long, tokens binary").repartition("shard").sortWithinPartitions("shard", "h", "tokens")
-    return map_batches(each.select("shard", "tokens"), pack, "shard long, part long, tokens binary", rows=4096)
+    each = map_batches(hashed, freeing(classify), "shard long, h long, tokens binary").repartition("shard").sortWithinPartitions("shard", "h", "tokens")
+    return map_batches(each.select("shard", "tokens"), freeing(pack), "shard long, part long, tokens binary", rows=4096)
 
 
 def train(model: Model, docs: DataFrame) -> Model:
@@ -331,8 +331,8 @@ def train(model: Model, docs: DataFrame) -> Model:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-        partial = map_batches(dealt, run, "v binary", rows=8)
-        sums = [bytes(r.v) for r in map_batches(partial.repartition(_LEAVES), _added, "v binary").collect()]
+        partial = map_batches(dealt, freeing(run), "v binary", rows=8)
+        sums = [bytes(r.v) for r in map_batches(partial.repartition(_LEAVES), freeing(_added), "v binary").collect()]
         if not sums:
             break
         flat = np.sum([np.frombuffer(v, np.int64) for v in sums], axis=0) / _POINT
@@ -409,7 +409,7 @@ def _units(model: Model, docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
             yield counted(words, ids, part)
 
     hashed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("h"), "text")
-    return map_batches(hashed, count, UNITS, size=_BATCH_BYTES)
+    return map_batches(hashed, freeing(count), UNITS, size=_BATCH_BYTES)
 
 
 #: Words stand between line feeds, which no word holds; numbers are bytes. Arrays would take two or three times the memory in Spark's rows and Arrow's.
@@ -467,7 +467,7 @@ def _vocabularies(model: Model, counts: DataFrame, sizes: dict[int, int]) -> Dat
                 begin = end
 
     each = rest.select("bucket", F.explode(F.sequence(F.lit(0), last)).alias("part"), "word", "c").select((F.col("bucket").cast("long") * (1 << 16) + F.col("part")).alias("unit"), "word", "c")
-    return map_batches(each, pack, UNITS, rows=1 << 14)
+    return map_batches(each, freeing(pack), UNITS, rows=1 << 14)
 
 
 BUCKET_ROWS = "bucket int, share double, words array<string>, c array<long>, e binary, bias binary, contexts binary, z binary"
@@ -548,8 +548,8 @@ def inner_softmax(model: Model, docs: DataFrame, counts: DataFrame) -> DataFrame
         if held:
             yield _bucket_row(held)
 
-    parts = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(learn, PARTS)
-    return materialise(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, BUCKET_ROWS), "lm-buckets")
+    parts = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(freeing(learn), PARTS)
+    return materialise(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(freeing(merge), BUCKET_ROWS), "lm-buckets")
 
 
 PARTS = "bucket int, words array<string>, c array<long>, tokens long, e binary, b binary, s binary"
@@ -583,7 +583,7 @@ def bucket_words(buckets: DataFrame) -> DataFrame:
                 for at in range(0, len(whole), 8192):
                     yield whole.slice(at, 8192)
 
-    return buckets.select("words", "c", "e", "bias").mapInArrow(rows, "word string, c long, e array<float>, bias float")
+    return buckets.select("words", "c", "e", "bias").mapInArrow(freeing(rows), "word string, c long, e array<float>, bias float")
 
 
 def with_words(model: Model, buckets: DataFrame) -> Model:
@@ -656,10 +656,10 @@ def score(model: Model, docs: DataFrame, counts: DataFrame, buckets: DataFrame)
                 np.add.at(s, back, v)
             yield pa.RecordBatch.from_pydict({"rid": rid, "base": sums[0], "more": sums[1], "hits": np.bincount(back, minlength=len(rid))})
 
-    scored = materialise(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, schema, size=_BATCH_BYTES), "lm-scored")
+    scored = materialise(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), freeing(each), schema, size=_BATCH_BYTES), "lm-scored")
     exploded = scored.select("rid", F.inline("rare"))
     hits = exploded.join(bucket_words(buckets), "word").select("rid", "b", "x", "c", "e", "bias")
-    found = map_batches(hits, joined, "rid long, base long, more long, hits long", rows=1 << 14).groupBy("rid").agg(F.sum("base").alias("more_base"), F.sum("more").alias("more"), F.sum("hits").alias("hits"))
+    found = map_batches(hits, freeing(joined), "rid long, base long, more long, hits long", rows=1 << 14).groupBy("rid").agg(F.sum("base").alias("more_base"), F.sum("more").alias("more"), F.sum("hits").alias("hits"))
     whole = scored.drop("rare").join(found, "rid", "left").na.fill(0, ["more_base", "more", "hits"])
     return whole.select(
         "doc_id",
