@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -95,6 +96,38 @@ def tokens(c: str | Column, keep_stopwords: bool = False) -> Column:
     return F.transform(paired, lambda p: p["s"])
 
 
+_FOLDED = str.maketrans(CURLY + ACCENTED, STRAIGHT + PLAIN)
+_END = "(?=[\x85\u2028\u2029]?\\Z)"  # where a `$` of Java matches in a text without white space
+_POSSESSIVE = [(re.compile(p + _END), by) for p, by in (("'s", ""), ("s'", "s"), ("'", ""))]
+
+
+def stem_of(t: str) -> str:
+    """`stem_plural` of one term of ASCII letters and digits."""
+    if len(t) <= 3 or t[-1] != "s":
+        return t
+    if t.endswith("ies") and t[-4] not in "aeiou":
+        return t[:-3] + "y"
+    if t.endswith(("ches", "shes", "sses", "xes", "zes")):
+        return t[:-2]
+    return t if t.endswith(("ss", "us", "is", "as", "os")) else t[:-1]
+
+
+def folded(text: str) -> str:
+    """A text in lower case without accents and with plain punctuation, in plain Python; `&` and white space stay."""
+    return text.translate(_FOLDED).lower()
+
+
+def terms_of_chunk(chunk: str) -> list[tuple[str, str]]:
+    """What `tokens` makes of a chunk between white space, stop words included: each term and its stem."""
+    found = []
+    for bare in folded(chunk).replace("&", " and ").split(" "):
+        for pattern, by in _POSSESSIVE:
+            bare = pattern.sub(by, bare)
+        parts = re.findall("[a-z0-9]+", bare)
+        found += parts if len(parts) <= 1 else ["".join(parts), *parts]
+    return [(t, stem_of(t)) for t in found]
+
+
 def term_rows(rows: DataFrame, text: str, *keep: str, keep_stopwords: bool = False, placed: bool = False) -> DataFrame:
     """The columns to keep and `term`: what `tokens` gives, one row a term. Chunks are told apart row by row, in generated code.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import analysis
 from quern.functions import text as tx
-from quern.operators import dense, lexical, names, random_index
+from quern.operators import dense, lexical, names, random_index, terms
 from quern.plans.declare import query
 from quern.plans.text import _STOP, _TERMS, _q
 from quern.storage import materialise
@@ -62,8 +62,7 @@ def lexicon_of(t):
     toks = t("benchmark").select("item_id", F.slice(tx.tokens("text", keep_stopwords=True), 1, 3).alias("k")).where(F.size("k") > 0)
     forms = toks.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("k")), lambda n: F.array_join(F.slice("k", 1, n), " "))).alias("form"), F.col("item_id").alias("id"))
     kind = F.when(F.col("id") % 3 == 0, "associated").otherwise("primary")
-    df = t("documents").select(F.explode(F.array_distinct(tx.tokens("text", keep_stopwords=True))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return names.lexicon(forms.withColumn("kind", kind), df)
+    return names.lexicon(forms.withColumn("kind", kind), terms.frequencies(t("documents"), keep_stopwords=True))
 
 
 @query()

@@ -7,6 +7,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import analysis
 from quern.functions import text as tx
-from quern.operators import names, random_index
+from quern.operators import names, random_index, terms
 from quern.plans import lookup, registry
 from quern.sources import exports, records
 from quern.sources.tables import table
@@ -83,6 +84,53 @@ def test_small_lexicon_goes_to_the_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+ODD_TEXTS = [
+    None, "", "  \t ", "The dogs' dog's dog's. churches, Berries & glass; AT&T ***stars***", "don't rock'n'roll 'tis x'' (s's) \u2018Quoted\u2019s\u201d",
+    "\u00dcber stra\u00dfe \u00c9COLES \u00f1o\u00f1os\u00a0nbsp\u2026 caf\u00e9s \u0130stanbul \u212aelvins", "dog's\u2028 cats'\x85 a\x1cb a\x0bb\x0cc\rd\ne", "\u65e5\u672c buses gas ties pies 1,000s a-b-c state-of-the-art's &&& .,;",
+    "\U0001f600smiles\U0001f600 \u03a3\u03a3s o\u0308s x_y=z's`s", "yes the 7 q s as us is os oars lashes foxes zes ies aies",
+]
+
+
+def test_texts_are_cut_as_tokens_are(spark):
+    """Terms that each distinct chunk of a batch is cut into are what the column function gives, whatever stands in the texts."""
+    rng = np.random.default_rng(5)
+    signs = list("aeSs'’ &.-,ÉßñI\u00a0\u2028\x85\x1c\t\n1y")
+    texts = ODD_TEXTS + ["".join(rng.choice(signs, 24)) for _ in range(600)]
+    for keep in (True, False):
+        rows = spark.createDataFrame(list(enumerate(texts)), "id int, x string").select("id", tx.tokens("x", keep_stopwords=keep).alias("k")).collect()
+        found, doc, number = terms.read(pa.array(texts, pa.string()), keep)
+        got = [[] for _ in texts]
+        for d, i in zip(doc, number, strict=True):
+            got[d].append(found[int(i)].as_py())
+        assert {r.id: list(r.k) for r in rows} == dict(enumerate(got))
+
+
+def test_frequencies_without_a_row_for_each_text_and_term(spark, monkeypatch):
+    texts = spark.createDataFrame([(x,) for x in [*ODD_TEXTS, "a b a", "b"]], "text string").coalesce(1)
+    want = Counter(t for r in texts.select(tx.tokens("text", keep_stopwords=True).alias("k")).collect() for t in set(r.k))
+    for most in (terms.SLICE, 8):
+        monkeypatch.setattr(terms, "SLICE", most)
+        found = terms.frequencies(texts, keep_stopwords=True)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString() and {r.term: r.df for r in found.collect()} == want
+    assert "Generate" not in lookup.lexicon_of(lambda n: table(spark, SF, n))._jdf.queryExecution().executedPlan().toString().split("documents.parquet")[-1]
+
+
+def test_scan_makes_no_n_grams_of_texts(spark, monkeypatch):
+    """Texts follow a small lexicon and give what the join of their n-grams with it gives."""
+    made = [("one", 1), ("one two", 2), ("one two three four five six", 3), ("one two three four five six seven", 4), ("berry", 5), ("two one", 6), ("wave", 7), ("wave", 8), ("wave dog", 9), ("x  y", 10), ("cafe", 11)]
+    lex = spark.createDataFrame([(f, i, "primary") for f, i in made], "form string, id long, kind string")
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["one", "two", "Two", "berries", "wave", "Wave", "WAVES", "dog's", "caf\u00e9s,", "&", "x"], 9)) for _ in range(80)]
+    texts += [None, "", "one two three four five six seven", "one two three four five one two", "ALL WAVE"]
+    frame = spark.createDataFrame([*enumerate(texts), (None, "one two")], "qid long, text string")
+    found = names.scan(frame, lex)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "flatten" not in plan and "collect_list" not in plan
+    got = Counter((r.qid, r.form, r.id, r.kind, r.boost) for r in found.collect())
+    monkeypatch.setattr(names, "SMALL_LEXICON", 0)
+    assert got and got == Counter((r.qid, r.form, r.id, r.kind, r.boost) for r in names.scan(frame, lex).collect())
+
+
 def test_capitalised(spark):
     got = spark.createDataFrame([("Tell me of Raise and Sarvam.ai",), ("LOUD RAISE",), (None,)], "x string").select(names.capitalised("x").alias("c")).collect()
     assert [sorted(r.c) for r in got] == [["raise", "sarvamai"], [], []]
