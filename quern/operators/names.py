@@ -153,7 +153,7 @@ def scan(texts: DataFrame, lex: DataFrame) -> DataFrame:
     if small:
         shared = texts.sparkSession.sparkContext.broadcast(Forms([r.form for r in forms.collect()]))
         kind = f"qid {texts.schema['qid'].dataType.simpleString()}, hits array<struct<pos:int,less:int,alt:int,gram:string>>, text string"
-        met = texts.where("qid IS NOT NULL").select("qid", F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _met(b, shared.value), kind)
+        met = texts.where("qid IS NOT NULL").select("qid", F.col("text").cast("string").alias("text")).mapInArrow(terms.freeing(lambda b: _met(b, shared.value)), kind)
         met = met.withColumn("caps", capitalised("text"))
         if lex.count() <= SMALL_LEXICON:
             entries = F.broadcast(entries)

@@ -5,8 +5,9 @@ Words repeat so often that cutting them one by one is most of the work of a pass
 
 from __future__ import annotations
 
+import ctypes
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 
 #: Bytes of texts that are cut at once.
-SLICE = 32 << 20
+SLICE = 16 << 20
 #: What may stand around a word without changing its term; apostrophes and `&` do.
 MARKS = string.punctuation.translate({ord(c): None for c in "'&"})
 
@@ -32,9 +33,9 @@ def _cut(chunks: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
     plural = pc.and_(pc.ends_with(words, "s"), pc.greater(pc.binary_length(words), 3))
     stems = pc.replace_with_mask(words, plural, pa.array([tx.stem_of(w) for w in words.filter(plural).to_pylist()], pa.string()))
     others = [tx.terms_of_chunk(c) for c in chunks.filter(pc.invert(plain)).to_pylist()]
-    is_plain, sizes = plain.to_numpy(zero_copy_only=False), np.ones(len(chunks), np.int64)
-    sizes[~is_plain] = np.fromiter(map(len, others), np.int64, len(others))
-    starts = np.empty(len(chunks), np.int64)
+    is_plain, sizes = plain.to_numpy(zero_copy_only=False), np.ones(len(chunks), np.int32)
+    sizes[~is_plain] = np.fromiter(map(len, others), np.int32, len(others))
+    starts = np.empty(len(chunks), np.int32)
     starts[is_plain] = np.arange(len(words))
     starts[~is_plain] = len(words) + np.cumsum(sizes[~is_plain]) - sizes[~is_plain]
     flat = [x for found in others for x in found]
@@ -44,20 +45,34 @@ def _cut(chunks: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
 def read(texts: pa.Array, keep_stopwords: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct terms of texts, and the text and the number of the term at each place, in order: what `tokens` gives."""
     split = pc.ascii_split_whitespace(texts.fill_null(""))
-    chunks = split.flatten().dictionary_encode()
+    held, chunks = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
+    del split
     terms, stems, starts, sizes = _cut(chunks.dictionary)
     stems = stems.dictionary_encode()
-    number = stems.indices.to_numpy().astype(np.int64)
+    number = stems.indices.to_numpy()
     if not keep_stopwords:
         stop = pa.array(tx.STOPWORDS)
         short = pc.and_(pc.less(pc.binary_length(stems.dictionary), 2), pc.invert(pc.is_in(stems.dictionary, pa.array(list(string.digits)))))
         gone = pc.or_(short, pc.is_in(stems.dictionary, stop)).to_numpy(zero_copy_only=False)[number] | pc.is_in(terms, stop).to_numpy(zero_copy_only=False)
-        number[gone] = -1
-    which, doc = chunks.indices.to_numpy(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+        number = np.where(gone, np.int32(-1), number)
+    which, doc = chunks.indices.to_numpy(), np.repeat(np.arange(len(texts), dtype=np.int32), held)
     each = sizes[which]
-    at = np.repeat(starts[which] - np.cumsum(each) + each, each) + np.arange(each.sum())
+    at = np.repeat(starts[which] - np.cumsum(each, dtype=np.int32) + each, each) + np.arange(each.sum(), dtype=np.int32)
     doc, number = np.repeat(doc, each), number[at]
-    return stems.dictionary, doc[number >= 0], number[number >= 0]
+    return (stems.dictionary, doc, number) if keep_stopwords else (stems.dictionary, doc[number >= 0], number[number >= 0])
+
+
+def freeing(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`fn`, after whose end a worker gives back to the system what it has freed; workers wait for later tasks beside the JVM."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return freed
 
 
 def slices(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
@@ -72,7 +87,8 @@ def slices(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatc
 
 def distinct(doc: np.ndarray, number: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct terms, as texts and numbers in order, and how often each occurs."""
-    key = np.sort(doc * terms + number)
+    key = doc * np.int64(terms) + number
+    key.sort()
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     doc, number = np.divmod(key[starts], max(1, terms))
     return doc, number, np.diff(np.r_[starts, len(key)])
@@ -88,5 +104,5 @@ def _counts(batches: Iterator[pa.RecordBatch], keep_stopwords: bool) -> Iterator
 
 def frequencies(texts: DataFrame, keep_stopwords: bool = False) -> DataFrame:
     """term and df: in how many rows of texts (text) a term is. What is shuffled is a row for each task and term, not for each text and term."""
-    counted = texts.select("text").mapInArrow(lambda b: _counts(b, keep_stopwords), "term string, df long")
+    counted = texts.select("text").mapInArrow(freeing(lambda b: _counts(b, keep_stopwords)), "term string, df long")
     return counted.groupBy("term").agg(F.sum("df").alias("df"))

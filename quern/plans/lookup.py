@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import analysis
 from quern.functions import text as tx
-from quern.operators import dense, lexical, names, random_index, terms
+from quern.operators import dense, names, random_index, terms
 from quern.plans.declare import query
 from quern.plans.text import _STOP, _TERMS, _q
-from quern.storage import materialise
 
 _ASKED = ["day 2", "on the second day of it", "10th September", "Sept 9", "2026-09-08 at noon", "the last day", "day three", "no day at all"]
 _ASK = f"'is it ' || [{', '.join(map(_q, _ASKED))}][(c_custkey % {len(_ASKED)} + 1)::INT] || ', ' || c_name || '?'"
@@ -77,9 +76,8 @@ def name_scan(t):
 def random_indexing(t):
     """The three nearest documents of every document whose id is divisible by 100, by random indexing of all terms of whole texts."""
     docs = t("documents").select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
-    postings = lexical.postings(docs, {"text": 1.0}).select("id", "term", F.col("tf_text").alias("tf"))
-    vectors = materialise(random_index.documents(materialise(postings, "postings")), "vectors")
-    near = dense.top_k(vectors, vectors.where("id % 100 = 0").withColumnRenamed("id", "qid"), 3)
+    vectors = random_index.of_texts(docs)
+    near = dense.nearest(vectors, vectors.where("id % 100 = 0").withColumnRenamed("id", "qid"), 3, 9)
     return near.select(F.col("qid").alias("doc_id"), F.col("id").alias("other"), F.col("score").alias("similarity"), "rank")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import analysis
 from quern.functions import text as tx
-from quern.operators import names, random_index, terms
+from quern.operators import dense, names, random_index, terms
 from quern.plans import lookup, registry
 from quern.sources import exports, records
 from quern.sources.tables import table
@@ -174,6 +174,46 @@ def test_random_indexing_of_all_documents(spark, monkeypatch):
         assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_random_indexing_of_texts(spark, monkeypatch):
+    """Texts are read where they lie, slice by slice; texts of one id are one document."""
+    rng = np.random.default_rng(4)
+    words = lambda: " ".join(f"w{w}," for w in np.minimum(rng.zipf(1.3, 25), 90))
+    rows = [(d, words()) for d in range(60)] + [(7, words()), (7, None), (90, None), (91, "the of"), (92, "")]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    tf = Counter((d, w) for d, x in rows for w in (x or "").replace(",", "").split() if w not in ("the", "of"))
+    postings = spark.createDataFrame([(d, w, k) for (d, w), k in sorted(tf.items())], "id long, term string, tf long").coalesce(1)
+    weighted = random_index.weights(postings)
+    want = {r.id: as_numpy(r.vec) for r in random_index.compose(weighted, random_index.term_vectors(weighted)).collect()}
+    for most, rare, size in ((random_index.PASS, 16, terms.SLICE), (7, 2, 300), (3, 1000, 300)):
+        monkeypatch.setattr(random_index, "PASS", most)
+        monkeypatch.setattr(random_index, "FETCH", most)
+        monkeypatch.setattr(random_index, "RARE", rare)
+        monkeypatch.setattr(random_index, "SHARE", 4)
+        monkeypatch.setattr(terms, "SLICE", size)
+        got = {r.id: np.array(r.v) for r in random_index.of_texts(texts).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[d], want[d], atol=1e-6) for d in want)
+    assert random_index.of_texts(texts.where("id > 95")).count() == 0
+
+
+@pytest.mark.parametrize(("rows", "batch"), [(5, 3), (900, 100), (900, 10_000)])
+def test_nearest_in_single_precision_is_exact(spark, monkeypatch, rows, batch):
+    """Copies, near copies, opposite and far vectors, the row itself left out: what `top_k` gives with all scores in double precision."""
+    rng = np.random.default_rng(rows)
+    v = rng.normal(size=(rows, 64))
+    v[rng.integers(0, rows, rows // 2)] = v[0]
+    v[rng.integers(0, rows, rows // 4)] = v[0] + rng.normal(size=64) * 1e-5
+    v[1] = -v[0]
+    v = (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>").repartition(3).localCheckpoint()
+    asked = frame.where("id % 4 < 2").withColumnRenamed("id", "qid")
+    want = {tuple(r) for r in dense.top_k(frame, asked, 3, digits=9).collect()}
+    monkeypatch.setattr(dense, "GRID_ROWS", batch)
+    assert {tuple(r) for r in dense.nearest(frame, asked, 3, 9).collect()} == want and len(want) == 3 * asked.count()
+    monkeypatch.setattr(dense, "PASS_BYTES", 1 << 14)
+    assert {tuple(r) for r in dense.nearest(frame, asked, 3, 9).collect()} == want
+    assert dense.nearest(frame, asked.where("qid < 0"), 3, 9).count() == 0
+
+
 def test_random_indexing_query(spark):
     got = registry.QUERIES["random_indexing"](spark, SF).collect()
     assert got and all(r.doc_id % 100 == 0 and r.other != r.doc_id and -1.001 <= r.similarity <= 1.001 for r in got)
